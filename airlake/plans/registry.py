@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = (
     "q_attribution",
+    "q_analysis",
 )
 
 
