@@ -1,17 +1,61 @@
-"""Shared pieces for query plans: rounding of outputs so Spark and the DuckDB
-oracle agree to the sixth decimal."""
+"""Shared pieces for query plans: output rounding that both engines compute
+bit for bit the same way.
+
+``round(x, 6)`` differs between engines on exact decimal ties (Spark rounds
+the decimal expansion half-up; DuckDB works on the binary value). Outputs are
+therefore rounded as ``floor(x * 1e6 + 0.5) / 1e6``: the same three IEEE
+operations in Spark and in the oracle SQL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SCALE = 1_000_000.0
+
+
+def r6(c: Column) -> Column:
+    return F.floor(c * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (low-order bits differ between engines)."""
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double column to 6 places (see module note)."""
     return df.select([
-        F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-        else F.col(f.name)
+        r6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
+
+
+def sql_round6(sql: str) -> str:
+    """Rewrite every ``round(<expr>, 6)`` of an oracle query into the same
+    floor form (balanced-parenthesis scan)."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[j + len(key):comma], sql[comma + 1:k - 1].strip()
+        out.append(sql[i:j])
+        if digits == "6":
+            out.append(f"(floor(({sql_round6(inner)}) * CAST({SCALE!r} AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+                       f" / CAST({SCALE!r} AS DOUBLE))")
+        else:
+            out.append(f"round({sql_round6(inner)}, {digits})")
+        i = k

@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "q_attribution",
     "q_analysis",
+    "q_ingest",
 )
 
 
@@ -22,7 +23,9 @@ def all_queries():
 
 
 def all_oracle():
+    from airlake.plans.base import sql_round6
+
     out = {}
     for m in _mods():
-        out.update(getattr(m, "ORACLE", {}))
+        out.update({k: sql_round6(v) for k, v in getattr(m, "ORACLE", {}).items()})
     return out

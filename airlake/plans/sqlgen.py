@@ -95,12 +95,16 @@ STATION_DAY_RAW = """
   from lineitem join supplier on l_suppkey = s_suppkey
     join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
 
+def _r9(e: str) -> str:
+    return f"(floor(({e}) * CAST(1e9 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e9 AS DOUBLE))"
+
+
 _P = ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")
 
 
 def base_ctes(until: str = "2021-03-31") -> str:
     """CTEs station_day_raw, base_station_day, base_day."""
-    avgs = ", ".join(f"round(avg({c}), 9) as {c}" for c in _P)
+    avgs = ", ".join(f"{_r9(f'avg({c})')} as {c}" for c in _P)
     return f"""
 station_day_raw as ({STATION_DAY_RAW}
 ),
@@ -113,7 +117,7 @@ base_day as (
   select city, date, pm25, pm10, cast(null as double) as no, no2, cast(null as double) as nox,
     nh3, co, so2, o3, cast(null as double) as benzene, aqi, {bucket('aqi')} as aqi_bucket
   from (
-    select city, date, {avgs}, round(avg(st_aqi), 9) as aqi
+    select city, date, {avgs}, {_r9('avg(st_aqi)')} as aqi
     from (select *, {aqi_from(STATION_SET)} as st_aqi from base_station_day) s
     group by city, date) c
 )"""

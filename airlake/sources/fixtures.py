@@ -93,7 +93,12 @@ def station_day_raw(spark: SparkSession, sf_dir: str, until: dt.date | None = No
 _BASE_POLLUTANTS = ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")
 # Means are rounded to 9 places: a parallel sum is not bit-reproducible, and
 # thresholds (AQI > 200, band edges) must not flip between runs or engines.
-MEAN_PLACES = 9
+MEAN_SCALE = 1e9
+
+
+def _round9(c: F.Column) -> F.Column:
+    """floor(x * 1e9 + 0.5) / 1e9: identical IEEE steps in every engine."""
+    return F.floor(c * F.lit(MEAN_SCALE) + F.lit(0.5)) / F.lit(MEAN_SCALE)
 
 
 def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> DataFrame:
@@ -106,11 +111,11 @@ def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> Dat
     """
     raw = station_day_raw(spark, sf_dir, until)
     sd = raw.groupBy("city", "station_id", "date").agg(
-        *[F.round(F.avg(c), MEAN_PLACES).alias(c) for c in _BASE_POLLUTANTS])
+        *[_round9(F.avg(c)).alias(c) for c in _BASE_POLLUTANTS])
     sd = sd.withColumn("aqi", aqi_from_concentrations(STATION_SET))
     cd = sd.groupBy("city", "date").agg(
-        *[F.round(F.avg(c), MEAN_PLACES).alias(c) for c in _BASE_POLLUTANTS],
-        F.round(F.avg("aqi"), MEAN_PLACES).alias("aqi"))
+        *[_round9(F.avg(c)).alias(c) for c in _BASE_POLLUTANTS],
+        _round9(F.avg("aqi")).alias("aqi"))
     cd = cd.withColumn("aqi_bucket", aqi_bucket("aqi"))
     return conform(cd)
 
@@ -180,7 +185,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("location_id"),
         (F.col("clat") + ((k % 101) - 50) / 100.0).alias("lat"),
         (F.col("clon") + (((k * 7) % 101) - 50) / 100.0).alias("lon"),
-        F.add_months(F.col("last_order"), SHIFT_MONTHS).alias("last_seen"),
+        (F.col("last_order") + F.expr("INTERVAL 20 YEARS")).alias("last_seen"),
     )
 
 
