@@ -8,6 +8,7 @@ _MODULES = (
     "q_attribution",
     "q_analysis",
     "q_ingest",
+    "q_series",
 )
 
 

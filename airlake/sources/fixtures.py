@@ -141,7 +141,12 @@ def _city_of_user_sql(uid: str) -> str:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sub-daily station readings (city, station_id, ts, event_id, ...)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return readings_from_events(table(spark, sf_dir, "events"))
+
+
+def readings_from_events(events: DataFrame) -> DataFrame:
+    """Batch or streaming events -> readings."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value")
     return e.selectExpr(
         f"{_city_of_user_sql('user_id')} AS city", "user_id % 15 AS station_id", "ts", "event_id",
         "CASE WHEN event_type = 'view' THEN NULL ELSE value END AS pm25",
