@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlake.reference import CANDIDATE_ORDERS
+from airlake.session import cut_lineage
 
 LONG_AR = 20
 Z95 = 1.959963984540054
@@ -235,6 +236,9 @@ def fit_candidates(series: DataFrame, orders=CANDIDATE_ORDERS, long_ar: int = LO
     res = res.select("city", "cfg", "pos", "date", "value", "w", "e",
                      *[f"w{l}" for l in range(1, long_ar + 1)],
                      *[F.lag("e", l).over(wcfg).alias(f"e{l}") for l in range(1, max_ma + 1)])
+    # reused by stage 2 and by the forecast tail: cut the lineage once
+    # (reliable checkpoint in spark.checkpoint.dir; survives executor loss)
+    res = cut_lineage(res)
     # stage 2: per candidate, on rows common to all candidates
     slots = max(len(c.ar) + len(c.ma) for c in cands)
     t_min = max(len(c.diff) - 1 for c in cands) + long_ar + max_ma
@@ -341,7 +345,7 @@ def forecast_from_fit(best: DataFrame, res: DataFrame, horizon: int, orders=CAND
 def model_backtest(series: DataFrame, horizon: int = 30, orders=CANDIDATE_ORDERS) -> dict[str, DataFrame]:
     """Fit on all but the last ``horizon`` days, forecast, score against the
     held-out days and the two naive baselines."""
-    split = split_train_test(series, horizon)
+    split = cut_lineage(split_train_test(series, horizon))
     train = split.where(~F.col("is_test")).select("city", "pos", "date", "value")
     fits, res = fit_candidates(train, orders)
     best = select_order(fits)

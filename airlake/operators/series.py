@@ -37,8 +37,10 @@ def interpolate_bounded(g: DataFrame, t: str, limit: int) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("value").alias("v")))
     g = g.withColumn("_prev", F.last(known, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = g.withColumn("_next", F.first(known, ignorenulls=True).over(
-        w.rowsBetween(0, Window.unboundedFollowing)))
+    # next known value: a running frame in reverse order (linear, unlike a
+    # current-to-unbounded-following frame, which re-aggregates per row)
+    back = Window.partitionBy("city").orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("_next", F.last(known, ignorenulls=True).over(back))
     k = F.col("pos") - F.col("_prev.p")
     interp = ((F.col("_next.v") - F.col("_prev.v")) / (F.col("_next.p") - F.col("_prev.p")) * k
               + F.col("_prev.v"))

@@ -8,6 +8,7 @@ from airlake.operators import forecast as FC
 from airlake.operators import series as SE
 from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
+from airlake.session import cut_lineage
 from airlake.sources import fixtures as X
 from airlake.streaming import daily_mean as ST
 
@@ -36,7 +37,7 @@ def q_model_backtest(s, d):
 
 
 def q_model_forecast(s, d):
-    series = _daily(s, d).select("city", "pos", "date", "value")
+    series = cut_lineage(_daily(s, d).select("city", "pos", "date", "value"))
     fits, res = FC.fit_candidates(series)
     return rounded(FC.forecast_from_fit(FC.select_order(fits), res, HORIZON))
 
