@@ -80,14 +80,29 @@ def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, m
         *carry, key, "date", *means, *[F.greatest(f"_in_{c}", f"_h_{c}").alias(f"{c}_8h") for c in cols])
 
 
+def fixed_places(c: F.Column, places: int | None) -> F.Column:
+    """Optional rounding of a mean to ``places`` decimals as
+    floor(x * 10^p + 0.5) / 10^p. A parallel sum is not bit-reproducible
+    (the order of partial sums varies), so a mean can land one ulp either
+    side of a threshold or a rounding tie; fixing the places makes results
+    reproducible across runs and engines."""
+    if places is None:
+        return c
+    scale = float(10 ** places)
+    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Sequence[str] = ("o3", "co"),
-                  rows: int = 8, min_rows: int = 6, dense: bool = True) -> DataFrame:
+                  rows: int = 8, min_rows: int = 6, dense: bool = True,
+                  places: int | None = None) -> DataFrame:
     """Station-day table: daily means of every pollutant plus the daily max of
     the trailing ``rows``-reading mean for ``rolling`` pollutants; with
     ``dense``, every day between a station's first and last reading appears
-    (all-missing days included)."""
+    (all-missing days included). ``places``: see ``fixed_places``."""
     out = rolling_daily_max(readings, list(rolling), rows, min_rows,
                             means=list(pollutants), carry=["city"])
+    out = out.select("city", "station_id", "date", *[
+        fixed_places(F.col(c), places).alias(c) for c in (*pollutants, *[f"{r}_8h" for r in rolling])])
     if dense:
         grid = daily_grid(out.select("city", "station_id", "date"), ["city", "station_id"])
         out = grid.join(out.drop("city"), ["station_id", "date"], "left")
@@ -95,12 +110,12 @@ def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Seque
 
 
 def city_daily(station_day: DataFrame, aqi_set: Sequence[str] = STATION_SET,
-               rolling_for: Sequence[str] = ("O3", "CO")) -> DataFrame:
+               rolling_for: Sequence[str] = ("O3", "CO"), places: int | None = None) -> DataFrame:
     """Unweighted mean of station means per (city, day), each column on its
     own; AQI from the station input set (8h maxima for O3/CO), columns absent
     from the input are skipped; then the bucket."""
     vals = [c for c in station_day.columns if c not in ("city", "station_id", "date")]
-    cd = station_day.groupBy("city", "date").agg(*[F.avg(c).alias(c) for c in vals])
+    cd = station_day.groupBy("city", "date").agg(*[fixed_places(F.avg(c), places).alias(c) for c in vals])
     src = {lab: f"{col_of(lab)}_8h" for lab in rolling_for}
     labels = [lab for lab in aqi_set if src.get(lab, col_of(lab)) in cd.columns]
     return (cd.withColumn("aqi", aqi_from_concentrations(labels, src))

@@ -14,8 +14,11 @@ from airlake.sources import fixtures as X
 READ_POLL = ("pm25", "pm10", "no2", "o3", "co")
 
 
+PLACES = 9  # fixed places for means (see ingest.fixed_places)
+
+
 def _station_daily(s, d):
-    return I.station_daily(X.readings(s, d), READ_POLL)
+    return I.station_daily(X.readings(s, d), READ_POLL, places=PLACES)
 
 
 def _recent(s, d):
@@ -30,7 +33,7 @@ def q_splice(s, d):
 
 QUERIES = {
     "station_daily_8h": lambda s, d: rounded(_station_daily(s, d)),
-    "city_daily": lambda s, d: rounded(I.city_daily(_station_daily(s, d))),
+    "city_daily": lambda s, d: rounded(I.city_daily(_station_daily(s, d), places=PLACES)),
     "unit_normalise": lambda s, d: rounded(I.normalise_units(X.sensor_days(s, d))),
     "pivot_sensor_days": lambda s, d: rounded(_recent(s, d)),
     "stationwise_index_guard": lambda s, d: rounded(I.index_guard(
@@ -42,7 +45,8 @@ QUERIES = {
 }
 
 # --------------------------------------------------------------------------- oracle
-_RP = ", ".join(f"avg({c}) as {c}" for c in READ_POLL)
+_R9 = S._r9
+_RP = ", ".join(f"{_R9(f'avg({c})')} as {c}" for c in READ_POLL)
 STATION_DAILY = f""",
 readings as ({S.READINGS}),
 r as (select *, cast(ts as date) as date from readings),
@@ -51,7 +55,7 @@ w as (select station_id, date,
         case when count(co) over w8 >= 6 then avg(co) over w8 end as r_co
       from r window w8 as (partition by station_id order by ts, event_id
                            rows between 7 preceding and current row)),
-roll as (select station_id, date, max(r_o3) as o3_8h, max(r_co) as co_8h from w group by 1, 2),
+roll as (select station_id, date, {_R9('max(r_o3)')} as o3_8h, {_R9('max(r_co)')} as co_8h from w group by 1, 2),
 means as (select city, station_id, date, {_RP} from r group by 1, 2, 3),
 bounds as (select city, station_id, min(date) as lo, max(date) as hi from means group by 1, 2),
 grid as (select city, station_id, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date
@@ -120,7 +124,7 @@ ORACLE = {
     "station_daily_8h": _w(STATION_DAILY, "select city, station_id, date, " + ", ".join(
         f"round({c}, 6) as {c}" for c in (*READ_POLL, "o3_8h", "co_8h")) + " from sday"),
     "city_daily": _w(STATION_DAILY + f""",
-cd as (select city, date, {', '.join(f'avg({c}) as {c}' for c in (*READ_POLL, 'o3_8h', 'co_8h'))}
+cd as (select city, date, {', '.join(f"{_R9(f'avg({c})')} as {c}" for c in (*READ_POLL, 'o3_8h', 'co_8h'))}
        from sday group by 1, 2),
 cda as (select *, {S.aqi_from(('PM2.5', 'PM10', 'NO2', 'O3', 'CO'), {'O3': 'o3_8h', 'CO': 'co_8h'})} as aqi from cd)""",
                      "select city, date, " + ", ".join(

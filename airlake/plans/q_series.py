@@ -48,7 +48,7 @@ def q_forecast_verdict(s, d):
 
 def q_stream_daily_mean(s, d):
     src = f"{d}/events*.parquet"
-    schema = s.read.parquet(f"{d}/events.parquet").schema
+    schema = X.SCHEMAS["events"]
     return rounded(ST.stream_daily_mean(s, src, schema, X.readings_from_events, STREAM_POLLUTANTS))
 
 

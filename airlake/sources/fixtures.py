@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlake.functions.aqi import aqi_bucket, aqi_from_concentrations
+from airlake.operators.common import broadcast_if_small
 from airlake.reference import FESTIVAL_DATES, STATION_SET
 from airlake.schema import conform
 
@@ -37,25 +38,52 @@ CENTERS = (
 SPARSE_DROP = (3, 4, 5, 6, 17)
 
 
+# Schemas of the given tables, stated so that reads skip schema inference
+# (a footer-reading job per read) and fail loudly on drift.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return F.broadcast(
-        nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-        .select("n_nationkey", F.col("r_name").alias("city"))
-    )
+def _with_region(df: DataFrame, nation_key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attach the region name as ``city``. Nation (25 rows) and region
+    (5 rows) are fixed-size dimensions; each is broadcast on its own, so
+    their broadcast stages run concurrently rather than one after the other."""
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    region = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("city")))
+    return (df.join(nation, F.col(nation_key) == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
 
 
 def station_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(station_id, city): suppliers mapped to their region."""
+    """(station_id, city): suppliers mapped to their region. Broadcast when
+    the supplier projection (which bounds this N:1 lookup) is under the
+    broadcast threshold; a shuffled join otherwise."""
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    reg = _region_of_nation(spark, sf_dir)
-    return sup.join(reg, sup.s_nationkey == reg.n_nationkey).select(
+    out = _with_region(sup, "s_nationkey", spark, sf_dir).select(
         F.col("s_suppkey").alias("station_id"), "city")
+    return broadcast_if_small(out, probe=sup)
+
+
+def customer_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, city) with the same size-checked broadcast."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    out = _with_region(cust, "c_nationkey", spark, sf_dir).select("c_custkey", "city")
+    return broadcast_if_small(out, probe=cust)
 
 
 def shifted_date(c) -> F.Column:
@@ -124,9 +152,7 @@ def bulletin_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second source, index only: (date 'dd-MM-yyyy', area, aqi_value text)."""
     o = (table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(BULLETIN_FROM))
          .select("o_custkey", "o_orderdate", "o_totalprice"))
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    reg = _region_of_nation(spark, sf_dir)
-    cc = cust.join(reg, cust.c_nationkey == reg.n_nationkey).select("c_custkey", "city")
+    cc = customer_city(spark, sf_dir)
     return o.join(cc, o.o_custkey == cc.c_custkey).select(
         F.date_format(shifted_date("o_orderdate"), "dd-MM-yyyy").alias("date"),
         F.col("city").alias("area"),
@@ -176,15 +202,13 @@ def centers(spark: SparkSession) -> DataFrame:
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sensor location per customer around its region's centre, with the
     latest (shifted) order date as last-seen time (NULL without orders)."""
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    reg = _region_of_nation(spark, sf_dir)
     last = (table(spark, sf_dir, "orders").groupBy("o_custkey")
             .agg(F.max("o_orderdate").alias("last_order")))
     ctr = F.broadcast(centers(spark).select(
         F.col("city").alias("home"), F.col("lat").alias("clat"), F.col("lon").alias("clon")))
-    c = (cust.join(reg, cust.c_nationkey == reg.n_nationkey)
+    c = (customer_city(spark, sf_dir)
          .join(ctr, F.col("city") == F.col("home"))
-         .join(last, cust.c_custkey == last.o_custkey, "left"))
+         .join(last, F.col("c_custkey") == last.o_custkey, "left"))
     k = F.col("c_custkey")
     return c.select(
         k.alias("location_id"),
