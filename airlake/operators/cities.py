@@ -47,21 +47,22 @@ def seasonality_index(df: DataFrame, cities: Sequence[str] | None = None, col: s
 def city_headline(summary: DataFrame, seasonality: DataFrame, focus: str) -> DataFrame:
     """Focus city against the unweighted mean of the others, its share of bad
     days, its seasonal ratio, and the most seasonal city (first on ties).
-    Both inputs have one row per city; each reduces to one row keyed by the
-    focus city and they are joined on that key."""
+    Both inputs have one row per city: they are joined on city, then reduced
+    by a single aggregate (no join on a constant key)."""
     is_f = F.col("city") == focus
-    a = summary.agg(
+    j = summary.select("city", "mean", "pct_bad").join(
+        seasonality.select("city", "winter_monsoon_ratio"), "city", "full")
+    r = F.col("winter_monsoon_ratio")
+    g = j.agg(
         F.max(F.when(is_f, F.col("mean"))).alias("focus_mean"),
         F.avg(F.when(~is_f, F.col("mean"))).alias("others_mean"),
         F.max(F.when(is_f, F.col("pct_bad"))).alias("focus_pct_bad"),
-        F.count(F.when(is_f, 1)).alias("_present"),
-    ).where(F.col("_present") > 0).withColumn("city", F.lit(focus))
-    b = seasonality.agg(
-        F.max(F.when(is_f, F.col("winter_monsoon_ratio"))).alias("focus_seasonal_ratio"),
-        F.min(F.struct((-F.col("winter_monsoon_ratio")).alias("nr"), F.col("city"))).alias("_top"),
-    ).select("focus_seasonal_ratio", F.col("_top.city").alias("most_seasonal_city"),
-             (-F.col("_top.nr")).alias("most_seasonal_ratio")).withColumn("city", F.lit(focus))
-    return a.join(b, "city", "left").select(
-        "city", "focus_mean", "others_mean",
+        F.count(F.when(is_f & F.col("mean").isNotNull(), 1)).alias("_present"),
+        F.max(F.when(is_f, r)).alias("focus_seasonal_ratio"),
+        F.min(F.when(r.isNotNull(), F.struct((-r).alias("nr"), F.col("city")))).alias("_top"),
+    )
+    return g.where(F.col("_present") > 0).select(
+        F.lit(focus).alias("city"), "focus_mean", "others_mean",
         F.try_divide("focus_mean", "others_mean").alias("ratio_to_others"),
-        "focus_pct_bad", "focus_seasonal_ratio", "most_seasonal_city", "most_seasonal_ratio")
+        "focus_pct_bad", "focus_seasonal_ratio", F.col("_top.city").alias("most_seasonal_city"),
+        (-F.col("_top.nr")).alias("most_seasonal_ratio"))

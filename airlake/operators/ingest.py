@@ -33,13 +33,6 @@ from airlake.functions.units import convert_units
 from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SET, col_of
 
 
-def daily_grid(keys: DataFrame, key_cols: Sequence[str], date_col: str = "date") -> DataFrame:
-    """Dense calendar between each key's first and last day (T1). Bounded by
-    keys x days, independent of reading volume."""
-    b = keys.groupBy(*key_cols).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    return b.select(*key_cols, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias(date_col))
-
-
 def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, min_rows: int = 6,
                       key: str = "station_id", ts: str = "ts", tiebreak: str = "event_id",
                       means: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
@@ -58,25 +51,27 @@ def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, m
         *carry, key, "date", ts, tiebreak, *used,
         F.row_number().over(ordered).alias("_rn"), F.count(F.lit(1)).over(chunk).alias("_cnt"),
         *[F.when(F.count(c).over(frame) >= min_rows, F.avg(c).over(frame)).alias(f"_r_{c}") for c in cols])
-    # (1) rows whose full frame lies inside their own day, and the daily means
+    # (1) rows whose full frame lies inside their own day, the daily means,
+    #     and the day's reading count
     inner = x.groupBy(key, "date", *carry).agg(
         *[F.avg(m).alias(m) for m in means],
-        *[F.max(F.when(F.col("_rn") > look, F.col(f"_r_{c}"))).alias(f"_in_{c}") for c in cols])
-    # (2) head and tail rows, positioned globally within the key
-    starts = (x.where(F.col("_rn") == 1).select(key, "date", "_cnt")
-              .withColumn("_start", F.coalesce(F.sum("_cnt").over(
-                  Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)),
-                  F.lit(0))))
+        *[F.max(F.when(F.col("_rn") > look, F.col(f"_r_{c}"))).alias(f"_in_{c}") for c in cols],
+        F.count(F.lit(1)).alias("_cnt_day"))
+    # (2) head and tail rows, positioned globally within the key: offsets are
+    #     running sums over the per-day counts (one row per key and day)
+    starts = inner.select(key, "date", F.coalesce(F.sum("_cnt_day").over(
+        Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_start"))
     edge = (x.where((F.col("_rn") <= look) | (F.col("_rn") > F.col("_cnt") - look))
             .select(key, "date", "_rn", *cols)
-            .join(starts.select(key, "date", "_start"), [key, "date"])
+            .join(starts, [key, "date"])
             .withColumn("_idx", F.col("_start") + F.col("_rn")))
     ef = Window.partitionBy(key).orderBy("_idx").rowsBetween(-look, 0)
     head = (edge.select(key, "date", "_rn", *[
         F.when(F.count(c).over(ef) >= min_rows, F.avg(c).over(ef)).alias(f"_h_{c}") for c in cols])
         .where(F.col("_rn") <= look)
         .groupBy(key, "date").agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols]))
-    return inner.join(head, [key, "date"], "left").select(
+    return inner.drop("_cnt_day").join(head, [key, "date"], "left").select(
         *carry, key, "date", *means, *[F.greatest(f"_in_{c}", f"_h_{c}").alias(f"{c}_8h") for c in cols])
 
 
@@ -104,8 +99,8 @@ def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Seque
     out = out.select("city", "station_id", "date", *[
         fixed_places(F.col(c), places).alias(c) for c in (*pollutants, *[f"{r}_8h" for r in rolling])])
     if dense:
-        grid = daily_grid(out.select("city", "station_id", "date"), ["city", "station_id"])
-        out = grid.join(out.drop("city"), ["station_id", "date"], "left")
+        from airlake.operators.series import fill_grid
+        out = fill_grid(out, ["city", "station_id"], "date", "DAY")
     return out.select("city", "station_id", "date", *pollutants, *[f"{c}_8h" for c in rolling])
 
 

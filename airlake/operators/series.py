@@ -16,16 +16,32 @@ from pyspark.sql import functions as F
 from airlake.functions.calendar import month_name
 
 
-def _grid(obs: DataFrame, t: str, step: str) -> DataFrame:
-    b = obs.groupBy("city").agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    return b.select("city", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL 1 {step}"))).alias(t))
+def fill_grid(obs: DataFrame, keys: Sequence[str], t: str, step: str) -> DataFrame:
+    """Dense calendar between each key's first and last observation, in one
+    pass: every observation is expanded to the steps up to (not including)
+    the next one, the value kept on its own step only. No self-join (which
+    would read the input twice), no global bounds job."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    nxt = F.lead(t).over(w)
+    if step == "MONTH":
+        last = F.add_months(nxt, -1)
+    elif step == "DAY":
+        last = F.date_sub(nxt, 1)
+    else:
+        raise ValueError(step)
+    others = [c for c in obs.columns if c not in (*keys, t)]
+    x = obs.withColumn("_last", F.coalesce(last, F.col(t)))
+    seq = F.sequence(F.col(t), F.col("_last"), F.expr(f"INTERVAL 1 {step}"))
+    x = x.select(*keys, t, *others, F.posexplode(seq).alias("_i", "_t"))
+    return x.select(*keys, F.col("_t").alias(t),
+                    *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in others])
 
 
 def regular(obs: DataFrame, t: str, step: str) -> DataFrame:
     """(city, t, value) observations -> dense grid from the first to the last
     observed step per city (trimmed to valid ends), gaps as NULL, with a
     0-based position ``pos``."""
-    g = _grid(obs, t, step).join(obs, ["city", t], "left")
+    g = fill_grid(obs, ["city"], t, step)
     return g.withColumn("pos", F.row_number().over(Window.partitionBy("city").orderBy(t)) - 1)
 
 
