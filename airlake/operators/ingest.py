@@ -105,10 +105,14 @@ def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Seque
 
 
 def city_daily(station_day: DataFrame, aqi_set: Sequence[str] = STATION_SET,
-               rolling_for: Sequence[str] = ("O3", "CO"), places: int | None = None) -> DataFrame:
+               rolling_for: Sequence[str] = ("O3", "CO"), places: int | None = None,
+               start=None) -> DataFrame:
     """Unweighted mean of station means per (city, day), each column on its
     own; AQI from the station input set (8h maxima for O3/CO), columns absent
-    from the input are skipped; then the bucket."""
+    from the input are skipped; then the bucket. ``start``: optional first
+    day kept (the build's start-date floor)."""
+    if start is not None:
+        station_day = station_day.where(F.col("date") >= F.lit(start))
     vals = [c for c in station_day.columns if c not in ("city", "station_id", "date")]
     cd = station_day.groupBy("city", "date").agg(*[fixed_places(F.avg(c), places).alias(c) for c in vals])
     src = {lab: f"{col_of(lab)}_8h" for lab in rolling_for}

@@ -19,16 +19,29 @@ def filter_cities(df: DataFrame, cities: Sequence[str], strict: bool = True) ->
     return out
 
 
-def null_rates(df: DataFrame, columns: Sequence[str] = KEY_COLUMNS, by_city: bool = True) -> DataFrame:
-    """Missing count and share per column (one pass, then unpivot); worst first.
+def require_city(df: DataFrame, city: str) -> DataFrame:
+    """Rows of one city; fails listing the available cities when absent
+    (the listing is a distinct over the city column: one row per city)."""
+    out = df.where(F.col("city") == city)
+    if not out.select("city").limit(1).collect():
+        have = sorted(r.city for r in df.select("city").distinct().collect())
+        raise ValueError(f"No rows for city {city!r}. Available: {have}")
+    return out
+
+
+def null_rates(df: DataFrame, columns: Sequence[str] = KEY_COLUMNS, by_city: bool = True,
+               order: bool = False) -> DataFrame:
+    """Missing count and share per column (one pass, then unpivot); with
+    ``order``, worst first (ties by column name).
     ``pct_missing`` is rounded to one place, ``pct_missing_exact`` is not."""
     keys = ["city"] if by_city else []
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                               *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     long = g.unpivot(keys + ["_n"], list(columns), "column", "n_missing")
     exact = F.when(F.col("_n") > 0, F.col("n_missing") * 100.0 / F.col("_n")).otherwise(F.lit(0.0))
-    return long.select(*keys, "column", "n_missing",
-                       F.round(exact, 1).alias("pct_missing"), exact.alias("pct_missing_exact"))
+    out = long.select(*keys, "column", "n_missing",
+                      F.round(exact, 1).alias("pct_missing"), exact.alias("pct_missing_exact"))
+    return out.orderBy(*keys, F.desc("pct_missing_exact"), "column") if order else out
 
 
 def dataset_profile(df: DataFrame, value_col: str = "aqi") -> DataFrame:

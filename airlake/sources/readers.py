@@ -47,6 +47,13 @@ def load_clean(spark: SparkSession, path: str, cities: Sequence[str], fmt: str =
     return filter_cities(load_raw(spark, path, fmt), cities, strict=True)
 
 
+def load_recent(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Recent-source table (S7), wide (City, Date, pollutants, AQI): same
+    conformance as the curated table. A missing path fails the read (Spark
+    raises PATH_NOT_FOUND), as the source is required."""
+    return load_raw(spark, path, fmt)
+
+
 def first_readable(spark: SparkSession, paths: Sequence[str]) -> str:
     """First path that exists (S10): a metadata check, no data read."""
     jvm = spark.sparkContext._jvm

@@ -177,3 +177,16 @@ def test_festival_window_inclusive(spark):
     assert r["festival_mean"] == pytest.approx(11.0)
     assert r["baseline_mean"] == pytest.approx(sum(10.0 + k for k in range(-14, 0)) / 14)
     assert math.isclose(r["pct_change"], 100 * (11.0 - r["baseline_mean"]) / r["baseline_mean"])
+
+
+def test_require_city_lists_available(spark):
+    recs = [{"city": "X", "date": "2020-01-01", "aqi": 1.0}, {"city": "Y", "date": "2020-01-01", "aqi": 1.0}]
+    with pytest.raises(ValueError, match=r"\['X', 'Y'\]"):
+        Q.require_city(city_day(spark, recs), "Z")
+    assert Q.require_city(city_day(spark, recs), "X").count() == 1
+
+
+def test_null_rates_worst_first(spark):
+    recs = [{"city": "X", "date": "2020-01-01", "pm25": 1.0, "aqi": None}]
+    rows = Q.null_rates(city_day(spark, recs), ["pm25", "aqi", "nox"], order=True).collect()
+    assert [r.column for r in rows] == ["aqi", "nox", "pm25"]
