@@ -67,9 +67,15 @@ def dominant_pollutant_by_season(shares: DataFrame, order: bool = True) -> DataF
 
 def attribution_grid(shares: DataFrame, order: bool = True) -> DataFrame:
     """Every (city, pollutant seen) on all four seasons; missing shares stay
-    NULL. The axis is a fixed 4-element explode, not a join."""
-    axis = (shares.select("city", "responsible").distinct()
-            .withColumn("season", F.explode(F.array(*[F.lit(s) for s in SEASON_ORDER]))))
-    out = axis.join(shares.select("city", "season", "responsible", "share_pct", "n_days"),
-                    ["city", "season", "responsible"], "left")
+    NULL. One aggregate per (city, pollutant) collects its seasons into a map
+    (at most four entries), then the fixed axis is exploded and looked up:
+    no self-join, so the shares are computed once."""
+    g = shares.groupBy("city", "responsible").agg(F.map_from_entries(F.collect_list(
+        F.struct("season", F.struct("share_pct", "n_days")))).alias("_m"))
+    axis = F.explode(F.array(*[F.lit(s) for s in SEASON_ORDER])).alias("season")
+    x = g.select("city", "responsible", "_m", axis)
+    out = x.select("city", "season", "responsible",
+                   F.try_element_at("_m", F.col("season")).alias("_v")).select(
+        "city", "season", "responsible", F.col("_v.share_pct").alias("share_pct"),
+        F.col("_v.n_days").alias("n_days"))
     return season_sorted(out, F.col("responsible")) if order else out

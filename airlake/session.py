@@ -13,6 +13,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Whole-stage codegen fuses the AQI expression (seven piecewise sub-indices)
+# with the surrounding aggregation into one large generated method; HotSpot
+# by default leaves methods over 8000 bytecodes interpreted. On a cluster set
+# the same flag in spark.executor.extraJavaOptions.
+JIT_HUGE_METHODS = "-XX:-DontCompileHugeMethods"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "airlake") -> SparkSession:
     builder = (
@@ -26,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("AIRLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.extraJavaOptions", JIT_HUGE_METHODS)
+        .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
