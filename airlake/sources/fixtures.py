@@ -90,19 +90,15 @@ def shifted_date(c) -> F.Column:
     return F.add_months(F.to_date(c), SHIFT_MONTHS)
 
 
-def station_day_raw(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
-    """Line items as station readings (one row per line item)."""
+def station_readings(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
+    """Line items as station readings, keyed by station only (no lookup)."""
     li = table(spark, sf_dir, "lineitem")
     if until is not None:
         # Shifting is monotone, so the cut-off is pushed to the scan unshifted.
         li = li.where(F.col("l_shipdate") < F.lit(
             dt.datetime(until.year - 20, until.month, until.day) + dt.timedelta(days=1)))
-    li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                   "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    reg = station_registry(spark, sf_dir)
-    j = li.join(reg, li.l_suppkey == reg.station_id)
-    return j.selectExpr(
-        "city", "station_id", f"add_months(to_date(l_shipdate), {SHIFT_MONTHS}) AS date",
+    return li.selectExpr(
+        "l_suppkey AS station_id", f"add_months(to_date(l_shipdate), {SHIFT_MONTHS}) AS date",
         "l_orderkey", "l_linenumber",
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity * 43 / 7 * ("
         "CASE WHEN month(l_shipdate) IN (12, 1, 2) THEN 1.5D"
@@ -118,6 +114,11 @@ def station_day_raw(spark: SparkSession, sf_dir: str, until: dt.date | None = No
     )
 
 
+def station_day_raw(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
+    """Line items as station readings with their city (one row per line item)."""
+    return station_readings(spark, sf_dir, until).join(station_registry(spark, sf_dir), "station_id")
+
+
 _BASE_POLLUTANTS = ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")
 # Means are rounded to 9 places: a parallel sum is not bit-reproducible, and
 # thresholds (AQI > 200, band edges) must not flip between runs or engines.
@@ -135,11 +136,15 @@ def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> Dat
     ``aqi`` is the mean over stations of the station-day AQI (station input
     set on daily means), so it differs from an AQI recomputed from city means.
     Two aggregations; both have map-side partial aggregation, so a hot city or
-    station is combined before the shuffle.
+    station is combined before the shuffle. Readings are reduced to
+    station-days before the station -> city lookup (city is a function of the
+    station), so the lookup join sees one row per station-day, and a shuffled
+    lookup (when the registry is too big to broadcast) moves aggregated rows.
     """
-    raw = station_day_raw(spark, sf_dir, until)
-    sd = raw.groupBy("city", "station_id", "date").agg(
+    raw = station_readings(spark, sf_dir, until)
+    sd = raw.groupBy("station_id", "date").agg(
         *[_round9(F.avg(c)).alias(c) for c in _BASE_POLLUTANTS])
+    sd = sd.join(station_registry(spark, sf_dir), "station_id")
     sd = sd.withColumn("aqi", aqi_from_concentrations(STATION_SET))
     cd = sd.groupBy("city", "date").agg(
         *[_round9(F.avg(c)).alias(c) for c in _BASE_POLLUTANTS],
