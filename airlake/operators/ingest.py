@@ -89,12 +89,12 @@ def fixed_places(c: F.Column, places: int | None) -> F.Column:
 
 def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Sequence[str] = ("o3", "co"),
                   rows: int = 8, min_rows: int = 6, dense: bool = True,
-                  places: int | None = None) -> DataFrame:
+                  places: int | None = None, tiebreak: str = "event_id") -> DataFrame:
     """Station-day table: daily means of every pollutant plus the daily max of
     the trailing ``rows``-reading mean for ``rolling`` pollutants; with
     ``dense``, every day between a station's first and last reading appears
     (all-missing days included). ``places``: see ``fixed_places``."""
-    out = rolling_daily_max(readings, list(rolling), rows, min_rows,
+    out = rolling_daily_max(readings, list(rolling), rows, min_rows, tiebreak=tiebreak,
                             means=list(pollutants), carry=["city"])
     out = out.select("city", "station_id", "date", *[
         fixed_places(F.col(c), places).alias(c) for c in (*pollutants, *[f"{r}_8h" for r in rolling])])

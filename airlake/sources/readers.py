@@ -73,7 +73,8 @@ def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
     with different columns need no per-file driver loop. Files without the
     timestamp column yield no rows; bad timestamps are dropped; numbers are
     coerced (bad text -> NULL). Plain comma-separated values (no quoted
-    commas). Output: station_id (file name without extension), ts, pollutants.
+    commas). Output: station_id (file name without extension), ts,
+    reading_id (a stable tie-break for duplicate timestamps), pollutants.
     """
     lines = (spark.read.text(folder).select(
         F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")))
@@ -89,7 +90,8 @@ def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
     ts = F.try_to_timestamp(F.trim(field(ts_header)))
     cols = [F.trim(field(src)).try_cast("double").alias(dst) for src, dst in rename.items()]
     out = body.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("station_id"),
-                      ts.cast("timestamp_ntz").alias("ts"), *cols)
+                      ts.cast("timestamp_ntz").alias("ts"),
+                      F.xxhash64("file", "line").alias("reading_id"), *cols)
     return nan_to_null(out.where(F.col("ts").isNotNull()))
 
 

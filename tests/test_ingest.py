@@ -140,3 +140,32 @@ def test_city_results_independent_of_other_cities(spark):
     full = {r.city: tuple(r) for r in C.city_summary(bd, order=False).collect()}
     only = {r.city: tuple(r) for r in C.city_summary(bd.where(F.col("city") == "ASIA"), order=False).collect()}
     assert only["ASIA"] == full["ASIA"]
+
+
+def test_build_pipeline_end_to_end(spark, scratch):
+    """Hourly files -> station lookup -> station-day (8h maxima) -> city-day
+    with start floor and AQI -> curated write -> read back."""
+    from airlake.sources.readers import attach_city, station_registry_csv
+    folder = os.path.join(scratch, "raw")
+    os.makedirs(folder)
+    for sid, base in (("S1", 40.0), ("S2", 80.0)):
+        with open(os.path.join(folder, f"{sid}.csv"), "w") as f:
+            f.write("From Date,PM2.5 (ug/m3),PM10 (ug/m3),NO2 (ug/m3),Ozone (ug/m3),CO (mg/m3)\n")
+            for h in range(48):
+                t = dt.datetime(2014, 12, 31) + dt.timedelta(hours=h)
+                f.write(f"{t:%Y-%m-%d %H:%M:%S},{base},{base * 2},{base / 2},{base + h},1.5\n")
+    reg = os.path.join(scratch, "stations.csv")
+    with open(reg, "w") as f:
+        f.write("StationId,City\nS1,CityA\nS2,CityA\nS3,Elsewhere\n")
+    readings = attach_city(scan_hourly(spark, folder), station_registry_csv(spark, reg, ["CityA"]))
+    sd = station_daily(readings, ["pm25", "pm10", "no2", "o3", "co"], tiebreak="reading_id")
+    cd = city_daily(sd, start=dt.date(2015, 1, 1))
+    rows = cd.collect()
+    assert [r.date for r in rows] == [dt.date(2015, 1, 1)]
+    r = rows[0]
+    assert r.pm25 == pytest.approx(60.0)
+    # 8-reading trailing mean of o3 = base + h over hours 24..47: max at h=47
+    assert r.o3_8h == pytest.approx(((40 + 80) / 2) + (47 + 46 + 45 + 44 + 43 + 42 + 41 + 40) / 8)
+    assert r.aqi is not None and r.aqi_bucket is not None
+    prof = write_city_day(cd.drop("o3_8h", "co_8h"), os.path.join(scratch, "out")).collect()
+    assert prof[0].n_rows == 1
