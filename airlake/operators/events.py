@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.operators.common import observed
+from airlake.operators.common import broadcast_if_small, observed
 from airlake.reference import LOCKDOWN_MONTHS, LOCKDOWN_YEAR, STUBBLE_MONTHS
 
 
@@ -15,12 +15,13 @@ def event_windows(calendar: DataFrame, days_after: int = 2, baseline_days: int =
     """Expand an event calendar (year, event_date) into one row per day of the
     treatment window [d, d+days_after] and the baseline [d-baseline_days, d-1].
     The result has (#events x window length) rows, independent of the data, so
-    it is broadcast; the join to the data is then an equi-join on date."""
+    it is broadcast (behind the size check); the join to the data is then an
+    equi-join on date."""
     off = F.explode(F.sequence(F.lit(-baseline_days), F.lit(days_after))).alias("offset")
-    return F.broadcast(
-        calendar.select("year", "event_date", off)
-        .select("year", "event_date", F.date_add("event_date", F.col("offset")).alias("date"),
-                (F.col("offset") >= 0).alias("in_event")))
+    win = (calendar.select("year", "event_date", off)
+           .select("year", "event_date", F.date_add("event_date", F.col("offset")).alias("date"),
+                   (F.col("offset") >= 0).alias("in_event")))
+    return broadcast_if_small(win)
 
 
 def festival_effect(df: DataFrame, calendar: DataFrame, col: str = "pm25", days_after: int = 2,

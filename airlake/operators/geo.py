@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlake.operators.common import broadcast_if_small
 from airlake.reference import MAX_STATIONS, RADIUS_M
 
 EARTH_RADIUS_M = 6371000.0
@@ -35,7 +36,8 @@ def nearby_sensors(locations: DataFrame, centers: DataFrame, active_from: dt.dat
     lat, lon = F.col("lat"), F.col("lon")
     dlon = F.lit(dlat) / F.cos(F.radians(F.least(F.abs(lat) + F.lit(dlat), F.lit(89.0))))
     cell = F.lit(cell_deg)
-    # centres -> covering cells; (#centres x few cells) rows, a dimension
+    # centres -> covering cells: (#centres x a few cells) rows; broadcast when
+    # the centre table is under the broadcast threshold
     cc = centers.select(
         "city", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"),
         F.explode(F.sequence(F.floor((lat - dlat) / cell), F.floor((lat + dlat) / cell))).alias("cell_lat"),
@@ -45,7 +47,7 @@ def nearby_sensors(locations: DataFrame, centers: DataFrame, active_from: dt.dat
     locs = (locations.where(F.col("last_seen") >= F.lit(active_from))
             .select("location_id", "lat", "lon", "last_seen",
                     F.floor(lat / cell).alias("cell_lat"), F.floor(lon / cell).alias("cell_lon")))
-    j = locs.join(F.broadcast(cc), ["cell_lat", "cell_lon"])
+    j = locs.join(broadcast_if_small(cc, probe=centers), ["cell_lat", "cell_lon"])
     j = j.withColumn("distance_m", haversine_m(F.col("c_lat"), F.col("c_lon"), lat, lon))
     j = j.where(F.col("distance_m") <= F.lit(float(radius_m)))
     w = Window.partitionBy("city").orderBy(F.desc("last_seen"), F.col("location_id"))

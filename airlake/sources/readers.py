@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airlake.operators.common import broadcast_if_small
 from airlake.operators.quality import filter_cities
 from airlake.schema import CITY_DAY_RENAME, HOURLY_RENAME, conform, nan_to_null
 
@@ -80,7 +81,9 @@ def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
         F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")))
     is_header = F.array_contains(F.split("line", ","), ts_header)
     headers = lines.where(is_header).select("file", F.split("line", ",").alias("hdr"))
-    body = lines.where(~is_header).join(F.broadcast(headers), "file")
+    # one header row per file: broadcast when small (size-checked), as the
+    # number of station files grows with the deployment
+    body = lines.where(~is_header).join(broadcast_if_small(headers), "file")
     fields = F.split("line", ",")
 
     def field(name: str) -> F.Column:

@@ -82,3 +82,15 @@ def test_event_window_join_is_an_equi_join(plans):
 def test_splice_is_one_aggregate_not_chained_full_joins(plans):
     names = [n.nodeName() for n in _walk(plans["splice_sources"])]
     assert not any("Join" in n and "Broadcast" not in n for n in names), names
+
+
+def test_top_n_is_limited_before_the_shuffle(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = E.queries()["nearby_sensors"](spark, SF_MID)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    partial = [i for i, l in enumerate(lines) if "WindowGroupLimit" in l and "Partial" in l]
+    exch = [i for i, l in enumerate(lines) if "Exchange hashpartitioning(city" in l]
+    assert partial and exch and min(partial) > min(exch)   # partial limit sits below the exchange
