@@ -35,44 +35,66 @@ from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SE
 
 def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, min_rows: int = 6,
                       key: str = "station_id", ts: str = "ts", tiebreak: str = "event_id",
-                      means: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+                      means: Sequence[str] = (), carry: Sequence[str] = (),
+                      chunk: str = "day") -> DataFrame:
     """Per (key, day): max over the day's readings of the ``rows``-reading
     trailing mean (NULL unless ``min_rows`` values are present). Row-based:
     missing hours widen the window, which crosses midnight. Daily means of
     ``means`` come out of the same aggregate (same partitioning, no extra
-    shuffle); ``carry`` columns must be functions of ``key``."""
+    shuffle); ``carry`` columns must be functions of ``key``.
+
+    ``chunk``: 'day' splits the ordered window per (key, day); 'hour' per
+    (key, hour), for keys whose single days are hot. Results are identical.
+    """
     look = rows - 1
     used = list(dict.fromkeys([*cols, *means]))
     r = readings.select(*carry, key, ts, tiebreak, *used).withColumn("date", F.to_date(ts))
-    chunk = Window.partitionBy(key, "date")
-    ordered = chunk.orderBy(ts, tiebreak)
+    by_day = chunk == "day"
+    if by_day:
+        ck = "date"
+    elif chunk == "hour":
+        ck = "_hour"
+        r = r.withColumn(ck, F.date_trunc("hour", F.col(ts)))
+    else:
+        raise ValueError(chunk)
+    part = Window.partitionBy(key, ck)
+    ordered = part.orderBy(ts, tiebreak)
     frame = ordered.rowsBetween(-look, 0)
     x = r.select(
-        *carry, key, "date", ts, tiebreak, *used,
-        F.row_number().over(ordered).alias("_rn"), F.count(F.lit(1)).over(chunk).alias("_cnt"),
+        *carry, key, ck, *([] if by_day else ["date"]), ts, tiebreak, *used,
+        F.row_number().over(ordered).alias("_rn"), F.count(F.lit(1)).over(part).alias("_cnt"),
         *[F.when(F.count(c).over(frame) >= min_rows, F.avg(c).over(frame)).alias(f"_r_{c}") for c in cols])
-    # (1) rows whose full frame lies inside their own day, the daily means,
-    #     and the day's reading count
-    inner = x.groupBy(key, "date", *carry).agg(
-        *[F.avg(m).alias(m) for m in means],
+    # (1) rows whose full frame lies inside their own chunk, the means (as
+    #     sums and counts when chunks must be rolled up to days), and counts
+    mean_aggs = ([F.avg(m).alias(m) for m in means] if by_day else
+                 [a for m in means for a in (F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_n_{m}"))])
+    inner = x.groupBy(key, ck, *([] if by_day else ["date"]), *carry).agg(
+        *mean_aggs,
         *[F.max(F.when(F.col("_rn") > look, F.col(f"_r_{c}"))).alias(f"_in_{c}") for c in cols],
-        F.count(F.lit(1)).alias("_cnt_day"))
+        F.count(F.lit(1)).alias("_cnt_chunk"))
     # (2) head and tail rows, positioned globally within the key: offsets are
-    #     running sums over the per-day counts (one row per key and day)
-    starts = inner.select(key, "date", F.coalesce(F.sum("_cnt_day").over(
-        Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)),
+    #     running sums over the per-chunk counts (one row per key and chunk)
+    starts = inner.select(key, ck, F.coalesce(F.sum("_cnt_chunk").over(
+        Window.partitionBy(key).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_start"))
     edge = (x.where((F.col("_rn") <= look) | (F.col("_rn") > F.col("_cnt") - look))
-            .select(key, "date", "_rn", *cols)
-            .join(starts, [key, "date"])
+            .select(key, ck, "_rn", *cols)
+            .join(starts, [key, ck])
             .withColumn("_idx", F.col("_start") + F.col("_rn")))
     ef = Window.partitionBy(key).orderBy("_idx").rowsBetween(-look, 0)
-    head = (edge.select(key, "date", "_rn", *[
+    head = (edge.select(key, ck, "_rn", *[
         F.when(F.count(c).over(ef) >= min_rows, F.avg(c).over(ef)).alias(f"_h_{c}") for c in cols])
         .where(F.col("_rn") <= look)
-        .groupBy(key, "date").agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols]))
-    return inner.drop("_cnt_day").join(head, [key, "date"], "left").select(
-        *carry, key, "date", *means, *[F.greatest(f"_in_{c}", f"_h_{c}").alias(f"{c}_8h") for c in cols])
+        .groupBy(key, ck).agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols]))
+    j = inner.drop("_cnt_chunk").join(head, [key, ck], "left")
+    if not by_day:
+        # roll hours up to days: max of maxima, sum of sums over sum of counts
+        j = j.groupBy(key, "date", *carry).agg(
+            *[(F.sum(f"_s_{m}") / F.sum(f"_n_{m}")).alias(m) for m in means],
+            *[F.max(f"_in_{c}").alias(f"_in_{c}") for c in cols],
+            *[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols])
+    return j.select(*carry, key, "date", *means,
+                    *[F.greatest(f"_in_{c}", f"_h_{c}").alias(f"{c}_8h") for c in cols])
 
 
 def fixed_places(c: F.Column, places: int | None) -> F.Column:
@@ -89,13 +111,14 @@ def fixed_places(c: F.Column, places: int | None) -> F.Column:
 
 def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Sequence[str] = ("o3", "co"),
                   rows: int = 8, min_rows: int = 6, dense: bool = True,
-                  places: int | None = None, tiebreak: str = "event_id") -> DataFrame:
+                  places: int | None = None, tiebreak: str = "event_id",
+                  chunk: str = "day") -> DataFrame:
     """Station-day table: daily means of every pollutant plus the daily max of
     the trailing ``rows``-reading mean for ``rolling`` pollutants; with
     ``dense``, every day between a station's first and last reading appears
     (all-missing days included). ``places``: see ``fixed_places``."""
     out = rolling_daily_max(readings, list(rolling), rows, min_rows, tiebreak=tiebreak,
-                            means=list(pollutants), carry=["city"])
+                            means=list(pollutants), carry=["city"], chunk=chunk)
     out = out.select("city", "station_id", "date", *[
         fixed_places(F.col(c), places).alias(c) for c in (*pollutants, *[f"{r}_8h" for r in rolling])])
     if dense:

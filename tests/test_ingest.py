@@ -32,11 +32,12 @@ def _random_readings(seed=7, n=900):
     return rows
 
 
-def test_split_rolling_matches_station_wide_rolling(spark):
+@pytest.mark.parametrize("chunk", ["day", "hour"])
+def test_split_rolling_matches_station_wide_rolling(spark, chunk):
     rows = _random_readings()
     df = spark.createDataFrame(rows, "city string, station_id long, ts timestamp_ntz, event_id long, "
                                      "o3 double, co double")
-    got = rolling_daily_max(df, ["o3", "co"]).toPandas()
+    got = rolling_daily_max(df, ["o3", "co"], means=["o3"], chunk=chunk).toPandas()
     pdf = pd.DataFrame(rows, columns=["city", "station_id", "ts", "event_id", "o3", "co"])
     exp = []
     for st, g in pdf.sort_values(["station_id", "ts", "event_id"]).groupby("station_id"):
@@ -48,6 +49,9 @@ def test_split_rolling_matches_station_wide_rolling(spark):
     exp = pd.concat(exp)
     m = exp.merge(got, on=["station_id", "date"], suffixes=("_exp", "_got"))
     assert len(m) == len(exp) == len(got)
+    means = pdf.assign(date=pdf["ts"].dt.date).groupby(["station_id", "date"])["o3"].mean()
+    mm = m.set_index(["station_id", "date"]).join(means.rename("o3_mean"))
+    assert np.allclose(mm["o3"].to_numpy(dtype=float), mm["o3_mean"].to_numpy(dtype=float), equal_nan=True)
     for c in ("o3_8h", "co_8h"):
         a, b = m[f"{c}_exp"].to_numpy(dtype=float), m[f"{c}_got"].to_numpy(dtype=float)
         assert np.array_equal(np.isnan(a), np.isnan(b)), c
