@@ -44,7 +44,8 @@ def nearby_sensors(locations: DataFrame, centers: DataFrame, active_from: dt.dat
         F.floor((lon - dlon) / cell).alias("_lo"), F.floor((lon + dlon) / cell).alias("_hi"),
     ).select("city", "c_lat", "c_lon", "cell_lat",
              F.explode(F.sequence("_lo", "_hi")).alias("cell_lon"))
-    locs = (locations.where(F.col("last_seen") >= F.lit(active_from))
+    since = F.lit(str(active_from)).cast(locations.schema["last_seen"].dataType)
+    locs = (locations.where(F.col("last_seen") >= since)
             .select("location_id", "lat", "lon", "last_seen",
                     F.floor(lat / cell).alias("cell_lat"), F.floor(lon / cell).alias("cell_lon")))
     j = locs.join(broadcast_if_small(cc, probe=centers), ["cell_lat", "cell_lon"])

@@ -54,6 +54,12 @@ SCHEMAS = {
 }
 
 
+def ntz(value: dt.datetime) -> F.Column:
+    """A TIMESTAMP_NTZ literal: compares with wall-clock columns whatever the
+    session time zone (a Python datetime literal would be zone-aware)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return reader.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,7 +101,7 @@ def station_readings(spark: SparkSession, sf_dir: str, until: dt.date | None = N
     li = table(spark, sf_dir, "lineitem")
     if until is not None:
         # Shifting is monotone, so the cut-off is pushed to the scan unshifted.
-        li = li.where(F.col("l_shipdate") < F.lit(
+        li = li.where(F.col("l_shipdate") < ntz(
             dt.datetime(until.year - 20, until.month, until.day) + dt.timedelta(days=1)))
     return li.selectExpr(
         "l_suppkey AS station_id", f"add_months(to_date(l_shipdate), {SHIFT_MONTHS}) AS date",
@@ -155,7 +161,7 @@ def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> Dat
 
 def bulletin_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second source, index only: (date 'dd-MM-yyyy', area, aqi_value text)."""
-    o = (table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(BULLETIN_FROM))
+    o = (table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= ntz(BULLETIN_FROM))
          .select("o_custkey", "o_orderdate", "o_totalprice"))
     cc = customer_city(spark, sf_dir)
     return o.join(cc, o.o_custkey == cc.c_custkey).select(

@@ -24,7 +24,9 @@ def event_time(ts: str, zone: str) -> F.Column:
     """Wall-clock ``timestamp_ntz`` -> TIMESTAMP whose UTC reading is that wall
     clock, so UTC-aligned day windows are the wall-clock days whatever the
     session zone (watermarks need TIMESTAMP)."""
-    return F.to_utc_timestamp(F.col(ts).cast("timestamp"), zone)
+    # cast reads the wall clock in the session zone; from_utc_timestamp then
+    # moves that instant so its UTC reading is the original wall clock
+    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone)
 
 
 def daily_means(readings: DataFrame, pollutants: Sequence[str], watermark: str = "2 days",
@@ -37,7 +39,8 @@ def daily_means(readings: DataFrame, pollutants: Sequence[str], watermark: str =
         long = long.withWatermark("_et", watermark)
     g = long.groupBy(F.window("_et", "1 day").alias("win"), "city", "pollutant").agg(
         F.avg("value").alias("mean"), F.count("value").alias("n"))
-    return g.withColumn("date", F.to_date(F.from_utc_timestamp(F.col("win.start"), zone)))
+    # back: the window start's UTC reading is the wall-clock day
+    return g.withColumn("date", F.to_date(F.to_utc_timestamp(F.col("win.start"), zone)))
 
 
 def run_to_table(agg: DataFrame, root: str | None = None) -> str:

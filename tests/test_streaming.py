@@ -50,3 +50,17 @@ def test_stream_over_several_batches(spark, scratch):
     assert spark.read.parquet(table).select("batch_id").distinct().count() >= 2
     out = ST.latest(spark, table, "x int").select("city", "pollutant", "date", "mean", "n")
     assert _rows(out) == _batch(spark, ev)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_days_do_not_depend_on_session_zone(spark, zone):
+    import __spark_entry__ as E
+    from airlake.plans.check import compare, duck
+    con = duck(SF_SMALL)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for key in ("stream_daily_mean", "splice_sources", "nearby_sensors"):
+            ok, msg = compare(E.queries()[key](spark, SF_SMALL), con, E.oracle_sql()[key])
+            assert ok, f"{zone} {key}: {msg}"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
