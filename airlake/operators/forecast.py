@@ -264,7 +264,9 @@ def fit_candidates(series: DataFrame, orders=CANDIDATE_ORDERS, long_ar: int = LO
         _stage2_solver({c.cid: c for c in cands}, slots),
         "city string, cand_id int, ar_coef array<double>, ma_coef array<double>, sigma2 double, "
         "aic double, n_fit long, ok boolean")
-    return fits, res
+    # one row per (city, candidate), read by selection, forecast and reports:
+    # solve once
+    return cut_lineage(fits), res
 
 
 def select_order(fits: DataFrame) -> DataFrame:
