@@ -17,7 +17,8 @@ def write_city_day(df: DataFrame, path: str, mode: str = "overwrite",
                    partitions: int | None = None) -> DataFrame:
     """Write, then return the coverage report of what was written (rows,
     date span and AQI coverage per city), read back from the written table."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(n, "city", "date").sortWithinPartitions("city", "date")
+    ranged = (df.repartitionByRange(partitions, "city", "date") if partitions
+              else df.repartitionByRange("city", "date"))  # spark.sql.shuffle.partitions, AQE-sized
+    (ranged.sortWithinPartitions("city", "date")
      .write.mode(mode).partitionBy("city").parquet(path))
     return dataset_profile(df.sparkSession.read.parquet(path))
