@@ -59,3 +59,22 @@ def sql_round6(sql: str) -> str:
         else:
             out.append(f"round({sql_round6(inner)}, {digits})")
         i = k
+
+
+def sql_count_if(sql: str) -> str:
+    """Rewrite ``count_if(<cond>)`` as ``count(CASE WHEN <cond> THEN 1 END)``:
+    DuckDB types count_if as HUGEINT, count as BIGINT (Spark's type). Works
+    unchanged before an OVER clause."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"count(CASE WHEN ({sql_count_if(sql[j + len(key):k - 1])}) THEN 1 END)")
+        i = k

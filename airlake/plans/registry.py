@@ -24,9 +24,9 @@ def all_queries():
 
 
 def all_oracle():
-    from airlake.plans.base import sql_round6
+    from airlake.plans.base import sql_count_if, sql_round6
 
     out = {}
     for m in _mods():
-        out.update({k: sql_round6(v) for k, v in getattr(m, "ORACLE", {}).items()})
+        out.update({k: sql_count_if(sql_round6(v)) for k, v in getattr(m, "ORACLE", {}).items()})
     return out

@@ -37,3 +37,16 @@ def test_entry(spark):
     df = E.entry(spark)
     assert set(df.columns) == {"city", "season", "responsible", "n_days", "share_pct"}
     assert df.count() > 0
+
+
+SPARK_TO_DUCK = {"DoubleType()": "DOUBLE", "LongType()": "BIGINT", "IntegerType()": "INTEGER",
+                 "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN",
+                 "TimestampNTZType()": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE))
+def test_oracle_types_match(spark, con, key):
+    df = QUERIES[key](spark, SF_SMALL)
+    st = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    res = con.execute(f"select * from ({ORACLE[key]}) limit 0")
+    assert st == {c[0]: str(c[1]) for c in res.description}
