@@ -52,7 +52,17 @@ def q_stream_daily_mean(s, d):
     return rounded(ST.stream_daily_mean(s, src, schema, X.readings_from_events, STREAM_POLLUTANTS))
 
 
+def q_daily_series_status(s, d):
+    return SE.daily_series(X.base_day(s, d), "aqi", 7)[1]
+
+
+def q_decomposition_status(s, d):
+    return SE.decomposition_status(SE.monthly_series(X.base_day(s, d), "pm25", 2))
+
+
 QUERIES = {
+    "daily_series_status": q_daily_series_status,
+    "decomposition_status": q_decomposition_status,
     "monthly_series_filled": lambda s, d: rounded(SE.monthly_series(X.sparse_day(s, d), "v", 2)),
     "seasonal_decompose": lambda s, d: rounded(_decomposed(s, d)),
     "seasonal_cycle": lambda s, d: rounded(SE.seasonal_cycle(_decomposed(s, d))),
@@ -158,7 +168,19 @@ def _w(ctes: str, body: str, base: bool = True) -> str:
     return (f"with {S.base_ctes()}{ctes}" if base else "with " + ctes.lstrip(",\n")) + "\n" + body
 
 
+STATUS_DAILY = filled_series(AQI_D, "DAY", 7, False) + """,
+ds0 as (select *, count_if(was_missing) over (partition by city) as n_interpolated,
+          count_if(filled is null) over (partition by city) as n_remaining from f)"""
+
 ORACLE = {
+    "daily_series_status": _w(STATUS_DAILY, """
+select city, count(*) as n_days, max(n_interpolated) as n_interpolated, max(n_remaining) as n_remaining,
+  case when max(n_remaining) = 0 then 'ok' else 'gaps_remaining' end as status
+from ds0 group by city"""),
+    "decomposition_status": _w(filled_series(PM25_M, "MONTH", 2, True), """
+select city, max(n_months) as n_months, max(n_interpolated) as n_interpolated,
+  case when max(n_months) >= 24 then 'ok' else 'too_short' end as status
+from k group by city"""),
     "monthly_series_filled": _w(filled_series(SPARSE_M, "MONTH", 2, True),
                                 "select city, t as month, round(value, 6) as value, interpolated, n_interpolated,"
                                 " n_months, pos from k", base=False),
