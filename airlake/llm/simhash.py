@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from airlake.llm.graph import components
 from airlake.session import cut_lineage
@@ -47,19 +48,21 @@ def _fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint as the bits of a signed long."""
+    """doc_id, text_hash, fp: the fingerprint as the bits of a signed long."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.fromiter((_fingerprint(t.encode(), shingle) for t in batch.column(1).to_pylist()), "<u8",
+            fps = np.fromiter((_fingerprint(t.encode(), shingle) for t in batch.column(2).to_pylist()), "<u8",
                               batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))],
+                                             ["doc_id", "text_hash", "fp"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -178,6 +181,16 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def _grouped(marked: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``marked(doc_id, fp, ...)`` with component_fp and component_id."""
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(classes.select("fp"), distance, segments))
+    joined = classes.join(found, classes.fp == found.node, "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component_fp"))
+    roots = joined.groupBy("component_fp").agg(F.min("least").alias("component_id"))
+    return marked.join(joined.join(roots, "component_fp").drop("least"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id linked, itself included): one
     row per input row.
@@ -189,10 +202,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     none). An empty table gives no rows. Texts of any length count whole.
     """
     marked = cut_lineage(fingerprints(docs, shingle))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("fp"), distance, segments))
-    joined = classes.join(found, classes.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(roots, "component").select("fp", "component_id")
-    return marked.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(marked, distance, segments).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
+    """``docs`` with all its columns: of each group of near-duplicates the row
+    with the smallest doc_id (null ids last), one row even if it is repeated.
+    The texts are shuffled once, to meet the keys of the rows that stay."""
+    marked = cut_lineage(fingerprints(docs, shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    stay = _grouped(marked, distance, segments).groupBy("component_fp").agg(F.min(order).alias("least")).select(
+        F.col("least.doc_id").alias("stay_id"), F.col("least.text_hash").alias("stay_hash"))
+    rows = docs.select(F.struct("*").alias("all"))
+    rows = rows.select("all", F.col("all.doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.coalesce("all.text", F.lit(""))).alias("text_hash"))
+    joined = rows.join(stay, rows.id.eqNullSafe(stay.stay_id) & (rows.text_hash == stay.stay_hash))
+    copy = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("id"))
+    return joined.withColumn("copy", copy).where("copy = 1").select("all.*")
