@@ -70,9 +70,9 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
                         .alias("out"))
 
     def fold(found: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)) / F.lit(BLOCK)).cast("array<int>")
-        empty = F.lit(None).cast(SPAN)
-        start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(SPAN)).alias("out"))
+        last = F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / BLOCK).cast("int")
+        blocks = F.sequence(F.lit(0), last)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
         whole = F.aggregate(blocks, start, lambda acc, b: F.aggregate(
             F.slice(found, b * BLOCK + 1, BLOCK),
             F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out")), one,
