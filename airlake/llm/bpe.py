@@ -13,7 +13,7 @@ import re
 
 ADJACENT_SPACE = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 
 
 def chunks(text: str) -> list[str]:
@@ -22,16 +22,21 @@ def chunks(text: str) -> list[str]:
 
 
 class BoundedCache(dict):
-    """Dict that computes missing values and starts anew when full."""
+    """Dict that computes missing values. When half of ``entries`` are new, the
+    older half is dropped; what is asked for again in time is kept."""
 
     def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.half, self.older = make, max(1, entries // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
