@@ -7,5 +7,5 @@ from airlake.functions.aqi import (  # noqa: F401
 from airlake.functions.calendar import (  # noqa: F401
     month_name, month_start, season_of, season_of_date, season_rank,
 )
-from airlake.functions.stats import pct, pearson, r6  # noqa: F401
+from airlake.functions.stats import pearson  # noqa: F401
 from airlake.functions.units import convert_units  # noqa: F401

@@ -57,27 +57,33 @@ def si_name(label: str) -> str:
 
 
 def n_available_sql(exprs: Sequence[str]) -> str:
-    return " + ".join(f"CAST({q(e)} IS NOT NULL AS INT)" for e in exprs)
+    return " + ".join(f"CAST({q(e)} IS NOT NULL AS INT)" for e in exprs) or "0"
 
 
 def n_available(exprs: Sequence[str]) -> Column:
     return F.expr(n_available_sql(exprs))
 
 
-def aqi_of_sql(exprs: Sequence[str], min_count: int = MIN_SUB_INDICES) -> str:
-    return (f"(CASE WHEN {n_available_sql(exprs)} >= {min_count} "
-            f"THEN greatest({', '.join(q(e) for e in exprs)}) END)")
+def largest_sql(exprs: Sequence[str]) -> str:
+    """Largest of any number of expressions (none: missing); ``greatest``
+    itself needs two."""
+    names = [q(e) for e in exprs]
+    return f"greatest({', '.join(names)})" if len(names) > 1 else (names or ["CAST(NULL AS DOUBLE)"])[0]
+
+
+def largest(exprs: Sequence[str]) -> Column:
+    return F.expr(largest_sql(exprs))
 
 
 def aqi_of(exprs: Sequence[str], min_count: int = MIN_SUB_INDICES) -> Column:
     """Maximum available sub-index, missing unless ``min_count`` are present."""
-    return F.expr(aqi_of_sql(exprs, min_count))
+    return F.expr(f"(CASE WHEN {n_available_sql(exprs)} >= {min_count} THEN {largest_sql(exprs)} END)")
 
 
 def responsible_of(labels: Sequence[str], max_col: str) -> Column:
     """Label of the first sub-index (in ``labels`` order) equal to the max."""
     whens = " ".join(f"WHEN {q(si_name(lab))} = {q(max_col)} THEN '{lab}'" for lab in labels)
-    return F.expr(f"(CASE {whens} END)")
+    return F.expr(f"(CASE {whens} END)" if whens else "CAST(NULL AS STRING)")
 
 
 def aqi_bucket_sql(aqi: str) -> str:
@@ -92,6 +98,10 @@ def aqi_bucket(aqi: str) -> Column:
 
 def aqi_from_concentrations(labels: Sequence[str], source: Mapping[str, str] | None = None,
                             min_count: int = MIN_SUB_INDICES) -> Column:
-    """AQI straight from concentration columns (sub-indices inlined)."""
-    sis = [sub_index_sql((source or {}).get(lab, col_of(lab)), lab) for lab in labels]
-    return F.expr(aqi_of_sql(sis, min_count))
+    """AQI straight from concentration columns: the largest sub-index, missing
+    unless ``min_count`` are present. A sub-index is missing exactly when its
+    concentration is, so the concentrations are counted and each sub-index is
+    evaluated once."""
+    cols = [(source or {}).get(lab, col_of(lab)) for lab in labels]
+    sis = [sub_index_sql(c, lab) for c, lab in zip(cols, labels)]
+    return F.expr(f"(CASE WHEN {n_available_sql(cols)} >= {min_count} THEN {largest_sql(sis)} END)")

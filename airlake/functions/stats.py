@@ -13,12 +13,3 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     y = F.col(y) if isinstance(y, str) else y
     den = F.stddev_pop(x) * F.stddev_pop(y)
     return F.when(den > 0, F.covar_pop(x, y) / den)
-
-
-def pct(cond: Column) -> Column:
-    """Share of rows (in percent) where ``cond`` holds."""
-    return F.avg(cond.cast("double")) * F.lit(100.0)
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)

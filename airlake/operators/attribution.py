@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlake.functions.aqi import n_available, responsible_of, si_name, sub_index
+from airlake.functions.aqi import largest, n_available, responsible_of, si_name, sub_index
 from airlake.functions.stats import pearson
 from airlake.reference import ATTRIBUTION_SET, MIN_SUB_INDICES, SEASON_ORDER, col_of
 from airlake.operators.common import for_cities, season_sorted, with_season
@@ -24,10 +24,9 @@ def compute_sub_indices(df: DataFrame, pollutants: Sequence[str] = ATTRIBUTION_S
     narrow projection and filter: no shuffle."""
     present = [p for p in pollutants if col_of(p) in df.columns]
     sis = [sub_index(col_of(p), p).alias(si_name(p)) for p in present]
-    base = for_cities(df, cities).select("city", "date", "aqi", *sis)
-    si_cols = [si_name(p) for p in present]
-    return (base.where(n_available(si_cols) >= min_count)
-            .withColumn("computed_aqi", F.greatest(*si_cols))
+    enough = for_cities(df, cities).where(n_available([col_of(p) for p in present]) >= min_count)
+    return (enough.select("city", "date", "aqi", *sis)
+            .withColumn("computed_aqi", largest([si_name(p) for p in present]))
             .withColumn("responsible", responsible_of(present, "computed_aqi")))
 
 

@@ -44,15 +44,19 @@ def seasonality_index(df: DataFrame, cities: Sequence[str] | None = None, col: s
     return out.orderBy(F.desc("winter_monsoon_ratio"), "city") if order else out
 
 
-def city_headline(summary: DataFrame, seasonality: DataFrame, focus: str) -> DataFrame:
+def city_headline(df: DataFrame, focus: str, col: str = "aqi", seasonal_col: str = "pm25",
+                  bad_threshold: float = 200.0) -> DataFrame:
     """Focus city against the unweighted mean of the others, its share of bad
     days, its seasonal ratio, and the most seasonal city (first on ties).
-    Both inputs have one row per city: they are joined on city, then reduced
-    by a single aggregate (no join on a constant key)."""
-    is_f = F.col("city") == focus
-    j = summary.select("city", "mean", "pct_bad").join(
-        seasonality.select("city", "winter_monsoon_ratio"), "city", "full")
-    r = F.col("winter_monsoon_ratio")
+    The city-day table is read once: one aggregate per city with conditional
+    means, then one over the cities."""
+    v, s, season = F.col(col), F.col(seasonal_col), season_of_date("date")
+    j = df.groupBy("city").agg(
+        F.avg(v).alias("mean"),
+        (F.avg((v > F.lit(float(bad_threshold))).cast("double")) * 100.0).alias("pct_bad"),
+        F.avg(F.when(season == "Winter", s)).alias("winter"),
+        F.avg(F.when(season == "Monsoon", s)).alias("monsoon"))
+    is_f, r = F.col("city") == focus, F.try_divide("winter", "monsoon")
     g = j.agg(
         F.max(F.when(is_f, F.col("mean"))).alias("focus_mean"),
         F.avg(F.when(~is_f, F.col("mean"))).alias("others_mean"),

@@ -5,20 +5,20 @@ Row-based rolling mean (W1), split for skew
 -------------------------------------------
 The 8-reading trailing mean must follow each station's reading order, but a
 window partitioned by station alone puts a whole station in one task (a hot
-station may hold a third of all rows). We partition by (station, day) instead:
-
-1. One window pass per (station, day) gives, for every reading, its rank in
-   the day and the in-day trailing sum/count. Readings ranked >= 8 already see
-   their full 8-row frame.
-2. Only the first and last 7 readings of each station-day can need or supply
-   rows across a day boundary. That set is at most 14 rows per station-day,
-   independent of data density. A global position inside the station is
-   derived from per-day counts (a table of station-days, bounded by the
-   calendar), and the trailing window is recomputed on that small set.
-3. Daily maxima from both parts are merged with ``greatest`` (NULL-skipping).
+station may hold a third of all rows). Readings are cut into chunks of an hour
+instead and read once:
+
+1. One window pass per (station, hour) gives the trailing mean of every
+   reading that has its full 8-row frame inside its chunk. The aggregate over
+   the same partitioning keeps, per chunk, the largest of these, sums and
+   counts for the daily means, and the first and last 7 readings as arrays.
+2. A window over the chunk table (one row per station and hour) hands every
+   chunk the last 7 readings before it; the frames of its own first 7 readings
+   are evaluated on these short arrays.
+3. Chunks roll up to days.
 
 The result equals a station-wide row window exactly, with parallelism of
-stations x days instead of stations.
+stations x hours instead of stations, one scan and one shuffle of the readings.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlake.functions.aqi import aqi_bucket, aqi_from_concentrations, si_name, sub_index
+from airlake.functions.aqi import aqi_bucket, aqi_from_concentrations, n_available
 from airlake.functions.units import convert_units
 from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SET, col_of
 
@@ -36,65 +36,53 @@ from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SE
 def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, min_rows: int = 6,
                       key: str = "station_id", ts: str = "ts", tiebreak: str = "event_id",
                       means: Sequence[str] = (), carry: Sequence[str] = (),
-                      chunk: str = "day") -> DataFrame:
+                      chunk: str = "hour") -> DataFrame:
     """Per (key, day): max over the day's readings of the ``rows``-reading
     trailing mean (NULL unless ``min_rows`` values are present). Row-based:
     missing hours widen the window, which crosses midnight. Daily means of
-    ``means`` come out of the same aggregate (same partitioning, no extra
-    shuffle); ``carry`` columns must be functions of ``key``.
-
-    ``chunk``: 'day' splits the ordered window per (key, day); 'hour' per
-    (key, hour), for keys whose single days are hot. Results are identical.
+    ``means`` come out of the same aggregate; ``carry`` columns must be
+    functions of ``key``. ``chunk``: a ``date_trunc`` unit of a day at most;
+    results do not depend on it.
     """
     look = rows - 1
     used = list(dict.fromkeys([*cols, *means]))
-    r = readings.select(*carry, key, ts, tiebreak, *used).withColumn("date", F.to_date(ts))
-    by_day = chunk == "day"
-    if by_day:
-        ck = "date"
-    elif chunk == "hour":
-        ck = "_hour"
-        r = r.withColumn(ck, F.date_trunc("hour", F.col(ts)))
-    else:
-        raise ValueError(chunk)
-    part = Window.partitionBy(key, ck)
+    r = readings.select(*carry, key, ts, tiebreak, *used).withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
+    part = Window.partitionBy(key, "_chunk")
     ordered = part.orderBy(ts, tiebreak)
     frame = ordered.rowsBetween(-look, 0)
     x = r.select(
-        *carry, key, ck, *([] if by_day else ["date"]), ts, tiebreak, *used,
+        *carry, key, "_chunk", *used,
         F.row_number().over(ordered).alias("_rn"), F.count(F.lit(1)).over(part).alias("_cnt"),
         *[F.when(F.count(c).over(frame) >= min_rows, F.avg(c).over(frame)).alias(f"_r_{c}") for c in cols])
-    # (1) rows whose full frame lies inside their own chunk, the means (as
-    #     sums and counts when chunks must be rolled up to days), and counts
-    mean_aggs = ([F.avg(m).alias(m) for m in means] if by_day else
-                 [a for m in means for a in (F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_n_{m}"))])
-    inner = x.groupBy(key, ck, *([] if by_day else ["date"]), *carry).agg(
-        *mean_aggs,
+    reading = F.struct("_rn", *cols)
+    chunks = x.groupBy(key, "_chunk", *carry).agg(
+        *[F.sum(m).alias(f"_s_{m}") for m in means], *[F.count(m).alias(f"_n_{m}") for m in means],
         *[F.max(F.when(F.col("_rn") > look, F.col(f"_r_{c}"))).alias(f"_in_{c}") for c in cols],
-        F.count(F.lit(1)).alias("_cnt_chunk"))
-    # (2) head and tail rows, positioned globally within the key: offsets are
-    #     running sums over the per-chunk counts (one row per key and chunk)
-    starts = inner.select(key, ck, F.coalesce(F.sum("_cnt_chunk").over(
-        Window.partitionBy(key).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_start"))
-    edge = (x.where((F.col("_rn") <= look) | (F.col("_rn") > F.col("_cnt") - look))
-            .select(key, ck, "_rn", *cols)
-            .join(starts, [key, ck])
-            .withColumn("_idx", F.col("_start") + F.col("_rn")))
-    ef = Window.partitionBy(key).orderBy("_idx").rowsBetween(-look, 0)
-    head = (edge.select(key, ck, "_rn", *[
-        F.when(F.count(c).over(ef) >= min_rows, F.avg(c).over(ef)).alias(f"_h_{c}") for c in cols])
-        .where(F.col("_rn") <= look)
-        .groupBy(key, ck).agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols]))
-    j = inner.drop("_cnt_chunk").join(head, [key, ck], "left")
-    if not by_day:
-        # roll hours up to days: max of maxima, sum of sums over sum of counts
-        j = j.groupBy(key, "date", *carry).agg(
-            *[(F.sum(f"_s_{m}") / F.sum(f"_n_{m}")).alias(m) for m in means],
-            *[F.max(f"_in_{c}").alias(f"_in_{c}") for c in cols],
-            *[F.max(f"_h_{c}").alias(f"_h_{c}") for c in cols])
-    return j.select(*carry, key, "date", *means,
-                    *[F.greatest(f"_in_{c}", f"_h_{c}").alias(f"{c}_8h") for c in cols])
+        F.array_sort(F.collect_list(F.when(F.col("_rn") <= look, reading))).alias("_head"),
+        F.array_sort(F.collect_list(F.when(F.col("_rn") > F.col("_cnt") - look, reading))).alias("_tail"))
+    # every chunk has a reading, so the last ``look`` ones lie in as many chunks
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(-look, -1)
+    c = chunks.withColumn("_before", F.flatten(F.collect_list("_tail").over(earlier)))
+    c = c.withColumn("_before", F.when(F.size("_before") > look, F.slice("_before", -look, look))
+                     .otherwise(F.col("_before")))
+    c = c.withColumn("_seen", F.concat("_before", "_head"))
+
+    def head_max(name: str) -> F.Column:
+        def trailing(i):
+            at = F.size("_before") + i
+            begin = F.greatest(at - look, F.lit(0))
+            values = F.filter(F.transform(F.slice("_seen", begin + 1, at - begin + 1), lambda s: s[name]),
+                              lambda v: v.isNotNull())
+            return F.when(F.size(values) >= min_rows,
+                          F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.size("_head") - 1), trailing))
+
+    days = c.select(*carry, key, F.to_date("_chunk").alias("date"), *[f"_s_{m}" for m in means],
+                    *[f"_n_{m}" for m in means],
+                    *[F.greatest(f"_in_{n}", head_max(n)).alias(f"_max_{n}") for n in cols])
+    return days.groupBy(*carry, key, "date").agg(
+        *[F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_n_{m}")).alias(m) for m in means],
+        *[F.max(f"_max_{n}").alias(f"{n}_8h") for n in cols])
 
 
 def fixed_places(c: F.Column, places: int | None) -> F.Column:
@@ -112,7 +100,7 @@ def fixed_places(c: F.Column, places: int | None) -> F.Column:
 def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Sequence[str] = ("o3", "co"),
                   rows: int = 8, min_rows: int = 6, dense: bool = True,
                   places: int | None = None, tiebreak: str = "event_id",
-                  chunk: str = "day") -> DataFrame:
+                  chunk: str = "hour") -> DataFrame:
     """Station-day table: daily means of every pollutant plus the daily max of
     the trailing ``rows``-reading mean for ``rolling`` pollutants; with
     ``dense``, every day between a station's first and last reading appears
@@ -171,9 +159,5 @@ def index_guard(wide: DataFrame, keys: Sequence[str], aqi_set: Sequence[str] = F
                 min_count: int = MIN_SUB_INDICES) -> DataFrame:
     """Per key: number of available sub-indices and the AQI, which stays
     missing below ``min_count`` (P10, P12 guard)."""
-    sis = [sub_index(col_of(p), p).alias(si_name(p)) for p in aqi_set]
-    x = wide.select(*keys, *sis)
-    names = [si_name(p) for p in aqi_set]
-    n = sum((F.col(c).isNotNull().cast("int") for c in names[1:]), F.col(names[0]).isNotNull().cast("int"))
-    return x.select(*keys, n.alias("n_sub_indices"),
-                    F.when(n >= min_count, F.greatest(*names)).alias("aqi"))
+    return wide.select(*keys, n_available([col_of(p) for p in aqi_set]).alias("n_sub_indices"),
+                       aqi_from_concentrations(aqi_set, min_count=min_count).alias("aqi"))

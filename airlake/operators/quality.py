@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 KEY_COLUMNS: tuple[str, ...] = ("pm25", "pm10", "no2", "nox", "nh3", "co", "so2", "o3", "aqi")
 
 
-def filter_cities(df: DataFrame, cities: Sequence[str], strict: bool = True) -> DataFrame:
-    """Keep the listed cities. With ``strict``, fail when none is present: a
-    ``limit(1)`` probe, which stops at the first matching row."""
-    out = df.where(F.col("city").isin(list(cities)))
-    if strict and not out.select("city").limit(1).collect():
+def filter_cities(df: DataFrame, cities: Sequence[str], strict: bool = True,
+                  known: DataFrame | None = None) -> DataFrame:
+    """Keep the listed cities. With ``strict``, fail when none is present in
+    ``known``, a small table with a ``city`` column (a region dimension, a
+    station registry). Without it ``df`` itself is probed for one row, which is
+    cheap on a plain scan but runs the whole plan of an aggregated frame."""
+    wanted = F.col("city").isin(list(cities))
+    if strict and (df if known is None else known).where(wanted).select("city").isEmpty():
         raise ValueError(f"None of the cities {list(cities)} are present in the data.")
-    return out
+    return df.where(wanted)
 
 
 def require_city(df: DataFrame, city: str) -> DataFrame:

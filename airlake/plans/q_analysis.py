@@ -10,6 +10,7 @@ from airlake.operators import trends as T
 from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.reference import FESTIVAL_DATES
+from airlake.session import cut_lineage
 from airlake.sources import fixtures as X
 
 FOCUS = "ASIA"
@@ -20,6 +21,12 @@ def _bd(spark, sf):
     return X.base_day(spark, sf)
 
 
+def q_event_headline(spark, sf):
+    """Both effects need the city-day table: it is computed once."""
+    cd = cut_lineage(_bd(spark, sf).select("city", "date", "pm25"))
+    return rounded(EV.event_headline(EV.festival_effect(cd, X.festival_calendar(spark)), EV.season_effect(cd)))
+
+
 QUERIES = {
     "monthly_trend": lambda s, d: rounded(T.monthly_trend(_bd(s, d), "aqi")),
     "monthly_rolling12": lambda s, d: rounded(T.monthly_rolling(T.monthly_trend(_bd(s, d), "aqi"))),
@@ -31,19 +38,18 @@ QUERIES = {
     "season_effect": lambda s, d: rounded(EV.season_effect(_bd(s, d))),
     "lockdown_effect": lambda s, d: rounded(EV.lockdown_effect(_bd(s, d))),
     "lockdown_summary": lambda s, d: rounded(EV.lockdown_summary(EV.lockdown_effect(_bd(s, d)))),
-    "event_headline": lambda s, d: rounded(EV.event_headline(
-        EV.festival_effect(_bd(s, d), X.festival_calendar(s)), EV.season_effect(_bd(s, d)))),
+    "event_headline": q_event_headline,
     "city_summary": lambda s, d: rounded(C.city_summary(_bd(s, d))),
     "seasonal_city_means": lambda s, d: rounded(C.seasonal_city_means(_bd(s, d))),
     "seasonality_index": lambda s, d: rounded(C.seasonality_index(_bd(s, d))),
-    "city_headline": lambda s, d: rounded(C.city_headline(
-        C.city_summary(_bd(s, d), order=False), C.seasonality_index(_bd(s, d), order=False), FOCUS)),
+    "city_headline": lambda s, d: rounded(C.city_headline(_bd(s, d), FOCUS)),
     "health_exceedance": lambda s, d: rounded(H.health_exceedance(_bd(s, d))),
     "health_summary": lambda s, d: rounded(H.health_summary(_bd(s, d))),
     "health_day_classes": lambda s, d: H.health_day_classes(H.health_exceedance(_bd(s, d))),
     "null_rates": lambda s, d: rounded(Q.null_rates(_bd(s, d))),
     "dataset_profile": lambda s, d: rounded(Q.dataset_profile(_bd(s, d))),
-    "region_filter": lambda s, d: rounded(Q.filter_cities(_bd(s, d), REGION)),
+    "region_filter": lambda s, d: rounded(Q.filter_cities(
+        X.base_day(s, d, cities=REGION), REGION, known=X.region_names(s, d))),
 }
 
 # --------------------------------------------------------------------------- oracle

@@ -26,7 +26,7 @@ def _recent(s, d):
 
 
 def q_splice(s, d):
-    base = X.base_day(s, d)
+    base = X.base_day(s, d, until=X.BASE_END)
     bul = SP.scan_bulletin(X.bulletin_raw(s, d), X.CITY_NAMES, X.BASE_END)
     return rounded(SP.splice_sources(base, bul, _recent(s, d)))
 
@@ -89,7 +89,7 @@ recent as (select *, {S.aqi_from(FEED_SET)} as aqi from wide)"""
 
 
 def _w(ctes: str, body: str, base: bool = False) -> str:
-    head = f"with {S.base_ctes()}{ctes}" if base else "with " + ctes.lstrip(",\n")
+    head = f"with {S.base_ctes(str(X.BASE_END))}{ctes}" if base else "with " + ctes.lstrip(",\n")
     return f"{head}\n{body}"
 
 

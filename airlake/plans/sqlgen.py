@@ -9,7 +9,7 @@ from airlake.reference import (
     AQI_BUCKETS, AQI_TOP_BUCKET, BREAKPOINTS, MIN_SUB_INDICES, MONTH_NAMES, SEASON_MONTHS,
     SEASON_ORDER, STATION_SET, col_of,
 )
-from airlake.sources.fixtures import CENTERS, CITY_NAMES, SPARSE_DROP
+from airlake.sources.fixtures import CENTERS, CITY_NAMES, SPARSE_MONTHS
 
 
 def d(x: float) -> str:
@@ -102,15 +102,16 @@ def _r9(e: str) -> str:
 _P = ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")
 
 
-def base_ctes(until: str = "2021-03-31") -> str:
-    """CTEs station_day_raw, base_station_day, base_day."""
+def base_ctes(until: str | None = None) -> str:
+    """CTEs station_day_raw, base_station_day, base_day (cut for the splice only)."""
+    where = f"where date <= date '{until}'" if until else ""
     avgs = ", ".join(f"{_r9(f'avg({c})')} as {c}" for c in _P)
     return f"""
 station_day_raw as ({STATION_DAY_RAW}
 ),
 base_station_day as (
   select city, station_id, date, {avgs}
-  from station_day_raw where date <= date '{until}'
+  from station_day_raw {where}
   group by city, station_id, date
 ),
 base_day as (
@@ -167,7 +168,8 @@ LOCATIONS = f"""
       on lo.o_custkey = c_custkey"""
 
 SPARSE_DAY = f"""
-  select r_name as city, cast(l_shipdate + interval 20 year as date) as date, l_quantity as v
+  select r_name as city, cast(l_shipdate + interval 20 year as date) as date,
+    case when (year(l_shipdate) * 12 + month(l_shipdate)) % 29 not in ({', '.join(map(str, SPARSE_MONTHS))})
+      then l_quantity end as v
   from lineitem join supplier on l_suppkey = s_suppkey
-    join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-  where (year(l_shipdate) * 12 + month(l_shipdate)) % 29 not in ({', '.join(map(str, SPARSE_DROP))})"""
+    join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""

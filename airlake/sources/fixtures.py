@@ -13,12 +13,13 @@ only when their measured size is under ``spark.sql.autoBroadcastJoinThreshold``
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlake.functions.aqi import aqi_bucket, aqi_from_concentrations
-from airlake.operators.common import broadcast_if_small
+from airlake.operators.common import broadcast_if_small, for_cities
 from airlake.reference import FESTIVAL_DATES, STATION_SET
 from airlake.schema import conform
 
@@ -29,13 +30,13 @@ BULLETIN_FROM = dt.datetime(2001, 1, 1)  # unshifted order date
 ACTIVE_FROM = dt.datetime(2021, 1, 1)    # shifted last-seen cut-off
 CITY_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 CENTERS = (
-    ("AFRICA", 28.6139, 77.2090),
-    ("AMERICA", 19.0760, 72.8777),
-    ("ASIA", 22.5726, 88.3639),
-    ("EUROPE", 12.9716, 77.5946),
-    ("MIDDLE EAST", 25.5941, 85.1376),
+    ("AFRICA", -6.25, 35.5),
+    ("AMERICA", 41.5, -93.75),
+    ("ASIA", 30.75, 103.25),
+    ("EUROPE", 48.5, 9.25),
+    ("MIDDLE EAST", 24.25, 45.5),
 )
-SPARSE_DROP = (3, 4, 5, 6, 17)
+SPARSE_MONTHS = (3, 4, 5, 6, 17)
 
 
 # Schemas of the given tables, stated so that reads skip schema inference
@@ -75,13 +76,14 @@ def _with_region(df: DataFrame, nation_key: str, spark: SparkSession, sf_dir: st
             .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
 
 
-def station_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_registry(spark: SparkSession, sf_dir: str, cities: Sequence[str] | None = None) -> DataFrame:
     """(station_id, city): suppliers mapped to their region. Broadcast when
     the supplier projection (which bounds this N:1 lookup) is under the
     broadcast threshold; a shuffled join otherwise."""
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     out = _with_region(sup, "s_nationkey", spark, sf_dir).select(
         F.col("s_suppkey").alias("station_id"), "city")
+    out = for_cities(out, cities)
     return broadcast_if_small(out, probe=sup)
 
 
@@ -120,11 +122,6 @@ def station_readings(spark: SparkSession, sf_dir: str, until: dt.date | None = N
     )
 
 
-def station_day_raw(spark: SparkSession, sf_dir: str, until: dt.date | None = None) -> DataFrame:
-    """Line items as station readings with their city (one row per line item)."""
-    return station_readings(spark, sf_dir, until).join(station_registry(spark, sf_dir), "station_id")
-
-
 _BASE_POLLUTANTS = ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")
 # Means are rounded to 9 places: a parallel sum is not bit-reproducible, and
 # thresholds (AQI > 200, band edges) must not flip between runs or engines.
@@ -136,8 +133,16 @@ def _round9(c: F.Column) -> F.Column:
     return F.floor(c * F.lit(MEAN_SCALE) + F.lit(0.5)) / F.lit(MEAN_SCALE)
 
 
-def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> DataFrame:
+def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.col("r_name").alias("city"))
+
+
+def base_day(spark: SparkSession, sf_dir: str, until: dt.date | None = None,
+             cities: Sequence[str] | None = None) -> DataFrame:
     """City-day table: station-day means, then the unweighted mean of stations.
+    All line items are read; only the splice cuts its base source (``until``).
+    ``cities``: readings of other cities' stations are dropped by a semi-join
+    before the first aggregation.
 
     ``aqi`` is the mean over stations of the station-day AQI (station input
     set on daily means), so it differs from an AQI recomputed from city means.
@@ -148,6 +153,9 @@ def base_day(spark: SparkSession, sf_dir: str, until: dt.date = BASE_END) -> Dat
     lookup (when the registry is too big to broadcast) moves aggregated rows.
     """
     raw = station_readings(spark, sf_dir, until)
+    if cities is not None:
+        wanted = station_registry(spark, sf_dir, cities).select("station_id")
+        raw = raw.join(wanted, "station_id", "left_semi")
     sd = raw.groupBy("station_id", "date").agg(
         *[_round9(F.avg(c)).alias(c) for c in _BASE_POLLUTANTS])
     sd = sd.join(station_registry(spark, sf_dir), "station_id")
@@ -230,13 +238,13 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by city with planted monthly gaps: (city, date, v)."""
+    """Line items by city, with no value in the planted months: (city, date, v)."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_shipdate")
     ym = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    li = li.where(~(ym % 29).isin(*SPARSE_DROP))
     reg = station_registry(spark, sf_dir)
     return li.join(reg, li.l_suppkey == reg.station_id).select(
-        "city", shifted_date("l_shipdate").alias("date"), F.col("l_quantity").alias("v"))
+        "city", shifted_date("l_shipdate").alias("date"),
+        F.when(~(ym % 29).isin(*SPARSE_MONTHS), F.col("l_quantity")).alias("v"))
 
 
 def festival_calendar(spark: SparkSession) -> DataFrame:

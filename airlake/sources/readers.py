@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlake.operators.common import broadcast_if_small
 from airlake.operators.quality import filter_cities
 from airlake.schema import CITY_DAY_RENAME, HOURLY_RENAME, conform, nan_to_null
 
@@ -28,11 +27,11 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 def load_raw(spark: SparkSession, path: str, fmt: str = "csv", date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Curated city-day table (S1): canonical names, parsed date, numbers as
     doubles (bad text -> NULL, NaN -> NULL). Fails, with the count, if any
-    date does not parse. Sorting is left to the output (``orderBy`` there)."""
+    date is missing or does not parse. Sorting is left to the output (``orderBy`` there)."""
     raw = _read(spark, path, fmt)
     raw = raw.select([F.col(f"`{c}`").alias(CITY_DAY_RENAME.get(c, c)) for c in raw.columns])
     date = F.col("date").cast("string")
-    typed = raw.withColumn("_bad", F.col("date").isNotNull() & F.try_to_date(date, date_format).isNull())
+    typed = raw.withColumn("_bad", F.try_to_date(date, date_format).isNull())
     typed = typed.withColumn("date", F.try_to_date(date, date_format))
     for c in typed.columns:
         if c not in ("city", "date", "aqi_bucket", "_bad"):
@@ -69,35 +68,45 @@ def first_readable(spark: SparkSession, paths: Sequence[str]) -> str:
 def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
                 rename: dict[str, str] = HOURLY_RENAME) -> DataFrame:
     """Hourly station files (S3): one CSV per station, any subset of the known
-    columns. Read line-parallel as text with the file name; each file's header
-    line is found by its timestamp column and joined back by file, so files
-    with different columns need no per-file driver loop. Files without the
-    timestamp column yield no rows; bad timestamps are dropped; numbers are
-    coerced (bad text -> NULL). Plain comma-separated values (no quoted
-    commas). Output: station_id (file name without extension), ts,
-    reading_id (a stable tie-break for duplicate timestamps), pollutants.
+    columns. Read line-parallel as text with the file path; each file's header
+    is its first line that names the timestamp column, and is joined back by
+    path, so files with different columns need no per-file driver loop. Header
+    lines repeated further down are no readings. Quoted fields may hold commas.
+    Files without the timestamp column yield no rows; bad timestamps are
+    dropped; numbers are coerced (bad text -> NULL). Output: station_id (file
+    name without extension), ts, reading_id (a stable tie-break for duplicate
+    timestamps), pollutants.
     """
-    lines = (spark.read.text(folder).select(
-        F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")))
-    is_header = F.array_contains(F.split("line", ","), ts_header)
-    headers = lines.where(is_header).select("file", F.split("line", ",").alias("hdr"))
-    # one header row per file: broadcast when small (size-checked), as the
-    # number of station files grows with the deployment
-    body = lines.where(~is_header).join(broadcast_if_small(headers), "file")
-    fields = F.split("line", ",")
+    meta = F.col("_metadata")
+    lines = spark.read.text(folder).select(
+        F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_name"].alias("name"),
+        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
+        csv_fields(F.col("value")).alias("fields"))
+    is_header = F.array_contains("fields", ts_header)
+    headers = lines.where(is_header).groupBy("file").agg(F.min_by("fields", "place").alias("hdr"))
+    # one header row per file: left to the planner and to AQE, which sizes it
+    # as it is and not as the whole folder
+    body = lines.where(~is_header).join(headers, "file")
 
     def field(name: str) -> F.Column:
         pos = F.array_position("hdr", name)
-        return F.when(pos > 0, F.element_at(fields, pos.cast("int")))
+        return F.when(pos > 0, F.try_element_at("fields", pos.cast("int")))
 
     ts = F.try_to_timestamp(F.trim(field(ts_header)))
     cols = [F.trim(field(src)).try_cast("double").alias(dst) for src, dst in rename.items()]
-    out = body.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("station_id"),
+    out = body.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("station_id"),
                       ts.cast("timestamp_ntz").alias("ts"),
                       F.xxhash64("file", "line").alias("reading_id"), *cols)
     return nan_to_null(out.where(F.col("ts").isNotNull()))
 
 
+def csv_fields(line: F.Column) -> F.Column:
+    """Fields of one CSV line: split at commas outside quotes, quotes taken off."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda p: F.regexp_replace(
+        F.regexp_replace(p, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
+
+
 def station_registry_csv(spark: SparkSession, path: str, cities: Sequence[str]) -> DataFrame:
     """Station registry (S4): (station_id, city) for the target cities."""
     s = _read(spark, path, "csv")

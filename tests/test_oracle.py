@@ -4,11 +4,12 @@ on the smallest scale factor; rows-only keys must produce a stable schema."""
 import pytest
 
 import __spark_entry__ as E
+from airlake.plans import registry
 from airlake.plans.check import compare, duck
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.all_queries()
+ORACLE = registry.all_oracle()
 
 
 @pytest.fixture(scope="module")

@@ -3,14 +3,15 @@ the properties that matter at 100 TB, checked on the small fixture."""
 
 import pytest
 
-import __spark_entry__ as E
+from airlake.plans import registry
 from conftest import SF_MID
 
 FACTS = ("lineitem", "orders", "events")
 # the forecast and streaming keys run jobs while building (checkpoints, a
 # drained stream); their plans are covered by the operator tests
 EAGER = {"model_backtest", "model_forecast", "forecast_verdict", "stream_daily_mean"}
-KEYS = sorted(set(E.queries()) - EAGER)
+QUERIES = registry.all_queries()
+KEYS = sorted(set(QUERIES) - EAGER)
 
 
 def _walk(node):
@@ -34,8 +35,7 @@ def _tables(node):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    qs = E.queries()
-    return {k: qs[k](spark, SF_MID)._jdf.queryExecution().sparkPlan() for k in KEYS}
+    return {k: QUERIES[k](spark, SF_MID)._jdf.queryExecution().sparkPlan() for k in KEYS}
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -57,9 +57,22 @@ def test_fact_tables_never_broadcast(plans, key):
                     f"{key}: raw fact rows on the build side"
 
 
-def test_base_cutoff_reaches_the_scan(plans):
-    text = plans["sub_indices"].toString()
-    assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate,2001-04-01T00:00)" in text
+CUT = "LessThan(l_shipdate,2001-04-01T00:00)"
+
+
+def test_splice_cutoff_reaches_the_scan(plans):
+    assert f"PushedFilters: [IsNotNull(l_shipdate), {CUT}" in plans["splice_sources"].toString()
+
+
+@pytest.mark.parametrize("key", sorted(set(KEYS) - {"splice_sources"}))
+def test_only_the_splice_cuts_its_base(plans, key):
+    assert CUT not in plans[key].toString()
+
+
+@pytest.mark.parametrize("key", ["station_daily_8h", "city_daily", "city_headline", "region_filter"])
+def test_raw_table_is_scanned_once(plans, key):
+    leaves = [n.toString() for n in _leaves(plans[key])]
+    assert sum("/lineitem.parquet" in s or "/events.parquet" in s for s in leaves) == 1
 
 
 def test_scan_reads_only_needed_columns(plans):
@@ -87,7 +100,7 @@ def test_splice_is_one_aggregate_not_chained_full_joins(plans):
 def test_top_n_is_limited_before_the_shuffle(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = E.queries()["nearby_sensors"](spark, SF_MID)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES["nearby_sensors"](spark, SF_MID)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     lines = plan.splitlines()
