@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airlake.llm import oracle
 from airlake.session import ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,4 +85,4 @@ QUERIES = {f.__name__: f for f in (
     op6_suffix_dedup, op7_quality_rules, op8_source_mix, op9_toxicity, op10_embedding_dedup,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_quality_rules": oracle.OP7, "op8_source_mix": oracle.OP8, "op10_embedding_dedup": oracle.OP10}
