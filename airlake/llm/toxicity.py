@@ -1,10 +1,15 @@
 """Toxicity: gradient-boosted trees over dense features, isotonic calibration.
 
-The labelled rows are split by crc32(doc_id) mod 4: remainder 0 induces the
-lexicon, 1 trains the trees, 3 calibrates their scores; 2 is held out and
-never seen. Features are densities of lexicon words, second-person words near
-them, capitals, punctuation and obfuscation; a model of fixed size is sent to
-the tasks, which read each text once.
+The labelled rows are split by crc32(doc_id): remainders 0 and 1 modulo 4
+induce the lexicon, and each shows the trees what the lexicon of the other one
+finds in it; remainder 3 trains the trees with the whole lexicon and calibrates
+their scores (half each, by the next bit); 2 is held out and never seen. The
+lexicon holds
+words and word stems, so that inflected forms are found, and a word counts as
+often as it stands behind different words, so that copies of one toxic
+document do not make a lexicon of its words. Features are densities of lexicon
+words, second-person words near them, capitals, punctuation and obfuscation; a
+model of bounded size is sent to the tasks, which read each text once.
 
 At most ``MAX_ROWS`` labelled rows of each part are used (by hash of doc_id),
 the bound of the fit; scoring covers all rows.
@@ -12,19 +17,26 @@ the bound of the fit; scoring covers all rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airlake.llm.bpe import BoundedCache
 from airlake.session import cut_lineage
 
 MAX_ROWS = 20_000
+CANDIDATES = 20_000     # lexicon entries whose clean documents are counted
 LEXICON_WORDS = 512
-MIN_TOXIC_DOCS = 5
-STRONG_SHARE = 0.08     # of the toxic documents hold a strong word
+MIN_SUPPORT = 3         # different words before an entry, in toxic documents
+STRONG_SHARE = 0.03     # of the toxic documents hold a strong entry
+STRONG_ODDS = 3.0
+STEMS = (4, 5, 6)       # letters of a stem
+MEMO = 400_000          # words whose entries a worker remembers
 THRESHOLD = 0.3
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi vous votre "
@@ -52,21 +64,43 @@ def plain(word: str) -> str:
     return REPEAT.sub(r"\1", word.translate(LEET))
 
 
-def features(text: str, strong: dict[str, float], weak: dict[str, float]) -> list[float]:
+def entries_of(word: str) -> list[str]:
+    """What the lexicon may know a word by: itself (closed by $) and its stems."""
+    return [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
+
+
+class Lexicon:
+    """Looks words up: below 0 for a strong word, the weight of a weak one, or 0."""
+
+    def __init__(self, strong: dict[str, float], weak: dict[str, float]):
+        self.strong, self.weak, self.memo = strong, weak, BoundedCache(self._value, MEMO)
+
+    def _value(self, word: str) -> float:
+        found = entries_of(word)
+        if any(e in self.strong for e in found):
+            return -1.0
+        return max((self.weak.get(e, 0.0) for e in found), default=0.0)
+
+    def __call__(self, words: list[str]) -> list[float]:
+        return list(map(self.memo.__getitem__, words))
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     words = words_of(text)
     n, size = max(1, len(words)), max(1, len(text))
-    hits = [i for i, w in enumerate(words) if w in strong]
-    mixed = [i for i, w in enumerate(words) if not w.isalpha() or REPEAT.search(w)] if (
-        not text.replace(" ", "").isalpha()) else []
-    hidden = [i for i in mixed if words[i] not in strong and plain(words[i]) in strong]
-    you = sum(w in SECOND_PERSON for w in words)
+    values = lexicon(words)
+    hits = [i for i, v in enumerate(values) if v < 0]
+    repeats = len(REPEAT.findall(text))
+    odd = [i for i, w in enumerate(words) if not w.isalpha() or repeats and REPEAT.search(w)]
+    hidden = [i for i in odd if values[i] >= 0 and lexicon.memo[plain(words[i])] < 0]
+    you = sum(map(SECOND_PERSON.__contains__, words))
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - 3):i + 4]) for i in hits + hidden)
     found = len(hits) + len(hidden)
-    return [100.0 * found / n, float(found), 100.0 * sum(weak.get(w, 0.0) for w in words) / n,
+    return [100.0 * found / n, float(found), 100.0 * sum(v for v in values if v > 0) / n,
             near / max(1, found), 100.0 * you / n, len(CAPITALS.findall(text)) / size,
             100.0 * len(SHOUT.findall(text)) / n, 100.0 * text.count("!") / n,
             sum(map(text.count, ".,;:?!*#$%&")) / size, 100.0 * len(MIXED.findall(text)) / n,
-            100.0 * len(hidden) / n, 100.0 * len(REPEAT.findall(text)) / n, float(min(len(words), 5000))]
+            100.0 * len(hidden) / n, 100.0 * repeats / n, float(min(len(words), 5000))]
 
 
 class Model(NamedTuple):
@@ -89,43 +123,77 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """part, toxic, text of the rows the fit may use: ``max_rows`` of each part
-    at most. Null labels and held-out rows are left out."""
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null")
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", remainder(F.col("doc_id")))
-             .where("doc_id is not null and part <> 2"))
+    """part (first, second, trees, calibration), toxic, text of the rows the fit
+    may use: ``max_rows`` of each part at most. Null labels and held-out rows
+    are left out."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    part = F.when(crc % 4 == 0, "first").when(crc % 4 == 1, "second").when(crc % 8 == 3, "trees").when(crc % 8 == 7, "calibration")
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+             .where("doc_id is not null and toxic is not null")
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("part", part)
+             .where("part is not null"))
     picked = None
-    for part in (0, 1, 3):
-        some = known.where(F.col("part") == part).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    for name in ("first", "second", "trees", "calibration"):
+        some = known.where(F.col("part") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = some if picked is None else picked.union(some)
+    # at most four times max_rows pairs of numbers
     return cut_lineage(_texts(docs).join(F.broadcast(picked), "doc_id").select("part", "toxic", "text"))
 
 
 def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(strong, weak) words with their log-odds, by documents that hold them;
-    at most ``LEXICON_WORDS`` reach the driver."""
-    def run(batches: Iterator) -> Iterator:
+    """(strong, weak) entries with their log-odds, by documents that hold them;
+    ``CANDIDATES`` entries at most reach the driver, ``LEXICON_WORDS`` stay."""
+    def behind(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            pairs = set()
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                for before, w in zip(["", *words], words):
+                    if w.isalpha():
+                        pairs.update((e, before) for e in entries_of(w))
+            entry, before = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(before, pa.string())],
+                                             ["entry", "before"])
+
+    support = (rows.where("toxic = 1").select("text").mapInArrow(behind, "entry string, before string").distinct()
+               .groupBy("entry").count().where(F.col("count") >= MIN_SUPPORT)
+               .orderBy(F.desc("count"), "entry").limit(CANDIDATES).collect())
+    shared = rows.sparkSession.sparkContext.broadcast({r.entry for r in support})
+
+    def held(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            words, toxic = [], []
+            entry, toxic = [], []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {w for w in words_of(text) if w.isalpha()}
-                words += found
+                found = {e for w in set(words_of(text)) if w.isalpha() for e in entries_of(w)} & shared.value
+                entry += found
                 toxic += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())],
-                                             ["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(toxic, pa.int32())],
+                                             ["entry", "toxic"])
 
     total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
-    counts = (rows.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "word string, toxic int")
-              .groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-              .where(F.col("bad") >= MIN_TOXIC_DOCS))
-    odds = F.log((F.col("bad") + 0.5) * (good + 1.0) / ((F.col("good") + 0.5) * (bad + 1.0)))
-    top = (counts.withColumn("odds", odds).where("odds > 1")
-           .orderBy(F.desc(F.col("odds") * F.col("bad")), "word").limit(LEXICON_WORDS).collect())
-    strong = {r.word: r.odds for r in top if r.bad >= STRONG_SHARE * bad and r.odds > 2.5}
-    return strong, {r.word: r.odds for r in top if r.word not in strong}
+    counts = {r.entry: (r.bad, r.good) for r in rows.select("toxic", "text").mapInArrow(
+        held, "entry string, toxic int").groupBy("entry").agg(
+            F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
+    # a stem says no more than its longer entry if nearly the same documents hold both
+    longer: dict[str, int] = {}
+    for e, (b, _) in counts.items():
+        for k in STEMS:
+            if len(e) > k and e[:k] in counts:
+                longer[e[:k]] = max(longer.get(e[:k], 0), b)
+    before = {r.entry: r["count"] for r in support}
+    odds = {}
+    for e, (b, g) in counts.items():
+        b = min(b, before[e])
+        if longer.get(e, 0) < 0.9 * b:
+            odds[e] = math.log((b + 0.5) * (good + 1.0) / ((g + 0.5) * (bad + 1.0))), b
+    top = sorted((e for e in odds if odds[e][0] > 1), key=lambda e: (-odds[e][0] * odds[e][1], e))[:LEXICON_WORDS]
+    strong = {e: odds[e][0] for e in top if odds[e][0] > STRONG_ODDS and odds[e][1] >= STRONG_SHARE * bad}
+    return strong, {e: odds[e][0] for e in top if e not in strong}
 
 
 def _featured(rows: DataFrame, keep: str, kind: str, strong: dict, weak: dict) -> DataFrame:
@@ -137,8 +205,9 @@ def _featured(rows: DataFrame, keep: str, kind: str, strong: dict, weak: dict) -
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        known = Lexicon(*shared.value)
         for batch in batches:
-            got = [features(t, *shared.value) for t in batch.column(1).to_pylist()]
+            got = [features(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], [keep, "x"])
 
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, x array<double>").withColumn(
@@ -150,21 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int
     from pyspark.ml.regression import IsotonicRegression
 
     rows = labelled(docs, labels, max_rows)
-    strong, weak = lexicon(rows.where("part = 0"))
-    sums = rows.groupBy("part").agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).collect()
-    share = {r.part: r.share for r in sums}
-    base = sum(r.share * r.n for r in sums) / sum(r.n for r in sums) if sums else 0.0
-    if not all(0 < share.get(part, 0) < 1 for part in (1, 3)):
-        return Model(strong, weak, None, None, base)
+    parts = {p: rows.where(F.col("part") == p) for p in ("first", "second", "trees", "calibration")}
+    first, second, whole = map(lexicon, (parts["first"], parts["second"], parts["first"].union(parts["second"])))
+    sums = rows.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()
+    count, toxic = sum(r.n for r in sums), sum(r.toxic for r in sums)
+    checked = {r.part: (r.toxic, r.n) for r in sums}.get("calibration", (0, 0))
+    base = toxic / count if count else 0.0
+    if not 0 < checked[0] < checked[1] or not 0 < toxic - checked[0] < count - checked[1]:
+        return Model(*whole, None, None, base)
     label = F.col("toxic").cast("double").alias("label")
-    train = _featured(rows.where("part = 1").withColumn("toxic", F.col("toxic").cast("int")), "toxic", "int",
-                      strong, weak).select(label, "features").coalesce(4)
+    train = _featured(parts["first"], "toxic", "int", *second)
+    for part, known in (("second", first), ("trees", whole)):
+        train = train.union(_featured(parts[part], "toxic", "int", *known))
+    train = cut_lineage(train.select(label, "features")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3).fit(train)
-    checked = _featured(rows.where("part = 3").withColumn("toxic", F.col("toxic").cast("int")), "toxic", "int",
-                        strong, weak)
-    raw = _raw(model, checked).select(label, F.col("raw"))
+    raw = _raw(model, _featured(parts["calibration"], "toxic", "int", *whole)).select(label, F.col("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)
-    return Model(strong, weak, model, calibration, base)
+    return Model(*whole, model, calibration, base)
 
 
 def _raw(model, featured: DataFrame) -> DataFrame:
@@ -205,8 +276,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast((model.strong, model.weak))
 
     @F.pandas_udf("array<double>")
-    def extracted(text):
-        return text.map(lambda t: features(t or "", *shared.value))
+    def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Lexicon(*shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: features(t or "", known))
 
     raw = _raw(model.trees, rows.withColumn("features", array_to_vector(extracted("all.text"))))
     scored = model.calibration.transform(raw.select("all", "raw"))

@@ -33,7 +33,7 @@ def test_held_out_labels_are_never_read(spark, scored):
     from pyspark.sql import functions as F
     flipped = labels.withColumn("toxic", F.when(toxicity.remainder(F.col("doc_id")) == 2, 1 - F.col("toxic"))
                                 .otherwise(F.col("toxic")))
-    assert toxicity.lexicon(toxicity.labelled(docs, flipped).where("part = 0")) == (model.strong, model.weak)
+    assert toxicity.lexicon(toxicity.labelled(docs, flipped).where("part in ('first', 'second')")) == (model.strong, model.weak)
 
 
 def test_edges(edge_docs, scored):
@@ -53,7 +53,17 @@ def test_no_labels(edge_docs, scored):
 
 
 def test_obfuscation_and_proximity():
-    strong = {"idiot": 5.0}
-    names = dict(zip(toxicity.FEATURES, toxicity.features("you are an 1d10t and an i-d-i-o-t", strong, {})))
+    known = toxicity.Lexicon({"idiot$": 5.0, "veju": 5.0}, {"dumb$": 2.0})
+    names = dict(zip(toxicity.FEATURES, toxicity.features("you are an 1d10t and an i-d-i-o-t", known)))
     assert names["strong_count"] == 2 and names["hidden"] > 0 and names["near_you"] == 0.5
     assert toxicity.plain("iiidi0ttt") == "idiot"
+    assert known(["vejuais", "vej", "dumb", "idiots"]) == [-1.0, 0.0, 2.0, 0.0]
+
+
+def test_copies_of_one_document_make_no_lexicon(spark):
+    """A word is as strong as the different words it stands behind."""
+    filler = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows = [("lexicon", 1, f"{filler[i]} grumbold {filler[-i - 1]} copied sentence of tenfold length") for i in range(9)]
+    rows += [("lexicon", 0, " ".join(filler[i:i + 9])) for i in range(100)]
+    strong, weak = toxicity.lexicon(spark.createDataFrame(rows, "part string, toxic int, text string"))
+    assert "grumbold$" in strong and not {"sentence$", "tenfold$", "length$"} & (set(strong) | set(weak))
