@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlake.reference import CANDIDATE_ORDERS
-from airlake.session import cut_lineage
+from airlake.session import cut_lineage, ship_package
 
 LONG_AR = 20
 Z95 = 1.959963984540054
@@ -187,7 +187,7 @@ def _stage2_solver(cands: dict[int, Candidate], slots: int):
 # --------------------------------------------------------------------------- features
 
 
-def _features(series: DataFrame, cands: list[Candidate], long_ar: int) -> DataFrame:
+def features(series: DataFrame, cands: list[Candidate], long_ar: int = LONG_AR) -> DataFrame:
     """Per differencing configuration: w (differenced value) and its lags
     1..long_ar, for every (city, pos). Rows are duplicated once per distinct
     configuration (two for the default candidates)."""
@@ -215,9 +215,10 @@ def fit_candidates(series: DataFrame, orders=CANDIDATE_ORDERS, long_ar: int = LO
     (regular, gap-free). Returns (fits, residual frame); fits has city,
     cand_id, ar_coef, ma_coef, sigma2, aic, n_fit, ok."""
     spark = series.sparkSession
+    ship_package(spark)  # the solves run in Python workers
     cands = candidate_set(orders)
     ids = cfg_ids(cands)
-    feats = _features(series, cands, long_ar)
+    feats = features(series, cands, long_ar)
     # stage 1: long autoregression per (city, cfg)
     xs = [F.col(f"w{l}") for l in range(1, long_ar + 1)]
     s1 = feats.where(F.col("pos") >= F.col("dlen") + long_ar)
@@ -269,6 +270,28 @@ def fit_candidates(series: DataFrame, orders=CANDIDATE_ORDERS, long_ar: int = LO
     return cut_lineage(fits), res
 
 
+def stage1_sums(feats: DataFrame, long_ar: int = LONG_AR) -> DataFrame:
+    """Means of the products that stage 1 solves, one row per element: city,
+    cfg, i, j (1-based lags; j = 0 is the value itself), n, mean."""
+    used = feats.where(F.col("pos") >= F.col("dlen") + long_ar)
+    x = [F.col("w"), *[F.col(f"w{lag}") for lag in range(1, long_ar + 1)]]
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (x[i] * x[j]).alias("p"))
+                      for i in range(1, long_ar + 1) for j in range(i + 1)])
+    return (used.select("city", "cfg", F.explode(pairs).alias("e"))
+            .groupBy("city", "cfg", "e.i", "e.j").agg(F.count(F.lit(1)).alias("n"), F.avg("e.p").alias("mean")))
+
+
+def forecast_status(daily_status: DataFrame, horizon: int, fits: DataFrame) -> DataFrame:
+    """One row per city: ``ok``, or why there is no model forecast for it:
+    ``gaps_remaining`` (the daily series has gaps), ``too_short`` (not longer
+    than two horizons), ``no_usable_fit`` (no candidate fits)."""
+    usable = fits.groupBy("city").agg(F.count_if("ok").alias("n_usable"))
+    status = (F.when(F.col("status") != "ok", F.col("status"))
+              .when(F.col("n_days") <= 2 * horizon, "too_short")
+              .when(F.coalesce("n_usable", F.lit(0)) == 0, "no_usable_fit").otherwise("ok"))
+    return daily_status.join(usable, "city", "left").select("city", "n_days", status.alias("status"))
+
+
 def select_order(fits: DataFrame) -> DataFrame:
     """Lowest AIC per city among usable fits; first candidate on ties."""
     w = Window.partitionBy("city").orderBy("aic", "cand_id")

@@ -103,9 +103,12 @@ def seasonal_decompose(series: DataFrame, period: int = 12, model: str = "additi
     """Classical decomposition of a regular series (city, month, value, pos,
     n_months): centred moving average (2 x period for even periods), phase
     means of the detrended values, centred; cities with fewer than two full
-    periods are left out (see ``decomposition_status``)."""
+    periods, or for the multiplicative model with values that are not positive,
+    are left out (see ``decomposition_status``)."""
     mult = model.startswith("m")
     s = series.where(F.col("n_months") >= 2 * period)
+    if mult:
+        s = s.withColumn("_low", F.min("value").over(Window.partitionBy("city"))).where("_low > 0")
     w = Window.partitionBy("city").orderBy("month")
     h = period // 2
     frame = w.rowsBetween(-h, h)
@@ -116,23 +119,28 @@ def seasonal_decompose(series: DataFrame, period: int = 12, model: str = "additi
     else:
         raw = F.sum(x).over(frame) / F.lit(float(period))
     s = s.withColumn("trend", F.when(F.count(x).over(frame) == 2 * h + 1, raw))
-    s = s.withColumn("_d", (x / F.col("trend")) if mult else (x - F.col("trend")))
+    s = s.withColumn("_d", F.try_divide(x, F.col("trend")) if mult else (x - F.col("trend")))
     s = s.withColumn("_phase", F.col("pos") % period)
     ph = s.groupBy("city", "_phase").agg(F.avg("_d").alias("_s"))
     ph = ph.withColumn("_m", F.avg("_s").over(Window.partitionBy("city")))
-    ph = ph.select("city", "_phase", ((F.col("_s") / F.col("_m")) if mult
+    ph = ph.select("city", "_phase", (F.try_divide("_s", "_m") if mult
                                       else (F.col("_s") - F.col("_m"))).alias("seasonal"))
     out = s.join(ph, ["city", "_phase"])
-    resid = (x / (F.col("trend") * F.col("seasonal"))) if mult else (x - F.col("trend") - F.col("seasonal"))
+    resid = F.try_divide(x, F.col("trend") * F.col("seasonal")) if mult else (x - F.col("trend") - F.col("seasonal"))
     return out.select("city", "month", x.alias("observed"), "trend", "seasonal", resid.alias("resid"))
 
 
-def decomposition_status(series: DataFrame, period: int = 12) -> DataFrame:
+def decomposition_status(series: DataFrame, period: int = 12, model: str = "additive") -> DataFrame:
     """Per city: months available and whether a decomposition was possible
-    (a status row instead of an exception)."""
+    (a status row instead of an exception): ok, too_short or, for the
+    multiplicative model, not_positive."""
+    status = F.when(F.col("n_months") < 2 * period, "too_short")
+    if model.startswith("m"):
+        status = status.when(F.col("_low") <= 0, "not_positive")
     return (series.groupBy("city").agg(F.max("n_months").alias("n_months"),
-                                        F.max("n_interpolated").alias("n_interpolated"))
-            .withColumn("status", F.when(F.col("n_months") >= 2 * period, "ok").otherwise("too_short")))
+                                        F.max("n_interpolated").alias("n_interpolated"),
+                                        F.min("value").alias("_low"))
+            .withColumn("status", status.otherwise("ok")).drop("_low"))
 
 
 def seasonal_cycle(decomposed: DataFrame) -> DataFrame:

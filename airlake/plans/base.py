@@ -4,7 +4,9 @@ bit for bit the same way.
 ``round(x, 6)`` differs between engines on exact decimal ties (Spark rounds
 the decimal expansion half-up; DuckDB works on the binary value). Outputs are
 therefore rounded as ``floor(x * 1e6 + 0.5) / 1e6``: the same three IEEE
-operations in Spark and in the oracle SQL.
+operations in Spark and in the oracle SQL. They are taken to nine places the
+same way first: a parallel sum is not reproducible to the last bit, and a mean
+that ends on a tie of the sixth place must not fall on either side of it.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCALE = 1_000_000.0
+FINE = 1_000_000_000.0
 
 
 def r6(c: Column) -> Column:
+    c = F.floor(c * F.lit(FINE) + F.lit(0.5)) / F.lit(FINE)
     return F.floor(c * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)
 
 
@@ -54,7 +58,9 @@ def sql_round6(sql: str) -> str:
         inner, digits = sql[j + len(key):comma], sql[comma + 1:k - 1].strip()
         out.append(sql[i:j])
         if digits == "6":
-            out.append(f"(floor(({sql_round6(inner)}) * CAST({SCALE!r} AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+            fine = (f"(floor(({sql_round6(inner)}) * CAST({FINE!r} AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+                    f" / CAST({FINE!r} AS DOUBLE))")
+            out.append(f"(floor({fine} * CAST({SCALE!r} AS DOUBLE) + CAST(0.5 AS DOUBLE))"
                        f" / CAST({SCALE!r} AS DOUBLE))")
         else:
             out.append(f"round({sql_round6(inner)}, {digits})")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from airlake.functions.aqi import si_name
+import datetime as dt
+
 from airlake.operators import geo as G
 from airlake.operators import ingest as I
 from airlake.operators import splice as SP
@@ -10,6 +11,7 @@ from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.reference import FEED_PARAMS, FEED_SET, PPB_FACTOR, SPLICE_SET, col_of
 from airlake.sources import fixtures as X
+from airlake.sources import readers as R
 
 READ_POLL = ("pm25", "pm10", "no2", "o3", "co")
 
@@ -31,7 +33,14 @@ def q_splice(s, d):
     return rounded(SP.splice_sources(base, bul, _recent(s, d)))
 
 
+FEED_START = dt.date(2024, 1, 10)
+
 QUERIES = {
+    "curated_parse": lambda s, d: rounded(R.parse_city_day(X.curated_text(s, d)).select(
+        "city", "date", "pm25", "aqi", "o3")),
+    "hourly_parse": lambda s, d: rounded(R.parse_hourly(X.hourly_lines(s, d)).select(
+        "station_id", "ts", "pm25", "pm10", "o3")),
+    "feed_parse": lambda s, d: rounded(R.feed_days(X.feed_structs(s, d), FEED_START)),
     "station_daily_8h": lambda s, d: rounded(_station_daily(s, d)),
     "city_daily": lambda s, d: rounded(I.city_daily(_station_daily(s, d), places=PLACES)),
     "unit_normalise": lambda s, d: rounded(I.normalise_units(X.sensor_days(s, d))),
@@ -120,7 +129,22 @@ c as (select ctr.city, l.location_id, l.last_seen,
 rk as (select *, row_number() over (partition by city order by last_seen desc, location_id) as rn
        from c where dist <= {S.d(25000.0)})"""
 
+_CITY = S.city_of_user("user_id")
 ORACLE = {
+    "curated_parse": f"""
+select {_CITY} as city, case when event_id % 13 <> 0 and event_id % 17 <> 0 then cast(ts as date) end as date,
+  round(case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end, 6) as pm25,
+  round(case when event_id % 5 <> 0 then cast(event_id as double) end, 6) as aqi, cast(null as double) as o3
+from events""",
+    "hourly_parse": """
+select cast(user_id % 15 as varchar) as station_id, date_trunc('second', ts) as ts,
+  round(case when user_id % 15 % 2 = 0 and event_id % 7 <> 0 then cast(event_id as double) end, 6) as pm25,
+  round(case when user_id % 15 % 2 <> 0 then cast(event_id % 100 as double) end, 6) as pm10,
+  round(case when user_id % 15 % 2 = 0 then cast(event_id % 100 as double) end, 6) as o3
+from events where event_id % 19 <> 0""",
+    "feed_parse": f"""
+select user_id as sensor_id, cast(ts as date) as date, event_type as param, 'ug/m3' as unit,
+  round(value, 6) as value from events where event_id % 9 <> 0 and cast(ts as date) >= date '{FEED_START}'""",
     "station_daily_8h": _w(STATION_DAILY, "select city, station_id, date, " + ", ".join(
         f"round({c}, 6) as {c}" for c in (*READ_POLL, "o3_8h", "co_8h")) + " from sday"),
     "city_daily": _w(STATION_DAILY + f""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from airlake.operators import forecast as FC
 from airlake.operators import series as SE
+from airlake.plans import forecast_sql as FS
 from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.session import cut_lineage
@@ -20,8 +21,8 @@ def _daily(s, d):
     return SE.daily_series(X.base_day(s, d), "aqi", 7)[0]
 
 
-def _decomposed(s, d):
-    return SE.seasonal_decompose(SE.monthly_series(X.base_day(s, d), "pm25", 2))
+def _decomposed(s, d, model="additive"):
+    return SE.seasonal_decompose(SE.monthly_series(X.base_day(s, d), "pm25", 2), model=model)
 
 
 def q_naive_backtest(s, d):
@@ -46,6 +47,21 @@ def q_forecast_verdict(s, d):
     return rounded(FC.forecast_verdict(FC.model_backtest(_daily(s, d), HORIZON)["metrics"]))
 
 
+def _feats(s, d):
+    return FC.features(_daily(s, d), FC.candidate_set())
+
+
+def q_forecast_features(s, d):
+    return rounded(_feats(s, d).select("city", "cfg", "pos", "w", *[f"w{i}" for i in range(1, FC.LONG_AR + 1)]))
+
+
+def q_forecast_status(s, d):
+    """The fits see what the backtest fits: all but the last ``HORIZON`` days."""
+    series, status = SE.daily_series(X.base_day(s, d), "aqi", 7)
+    train = FC.split_train_test(series, HORIZON).where(~F.col("is_test")).select("city", "pos", "date", "value")
+    return FC.forecast_status(cut_lineage(status), HORIZON, FC.fit_candidates(train)[0])
+
+
 def q_stream_daily_mean(s, d):
     src = f"{d}/events*.parquet"
     schema = X.SCHEMAS["events"]
@@ -65,9 +81,13 @@ QUERIES = {
     "decomposition_status": q_decomposition_status,
     "monthly_series_filled": lambda s, d: rounded(SE.monthly_series(X.sparse_day(s, d), "v", 2)),
     "seasonal_decompose": lambda s, d: rounded(_decomposed(s, d)),
+    "seasonal_decompose_mult": lambda s, d: rounded(_decomposed(s, d, "multiplicative")),
     "seasonal_cycle": lambda s, d: rounded(SE.seasonal_cycle(_decomposed(s, d))),
     "daily_series": lambda s, d: rounded(_daily(s, d)),
     "naive_backtest": q_naive_backtest,
+    "forecast_features": q_forecast_features,
+    "forecast_gram": lambda s, d: rounded(FC.stage1_sums(_feats(s, d))),
+    "forecast_status": q_forecast_status,
     "model_backtest": q_model_backtest,
     "model_forecast": q_model_forecast,
     "forecast_verdict": q_forecast_verdict,
@@ -138,6 +158,19 @@ dec as (select dd.city, dd.t as month, dd.value as observed, dd.trend, ph2.seaso
           dd.value - dd.trend - ph2.seasonal as resid
         from dd join ph2 on dd.city = ph2.city and dd.phase = ph2.phase)"""
 
+DECOMP_MULT = filled_series(PM25_M, "MONTH", 2, True) + """,
+s as (select * from k where n_months >= 24 and city not in (select city from k where value <= 0)),
+tr as (select *, case when count(value) over w13 = 13 then
+         (sum(value) over w13 - 0.5 * (lag(value, 6) over w + lead(value, 6) over w)) / 12.0 end as trend
+       from s window w as (partition by city order by t),
+         w13 as (partition by city order by t rows between 6 preceding and 6 following)),
+dd as (select *, value / nullif(trend, 0) as dtr, pos % 12 as phase from tr),
+ph as (select city, phase, avg(dtr) as sv from dd group by 1, 2),
+ph2 as (select city, phase, sv / nullif(avg(sv) over (partition by city), 0) as seasonal from ph),
+dec as (select dd.city, dd.t as month, dd.value as observed, dd.trend, ph2.seasonal,
+          dd.value / nullif(dd.trend * ph2.seasonal, 0) as resid
+        from dd join ph2 on dd.city = ph2.city and dd.phase = ph2.phase)"""
+
 DAILY = filled_series(AQI_D, "DAY", 7, False) + """,
 ds0 as (select *, count_if(was_missing) over (partition by city) as n_interpolated,
           count_if(filled is null) over (partition by city) as n_remaining from f),
@@ -155,6 +188,12 @@ preds as (select t.city, 'persistence' as model, t.actual, l.predicted from test
           select t.city, 'seasonal_naive' as model, t.actual, x.predicted from test t
             join tl x on t.city = x.city and (t.step - 1) % 7 = x.kk)"""
 
+FEATS = DAILY + ",\n" + FS.features("ds")
+_WS = ["w", *[f"w{i}" for i in range(1, FC.LONG_AR + 1)]]
+GRAM = FEATS + """,
+wl as (select city, cfg, pos, unnest([{}]) as x, unnest(range(0, {})) as i from feats where pos >= dlen + {})""".format(
+    ", ".join(_WS), FC.LONG_AR + 1, FC.LONG_AR)
+
 STREAM = f""",
 readings as ({S.READINGS}),
 lg as (select city, ts, 'pm25' as pollutant, pm25 as value from readings union all
@@ -164,8 +203,22 @@ lg as (select city, ts, 'pm25' as pollutant, pm25 as value from readings union a
        select city, ts, 'co', co from readings)"""
 
 
+METRICS = """
+  avg(abs(actual - predicted)) as mae, sqrt(avg((actual - predicted) * (actual - predicted))) as rmse,
+  avg(abs((actual - predicted) / nullif(actual, 0))) * 100.0 as mape,
+  count(*) as n_test, count_if(actual = 0) as n_mape_skipped"""
+BACKTEST = NAIVE + f""",
+train as (select city, pos, date, value from sp where pos < n - {HORIZON}),
+""" + FS.forecast("train", HORIZON) + f""",
+scored as (
+  select city, model, {METRICS} from (
+    select city, model, actual, predicted from preds
+    union all select test.city, 'model' as model, actual, forecast as predicted
+      from fc join test on fc.city = test.city and fc.date = test.date) group by city, model)"""
+
+
 def _w(ctes: str, body: str, base: bool = True) -> str:
-    return (f"with {S.base_ctes()}{ctes}" if base else "with " + ctes.lstrip(",\n")) + "\n" + body
+    return (f"with recursive {S.base_ctes()}{ctes}" if base else "with " + ctes.lstrip(",\n")) + "\n" + body
 
 
 STATUS_DAILY = filled_series(AQI_D, "DAY", 7, False) + """,
@@ -173,6 +226,17 @@ ds0 as (select *, count_if(was_missing) over (partition by city) as n_interpolat
           count_if(filled is null) over (partition by city) as n_remaining from f)"""
 
 ORACLE = {
+    "forecast_features": _w(FEATS, "select city, cast(cfg as integer) as cfg, pos, "
+                            + ", ".join(f"round({w}, 6) as {w}" for w in _WS) + " from feats"),
+    "forecast_gram": _w(GRAM, """select a.city, cast(a.cfg as integer) as cfg, cast(a.i as integer) as i,
+  cast(b.i as integer) as j, count(*) as n, round(avg(a.x * b.x), 6) as mean
+from wl a join wl b on a.city = b.city and a.cfg = b.cfg and a.pos = b.pos and b.i <= a.i
+where a.i > 0 group by all"""),
+    # every city long enough is expected to have a usable fit here
+    "forecast_status": _w(STATUS_DAILY, f"""select city, count(*) as n_days,
+  case when max(n_remaining) > 0 then 'gaps_remaining' when count(*) <= {2 * HORIZON} then 'too_short'
+    else 'ok' end as status
+from ds0 group by city"""),
     "daily_series_status": _w(STATUS_DAILY, """
 select city, count(*) as n_days, max(n_interpolated) as n_interpolated, max(n_remaining) as n_remaining,
   case when max(n_remaining) = 0 then 'ok' else 'gaps_remaining' end as status
@@ -186,6 +250,9 @@ from k group by city"""),
                                 " n_months, pos from k", base=False),
     "seasonal_decompose": _w(DECOMP, "select city, month, round(observed, 6) as observed, round(trend, 6) as trend,"
                                      " round(seasonal, 6) as seasonal, round(resid, 6) as resid from dec"),
+    "seasonal_decompose_mult": _w(DECOMP_MULT, "select city, month, round(observed, 6) as observed,"
+                                               " round(trend, 6) as trend, round(seasonal, 6) as seasonal,"
+                                               " round(resid, 6) as resid from dec"),
     "seasonal_cycle": _w(DECOMP, f"select city, cast(month(month) as integer) as month_num,"
                                  f" {S.month_name('month(month)')} as month, round(avg(seasonal), 6) as effect"
                                  " from dec group by 1, 2, 3"),
@@ -197,6 +264,21 @@ select city, model, round(avg(abs(actual - predicted)), 6) as mae,
   round(avg(abs((actual - predicted) / nullif(actual, 0))) * 100.0, 6) as mape,
   count(*) as n_test, count_if(actual = 0) as n_mape_skipped
 from preds group by 1, 2"""),
+    "model_backtest": _w(BACKTEST, """
+select city, model, round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape, n_test, n_mape_skipped,
+  label as chosen_order, round(aic, 6) as aic from scored left join best using (city)"""),
+    "model_forecast": _w(DAILY + ",\n" + FS.forecast("ds", HORIZON), """
+select city, cast(step as integer) as step, date, round(forecast, 6) as forecast, round(lower, 6) as lower,
+  round(upper, 6) as upper from fc"""),
+    "forecast_verdict": _w(BACKTEST, """
+select city, round(model_mae, 6) as model_mae, round(persistence_mae, 6) as persistence_mae,
+  round(seasonal_naive_mae, 6) as seasonal_naive_mae, round(best, 6) as best_naive_mae,
+  round(model_mae - best, 6) as delta_vs_best_naive, model_mae < best as beats_naive
+from (select city, max(case when model = 'model' then mae end) as model_mae,
+    max(case when model = 'persistence' then mae end) as persistence_mae,
+    max(case when model = 'seasonal_naive' then mae end) as seasonal_naive_mae,
+    least(max(case when model = 'persistence' then mae end), max(case when model = 'seasonal_naive' then mae end))
+      as best from scored group by city)"""),
     "stream_daily_mean": _w(STREAM, "select city, pollutant, cast(ts as date) as date, round(avg(value), 6) as mean,"
                                     " count(value) as n from lg where value is not null group by 1, 2, 3",
                             base=False),

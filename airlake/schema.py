@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airlake.reference import CONC_COLUMNS
+from airlake.reference import CITY_DAY_RENAME, CONC_COLUMNS, HOURLY_RENAME  # noqa: F401
 
 CITY_DAY_COLUMNS: tuple[str, ...] = ("city", "date", *CONC_COLUMNS, "aqi", "aqi_bucket")
 
@@ -18,19 +18,6 @@ CITY_DAY_SCHEMA = T.StructType(
     + [T.StructField("aqi", T.DoubleType()), T.StructField("aqi_bucket", T.StringType())]
 )
 
-# Raw header names of the city-day CSV and of hourly station files -> ours.
-CITY_DAY_RENAME = {
-    "City": "city", "Date": "date", "PM2.5": "pm25", "PM10": "pm10", "NO": "no",
-    "NO2": "no2", "NOx": "nox", "NH3": "nh3", "CO": "co", "SO2": "so2", "O3": "o3",
-    "Benzene": "benzene", "AQI": "aqi", "AQI_Bucket": "aqi_bucket",
-}
-HOURLY_RENAME = {
-    "PM2.5 (ug/m3)": "pm25", "PM10 (ug/m3)": "pm10", "NO (ug/m3)": "no",
-    "NO2 (ug/m3)": "no2", "NOx (ppb)": "nox", "NH3 (ug/m3)": "nh3",
-    "SO2 (ug/m3)": "so2", "CO (mg/m3)": "co", "Ozone (ug/m3)": "o3",
-    "Benzene (ug/m3)": "benzene",
-}
-
 
 def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Replace NaN by NULL in double columns (Spark treats NaN as a value)."""

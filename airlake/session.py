@@ -8,6 +8,7 @@ when none is configured (tests, local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -65,13 +66,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the configured checkpoint folder; set a scratch one only if unset."""
+    """Return the configured checkpoint folder. A scratch one is set only where
+    none is configured and driver and tasks share one machine (local master)."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="airlake-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -3,11 +3,9 @@
 Each function reads the given parquet tables and derives the inputs the
 operators expect, so the work of every query grows with those tables.
 
-Dimension joins: ``region`` (5 rows) and ``nation`` (25 rows) are fixed-size
-by definition and are broadcast explicitly. ``supplier`` and ``customer`` grow
-with the scale factor, so they are left to the planner: Spark broadcasts them
-only when their measured size is under ``spark.sql.autoBroadcastJoinThreshold``
-(AQE re-checks at run time) and otherwise uses a shuffled join.
+Dimension joins: every lookup table is broadcast only when its estimated size
+is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time);
+otherwise the join is shuffled.
 """
 
 from __future__ import annotations
@@ -68,10 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _with_region(df: DataFrame, nation_key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attach the region name as ``city``. Nation (25 rows) and region
-    (5 rows) are fixed-size dimensions; each is broadcast on its own, so
-    their broadcast stages run concurrently rather than one after the other."""
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    region = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("city")))
+    (5 rows) are small dimensions, broadcast behind a check of their size;
+    each on its own, so their broadcast stages run concurrently."""
+    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    region = broadcast_if_small(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("city")))
     return (df.join(nation, F.col(nation_key) == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
 
@@ -250,3 +248,45 @@ def sparse_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def festival_calendar(spark: SparkSession) -> DataFrame:
     rows = [(y, dt.date.fromisoformat(d)) for y, d in FESTIVAL_DATES.items()]
     return spark.createDataFrame(rows, "year int, event_date date")
+
+
+def curated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of a curated file, all text, with planted bad values."""
+    e = table(spark, sf_dir, "events")
+    return e.selectExpr(
+        f"{_city_of_user_sql('user_id')} AS City",
+        "CASE WHEN event_id % 13 = 0 THEN 'no date' WHEN event_id % 17 = 0 THEN NULL"
+        " ELSE date_format(ts, 'yyyy-MM-dd') END AS Date",
+        "CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN 'NaN'"
+        " ELSE CAST(value AS STRING) END AS `PM2.5`",
+        "CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id AS STRING) END AS AQI")
+
+
+def hourly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of station files: two column layouts, quoted fields,
+    a header repeated in the middle, bad numbers and time stamps."""
+    e = table(spark, sf_dir, "events")
+    lines = e.selectExpr(
+        "CAST(user_id % 15 AS STRING) AS file", "event_id AS place",
+        "CASE WHEN event_id % 19 = 0 THEN 'not a time' ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS t",
+        "CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(event_id AS STRING) END AS a",
+        "CAST(event_id % 100 AS STRING) AS b", "user_id % 15 % 2 = 0 AS even")
+    lines = lines.selectExpr("file", "place", "even",
+                             "CASE WHEN even THEN concat('\"', t, '\",', a, ',\"1,5\",', b)"
+                             " ELSE concat(b, ',', t) END AS line")
+    header = ("CASE WHEN even THEN 'From Date,\"PM2.5 (ug/m3)\",note,Ozone (ug/m3)'"
+              " ELSE 'PM10 (ug/m3),From Date' END AS line")
+    stations = lines.groupBy("file", "even").agg(F.max("place").alias("last"))
+    first = stations.selectExpr("file", "CAST(-1 AS BIGINT) AS place", header)
+    again = stations.selectExpr("file", "last AS place", header)
+    return (lines.select("file", "place", "line").unionByName(first).unionByName(again)
+            .withColumn("name", F.concat("file", F.lit(".csv"))))
+
+
+def feed_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the nested layout of the sensor feed."""
+    e = table(spark, sf_dir, "events")
+    return e.selectExpr(
+        "user_id AS sensor_id", "named_struct('name', event_type, 'units', 'ug/m3') AS parameter",
+        "named_struct('datetimeFrom', named_struct('utc', CASE WHEN event_id % 9 = 0 THEN NULL"
+        " ELSE concat(date_format(ts, 'yyyy-MM-dd'), 'T00:00:00Z') END)) AS period", "value")

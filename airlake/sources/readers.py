@@ -29,17 +29,22 @@ def load_raw(spark: SparkSession, path: str, fmt: str = "csv", date_format: str
     doubles (bad text -> NULL, NaN -> NULL). Fails, with the count, if any
     date is missing or does not parse. Sorting is left to the output (``orderBy`` there)."""
     raw = _read(spark, path, fmt)
+    typed = parse_city_day(raw, date_format)
+    n_bad = typed.agg(F.count_if(F.col("date").isNull()).alias("n")).first()["n"]
+    if n_bad:
+        raise ValueError(f"{n_bad} rows have an unparseable date.")
+    return typed
+
+
+def parse_city_day(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Rows of text in the curated layout -> the city-day schema; dates that
+    are missing or do not parse become NULL."""
     raw = raw.select([F.col(f"`{c}`").alias(CITY_DAY_RENAME.get(c, c)) for c in raw.columns])
-    date = F.col("date").cast("string")
-    typed = raw.withColumn("_bad", F.try_to_date(date, date_format).isNull())
-    typed = typed.withColumn("date", F.try_to_date(date, date_format))
+    typed = raw.withColumn("date", F.try_to_date(F.col("date").cast("string"), date_format))
     for c in typed.columns:
-        if c not in ("city", "date", "aqi_bucket", "_bad"):
+        if c not in ("city", "date", "aqi_bucket"):
             typed = typed.withColumn(c, F.col(c).cast("string").try_cast("double"))
-    n_bad = typed.agg(F.count_if("_bad").alias("n")).first()["n"]
-    if n_bad:
-        raise ValueError(f"{n_bad} rows have an unparseable date.")
-    return nan_to_null(conform(typed.drop("_bad")))
+    return nan_to_null(conform(typed))
 
 
 def load_clean(spark: SparkSession, path: str, cities: Sequence[str], fmt: str = "csv") -> DataFrame:
@@ -78,10 +83,16 @@ def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
     timestamps), pollutants.
     """
     meta = F.col("_metadata")
-    lines = spark.read.text(folder).select(
+    return parse_hourly(spark.read.text(folder).select(
         F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_name"].alias("name"),
-        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
-        csv_fields(F.col("value")).alias("fields"))
+        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place")), ts_header, rename)
+
+
+def parse_hourly(lines: DataFrame, ts_header: str = "From Date",
+                 rename: dict[str, str] = HOURLY_RENAME) -> DataFrame:
+    """The lines of station files (line, file, name, place: their order within
+    the file) -> readings; see ``scan_hourly``."""
+    lines = lines.withColumn("fields", csv_fields(F.col("line")))
     is_header = F.array_contains("fields", ts_header)
     headers = lines.where(is_header).groupBy("file").agg(F.min_by("fields", "place").alias("hdr"))
     # one header row per file: left to the planner and to AQE, which sizes it

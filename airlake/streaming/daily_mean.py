@@ -3,16 +3,22 @@ readings (ST1).
 
 ``readStream`` file source -> long form -> event-time watermark -> 1-day
 tumbling windows -> ``update`` output through ``foreachBatch`` into a table
-with the batch id. Reading the table back keeps the newest row per key, so
-the result is exact for any number of micro-batches and survives restarts
-from the streaming checkpoint. Checkpoint and table live under the shared
-``spark.checkpoint.dir`` (never a machine-local folder on a cluster).
+with one partition per micro-batch. A batch that is written again after a
+failure replaces its own partition; reading the table back keeps the newest row
+per key. Progress and table live in the folder the caller names, so a later
+run with the same folder reads only new files and updates the same table; the
+default is a new folder under the shared ``spark.checkpoint.dir``.
+
+Rows older than the watermark (``watermark`` behind the newest event time of
+the batches before) are dropped, as in any windowed stream; ``Run.late_rows``
+reports how many. Within one micro-batch nothing is late.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,37 +49,49 @@ def daily_means(readings: DataFrame, pollutants: Sequence[str], watermark: str =
     return g.withColumn("date", F.to_date(F.to_utc_timestamp(F.col("win.start"), zone)))
 
 
-def run_to_table(agg: DataFrame, root: str | None = None) -> str:
-    """Drain the stream (available-now trigger) into a parquet table of
-    updates tagged with their batch id; returns the table path."""
+class Run(NamedTuple):
+    table: str       # partitioned by batch_id
+    late_rows: int   # dropped behind the watermark by this run
+    input_rows: int  # read by this run
+
+
+def run_to_table(agg: DataFrame, root: str | None = None) -> Run:
+    """Drain the stream (available-now trigger) into a parquet table of updates
+    under ``root``; a later call with the same ``root`` goes on from there."""
     spark = agg.sparkSession
-    base = (root or ensure_checkpoint_dir(spark)).rstrip("/") + f"/airlake-stream-{uuid.uuid4().hex}"
+    base = (root or f"{ensure_checkpoint_dir(spark)}/airlake-stream-{uuid.uuid4().hex}").rstrip("/")
     table = f"{base}/table"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return table
+    progress = q.recentProgress
+    late = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    return Run(table, late, sum(p["numInputRows"] for p in progress))
 
 
 def latest(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    """Newest update per (window, city, pollutant)."""
-    try:
-        t = spark.read.parquet(table)
-    except Exception:  # noqa: BLE001 - nothing was written: empty stream
+    """Newest update per (window, city, pollutant). A table that was never
+    written (empty stream) has no rows; any other read failure is raised."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
+    t = spark.read.schema(f"{schema}, batch_id long").parquet(table)
     w = Window.partitionBy("date", "city", "pollutant").orderBy(F.desc("batch_id"))
     return t.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1).drop("_rk", "batch_id")
 
 
+RESULT = ("win struct<start:timestamp,end:timestamp>, city string, pollutant string, mean double, n long, "
+          "date date")
+
+
 def stream_daily_mean(spark: SparkSession, source: str, schema, to_readings: Callable[[DataFrame], DataFrame],
-                      pollutants: Sequence[str], watermark: str = "2 days") -> DataFrame:
+                      pollutants: Sequence[str], watermark: str = "2 days", root: str | None = None) -> DataFrame:
+    """Daily means over all files of ``source`` so far; with a ``root`` from an
+    earlier run only new files are read."""
     stream = spark.readStream.schema(schema).parquet(source)
-    agg = daily_means(to_readings(stream), pollutants, watermark)
-    table = run_to_table(agg)
-    out = latest(spark, table, "win struct<start:timestamp,end:timestamp>, city string, "
-                               "pollutant string, mean double, n long, date date")
-    return out.select("city", "pollutant", "date", "mean", "n")
+    run = run_to_table(daily_means(to_readings(stream), pollutants, watermark), root)
+    return latest(spark, run.table, RESULT).select("city", "pollutant", "date", "mean", "n")

@@ -65,3 +65,33 @@ def test_recovers_ar_coefficients_and_intervals(spark):
     widths = [r.upper - r.lower for r in fc]
     assert all(np.isfinite(widths)) and all(b >= a for a, b in zip(widths, widths[1:]))
     assert all(r.lower <= r.forecast <= r.upper for r in fc)
+
+
+def _months(spark, values, city="X"):
+    rows = [(city, dt.date(2000 + i // 12, i % 12 + 1, 1), float(v), False, 0, len(values), i)
+            for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "city string, month date, value double, interpolated boolean, "
+                                       "n_interpolated long, n_months long, pos int")
+
+
+def test_multiplicative_decomposition_multiplies_back(spark):
+    wave = [1 + 0.3 * np.sin(2 * np.pi * i / 12) for i in range(60)]
+    good = _months(spark, [(100 + i) * w for i, w in enumerate(wave)])
+    series = good.unionByName(_months(spark, [0.0] * 40, "zero")).unionByName(_months(spark, wave[:20], "short"))
+    rows = SE.seasonal_decompose(series, model="multiplicative").where("trend is not null").collect()
+    assert rows and {r.city for r in rows} == {"X"}
+    assert all(r.trend * r.seasonal * r.resid == pytest.approx(r.observed) for r in rows)
+    status = {r.city: r.status for r in SE.decomposition_status(series, model="multiplicative").collect()}
+    assert status == {"X": "ok", "zero": "not_positive", "short": "too_short"}
+
+
+def test_forecast_status_has_every_city(spark):
+    rng = np.random.default_rng(0)
+    series = (_series(spark, rng.normal(size=200).cumsum() + 50, "good")
+              .unionByName(_series(spark, [5.0] * 200, "constant"))
+              .unionByName(_series(spark, rng.normal(size=50), "short")))
+    status = spark.createDataFrame([("good", 200, "ok"), ("constant", 200, "ok"), ("short", 50, "ok"),
+                                    ("gaps", 90, "gaps_remaining")], "city string, n_days long, status string")
+    train = FC.split_train_test(series, 30).where(~F.col("is_test")).select("city", "pos", "date", "value")
+    got = {r.city: r.status for r in FC.forecast_status(status, 30, FC.fit_candidates(train)[0]).collect()}
+    assert got == {"good": "ok", "constant": "no_usable_fit", "short": "too_short", "gaps": "gaps_remaining"}

@@ -173,3 +173,62 @@ def test_build_pipeline_end_to_end(spark, scratch):
     assert r.aqi is not None and r.aqi_bucket is not None
     prof = write_city_day(cd.drop("o3_8h", "co_8h"), os.path.join(scratch, "out")).collect()
     assert prof[0].n_rows == 1
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+
+
+def test_missing_dates_are_rejected(spark, scratch):
+    path = os.path.join(scratch, "m.csv")
+    _write(path, "City,Date,PM2.5\nX,,1\nX,2020-01-01,2\n")
+    with pytest.raises(ValueError, match="1 rows"):
+        load_raw(spark, path)
+
+
+def test_load_clean_and_recent(spark, scratch):
+    from airlake.sources.readers import load_clean, load_recent
+    path = os.path.join(scratch, "c.csv")
+    _write(path, "City,Date,PM2.5,AQI\nX,2020-01-01,1,50\nY,2020-01-01,2,\n")
+    assert [(r.city, r.aqi) for r in load_clean(spark, path, ["X", "Z"]).collect()] == [("X", 50.0)]
+    with pytest.raises(ValueError, match="present"):
+        load_clean(spark, path, ["Z"])
+    assert load_recent(spark, path).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_recent(spark, os.path.join(scratch, "none.csv"))
+
+
+def test_feed_days_cut_and_types(spark):
+    from airlake.sources.readers import feed_days
+    raw = spark.sql("""select 7L as sensor_id, named_struct('name', 'pm25', 'units', 'ug/m3') as parameter,
+      named_struct('datetimeFrom', named_struct('utc', d)) as period, cast(v as float) as value
+      from values ('2024-01-09T23:00:00Z', 1), ('2024-01-10T00:00:00Z', 2), (null, 3) as t(d, v)""")
+    rows = feed_days(raw, dt.date(2024, 1, 10)).collect()
+    assert [tuple(r) for r in rows] == [(7, dt.date(2024, 1, 10), "pm25", "ug/m3", 2.0)]
+
+
+def test_hourly_headers_repeated_quoted_and_same_names(spark, scratch):
+    rows = "2020-01-01 00:00:00,1\n2020-01-01 01:00:00,2\n"
+    _write(os.path.join(scratch, "a", "S.csv"), f"From Date,CO (mg/m3)\n{rows}From Date,CO (mg/m3)\n"
+                                                "2020-01-01 02:00:00,3\n")
+    _write(os.path.join(scratch, "b", "S.csv"), '"From Date","note","PM2.5 (ug/m3)"\n'
+                                                '"2020-01-02 00:00:00","x, ""y""","5"\n')
+    got = sorted((r.station_id, r.ts, r.co, r.pm25) for r in scan_hourly(spark, os.path.join(scratch, "*")).collect())
+    assert got == [("S", dt.datetime(2020, 1, 1, h), h + 1.0, None) for h in range(3)] + [
+        ("S", dt.datetime(2020, 1, 2), None, 5.0)]
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_few_pollutant_columns(spark, n):
+    from airlake.operators.attribution import compute_sub_indices
+    cols = ["pm25"][:n]
+    df = spark.createDataFrame([("X", dt.date(2020, 1, 1), 50.0, *[10.0] * n)],
+                               ", ".join(["city string", "date date", "aqi double", *(f"{c} double" for c in cols)]))
+    assert compute_sub_indices(df).count() == 0
+    sd = spark.createDataFrame([("X", 1, dt.date(2020, 1, 1), *[10.0] * n)],
+                               ", ".join(["city string", "station_id long", "date date", *(f"{c} double" for c in cols)]))
+    if n:
+        assert city_daily(sd).collect()[0].aqi is None
+    assert [r.computed_aqi for r in compute_sub_indices(df, min_count=n).collect()] == [10.0 * 50 / 30] * n + [None] * (1 - n)

@@ -46,21 +46,75 @@ def test_stream_over_several_batches(spark, scratch):
     stream = (spark.readStream.schema(X.SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
               .parquet(landing))
     agg = ST.daily_means(X.readings_from_events(stream), POLL)
-    table = ST.run_to_table(agg)
-    assert spark.read.parquet(table).select("batch_id").distinct().count() >= 2
-    out = ST.latest(spark, table, "x int").select("city", "pollutant", "date", "mean", "n")
+    run = ST.run_to_table(agg)
+    assert spark.read.parquet(run.table).select("batch_id").distinct().count() >= 2 and run.late_rows == 0
+    out = ST.latest(spark, run.table, ST.RESULT).select("city", "pollutant", "date", "mean", "n")
     assert _rows(out) == _batch(spark, ev)
 
 
+def _landing(spark, scratch, *frames):
+    """One parquet file per frame, to be put into the landing folder in turn."""
+    files = []
+    for i, df in enumerate(frames):
+        out = os.path.join(scratch, f"part{i}")
+        df.coalesce(1).write.parquet(out)
+        files.append(os.path.join(out, next(x for x in os.listdir(out) if x.endswith(".parquet"))))
+    return files
+
+
+def test_second_run_reads_only_new_files(spark, scratch):
+    ev = X.table(spark, SF_SMALL, "events")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    files = _landing(spark, scratch, ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut))
+    landing, root = os.path.join(scratch, "landing"), os.path.join(scratch, "state")
+    os.makedirs(landing)
+
+    def run():
+        stream = spark.readStream.schema(X.SCHEMAS["events"]).parquet(landing)
+        return ST.run_to_table(ST.daily_means(X.readings_from_events(stream), POLL), root)
+    read = []
+    for i, f in enumerate(files):
+        shutil.copy(f, os.path.join(landing, f"{i}.parquet"))
+        read.append(run().input_rows)
+    assert read == [spark.read.parquet(f).count() for f in files]
+    assert run().input_rows == 0
+    out = ST.latest(spark, f"{root}/table", ST.RESULT).select("city", "pollutant", "date", "mean", "n")
+    assert _rows(out) == _batch(spark, ev)
+
+
+def test_late_rows_are_dropped_and_counted(spark, scratch):
+    ev = X.table(spark, SF_SMALL, "events")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    files = _landing(spark, scratch, ev.where(F.col("ts") >= cut), ev.where(F.col("ts") < cut))
+    landing, root = os.path.join(scratch, "landing"), os.path.join(scratch, "state")
+    os.makedirs(landing)
+    late = 0
+    for i, f in enumerate(files):
+        shutil.copy(f, os.path.join(landing, f"{i}.parquet"))
+        stream = spark.readStream.schema(X.SCHEMAS["events"]).parquet(landing)
+        late += ST.run_to_table(ST.daily_means(X.readings_from_events(stream), POLL), root).late_rows
+    assert late > 0
+
+
+def test_unreadable_table_is_an_error(spark, scratch):
+    assert ST.latest(spark, os.path.join(scratch, "none"), ST.RESULT).count() == 0
+    bad = os.path.join(scratch, "bad", "batch_id=0")
+    os.makedirs(bad)
+    with open(os.path.join(bad, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        ST.latest(spark, os.path.join(scratch, "bad"), ST.RESULT).collect()
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_days_do_not_depend_on_session_zone(spark, zone):
-    import __spark_entry__ as E
+    from airlake.plans import registry
     from airlake.plans.check import compare, duck
     con = duck(SF_SMALL)
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         for key in ("stream_daily_mean", "splice_sources", "nearby_sensors"):
-            ok, msg = compare(E.queries()[key](spark, SF_SMALL), con, E.oracle_sql()[key])
+            ok, msg = compare(registry.all_queries()[key](spark, SF_SMALL), con, registry.all_oracle()[key])
             assert ok, f"{zone} {key}: {msg}"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
