@@ -25,6 +25,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from airlake.llm.bpe import BoundedCache
 from airlake.session import cut_lineage
@@ -35,7 +36,8 @@ LEXICON_WORDS = 512
 MIN_SUPPORT = 3         # different words before an entry, in toxic documents
 STRONG_SHARE = 0.03     # of the toxic documents hold a strong entry
 STRONG_ODDS = 3.0
-STEMS = (4, 5, 6)       # letters of a stem
+STEMS = (4, 5, 6, 7, 8)  # letters of a stem
+BIN_ROWS = 30           # calibration rows behind one step
 MEMO = 400_000          # words whose entries a worker remembers
 THRESHOLD = 0.3
 
@@ -234,7 +236,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int
     train = cut_lineage(train.select(label, "features")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3).fit(train)
     raw = _raw(model, _featured(parts["calibration"], "toxic", "int", *whole)).select(label, F.col("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)
+    # a step of the calibration rests on a bin of rows, not on two or three
+    size = max(5, min(BIN_ROWS, checked[1] // 12))
+    order = Window.orderBy("raw")  # max_rows rows at most
+    bins = (raw.withColumn("bin", F.ntile(max(1, checked[1] // size)).over(order)).groupBy("bin")
+            .agg(F.avg("raw").alias("raw"), F.avg("label").alias("label"), F.count("*").cast("double").alias("n")))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="n").fit(bins)
     return Model(*whole, model, calibration, base)
 
 
