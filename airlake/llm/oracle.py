@@ -31,7 +31,7 @@ c as (
   from f left join inside using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (2 * n_symbols > n_words or 2 * n_dup_lines > n_lines
+  not base_failed and not (5 * n_symbols > n_words or 2 * n_dup_lines > n_lines
     or word_chars > 25 * n_words or 2 * n_wordless > n_words) as kept
 from b"""
 

@@ -85,7 +85,7 @@ BASE = (
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
 )
 RULES = BASE + (
-    Rule("symbols", lambda t: 2 * t.n_symbols > t.n_words),
+    Rule("symbols", lambda t: 5 * t.n_symbols > t.n_words),
     Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("long_words", lambda t: t.word_chars > 25 * t.n_words),
     Rule("no_letters", lambda t: 2 * t.n_wordless > t.n_words),

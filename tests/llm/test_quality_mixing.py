@@ -26,7 +26,7 @@ def brute_quality(text):
     symbols = sum(c in "#*$%&|<>" for c in text)
     failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
     bare = sum(not any(c.isalpha() for c in x) for x in w)
-    bad = (2 * symbols > len(w) or 2 * dup > len(lines) or sum(map(len, w)) > 25 * len(w) or 2 * bare > len(w))
+    bad = (5 * symbols > len(w) or 2 * dup > len(lines) or sum(map(len, w)) > 25 * len(w) or 2 * bare > len(w))
     return len(w), sum(map(len, w)), symbols, dup, len(inside), failed, not (failed or bad)
 
 
