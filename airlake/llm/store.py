@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from airlake.session import ensure_checkpoint_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+def _new_path(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/airlake-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, its lineage cut."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/airlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return StoredTable(df, *partition_by).df
+
+
+class StoredTable:
+    """A stored table that can be given up when another one has replaced it."""
+
+    def __init__(self, df: DataFrame, *partition_by: str):
+        spark = df.sparkSession
+        self.path = _new_path(spark)
+        df.write.partitionBy(*partition_by).parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def discard(self) -> None:
+        """Remove the files; nothing may read the table afterwards."""
+        spark = self.df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

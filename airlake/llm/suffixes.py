@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlake.llm.store import stored
+from airlake.llm.store import StoredTable, stored
 
 LENGTH, GRAM, HALF = 400, 32, 200
 BATCHES = 4
@@ -142,16 +142,17 @@ def entries(docs: DataFrame) -> DataFrame:
 
 # --- the family of suffix arrays ----------------------------------------------
 
-def _keys(classes: DataFrame, *columns: str) -> DataFrame:
-    return classes.select(*columns, F.explode(F.array_compact(F.array("forward", "backward"))).alias("key"))
+def _keys(classes: DataFrame) -> DataFrame:
+    return classes.select(F.explode(F.array_compact(F.array("forward", "backward"))).alias("key"))
 
 
 class SuffixFamily:
     """Levels by rank; each is a table of classes in order of their suffixes:
-    seg, n, the class' first entry (``rep``), prefix, forward, backward."""
+    seg, n, the class' first entry (``rep``), prefix, forward, backward. A
+    level that was merged into another one is discarded."""
 
     def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
+        self.levels: dict[int, StoredTable] = {}
         self.found: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
@@ -159,27 +160,28 @@ class SuffixFamily:
         array = self._sorted(batch.groupBy("seg").agg(
             F.count("*").alias("n"), F.min(F.struct("id", "row", "pos", "first", "last")).alias("rep"),
             *[F.first(c).alias(c) for c in ("prefix", "forward", "backward")]))
-        own = _keys(array, "n")
-        hits = own.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+        own = _keys(array.df).groupBy("key").agg(F.count("*").alias("classes"))
+        hits = own.where("classes > 1").select("key")
         for level in self.levels.values():
-            hits = hits.union(own.select("key").join(_keys(level), "key").select("key"))
+            hits = hits.union(own.select("key").join(_keys(level.df), "key", "left_semi"))
         self.found.append(stored(hits.distinct()))
         rank = 0
         while rank in self.levels:
-            array = self._merged([array, self.levels.pop(rank)])
+            parts = [array, self.levels.pop(rank)]
+            array = self._sorted(_summed([p.df for p in parts]))
+            for p in parts:
+                p.discard()
             rank += 1
         self.levels[rank] = array
 
     @staticmethod
-    def _sorted(classes: DataFrame) -> DataFrame:
-        return stored(classes.sortWithinPartitions("prefix", "forward"))
-
-    def _merged(self, arrays: list[DataFrame]) -> DataFrame:
-        return self._sorted(_summed(arrays))
+    def _sorted(classes: DataFrame) -> StoredTable:
+        return StoredTable(classes.sortWithinPartitions("prefix", "forward"))
 
     def classes(self) -> DataFrame:
         """All classes, whichever levels hold them."""
-        return _summed(list(self.levels.values()))
+        levels = [level.df for level in self.levels.values()]
+        return levels[0] if len(levels) == 1 else stored(_summed(levels))
 
     def hits(self) -> DataFrame:
         """Keys that two or more classes hold."""
@@ -369,11 +371,11 @@ def _wanted(classes: DataFrame, hits: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """id, row, begin, end: byte ranges (not merged) covered by repeated strings."""
-    indexed = stored(entries(docs))
+    indexed = stored(entries(docs).withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "batch")
     family = SuffixFamily()
     for b in range(batches):
-        family.add(indexed.where(F.pmod("row", F.lit(batches)) == b))
-    classes = stored(family.classes())
+        family.add(indexed.where(F.col("batch") == b))
+    classes = family.classes()
     whole = classes.where("n > 1").select("seg")
     spans = indexed.join(whole, "seg").select("id", "row", F.col("first").alias("begin"),
                                               (F.col("last") + LENGTH).alias("end"))
