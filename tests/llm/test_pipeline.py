@@ -7,8 +7,8 @@ import public_tokenizers
 import corpus_pipeline as P
 from airlake.llm import bpe, mixing, pii, simhash, toxicity
 from airlake.llm.store import stored
-from test_quality_mixing import words_of
-from test_simhash import components_of, fingerprint
+from llm.test_quality_mixing import words_of
+from llm.test_simhash import components_of, fingerprint
 
 SF = "/root/testdata/sf0.001"
 
