@@ -165,8 +165,8 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         encode, packer = bpe.encoder(tokenizer_path), Packer(TaskContext.get().partitionId())
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, encode(text) + CLOSING_ID)
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                packer.add(doc, ids + CLOSING_ID)
                 if len(packer.rows) >= 50_000:
                     yield out(packer.rows)
                     packer.rows = []

@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64())
-            tokens = pa.array([counter(t) for t in texts], pa.int64())
+            tokens = pa.array(counter(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     return (docs.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint")

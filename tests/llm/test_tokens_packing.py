@@ -40,7 +40,30 @@ def test_token_counts_empty_table(edge_docs):
 def test_small_caches_and_table_do_not_change_counts(tok):
     texts = ["one two three two one", "three four  five six", "one one one", ""]
     count = bpe.Counter(PATH, {"two": 1}, entries=2)
-    assert [count(t) for t in texts * 2] == [len(tok.encode(t).ids) for t in texts * 2]
+    assert count(texts * 2) == [len(tok.encode(t).ids) for t in texts * 2]
+    assert [n for t in texts * 2 for n in count([t])] == count(texts * 2)
+
+
+def test_pieces_are_encoded_as_by_the_library(tok):
+    merge = bpe.Merger(PATH)
+    assert merge.fast is not None
+    pieces = ["a", "", " <|endoftext|>", "<|endoftext", "|>", "é x", "  ", "b\n", " don't", " 12ab", " x\r\n\ty", "'S"]
+    want = [np.asarray(tok.encode(p).ids, "<u4").tobytes() for p in pieces]
+    assert merge(pieces) == want
+    merge.fast = None
+    assert merge(pieces) == want and merge(pieces[5:]) == want[5:] and merge([]) == []
+
+
+def test_both_libraries_agree_on_every_sure_character(tok):
+    merge = bpe.Merger(PATH)
+    probes = [f"a{c}a1{c}1 {c}!{c}{c} '{c}s" for c in map(chr, range(0x530)) if c != "<"]
+    assert not any(map(bpe.UNSURE.search, probes))
+    want = [np.asarray(tok.encode(p).ids, "<u4").tobytes() for p in probes]
+    assert merge._merged(probes) == want
+
+
+def test_other_tokenizers_are_not_taken_for_ranked():
+    assert bpe._ranked(public_tokenizers.path("word_bpe_49k.json")) is None
 
 
 def check_packing(tok, rows, pieces):
