@@ -38,6 +38,7 @@ STRONG_SHARE = 0.03     # of the toxic documents hold a strong entry
 STRONG_ODDS = 3.0
 STEMS = (4, 5, 6, 7, 8)  # letters of a stem
 BIN_ROWS = 30           # calibration rows behind one step
+FEW_WORDS, FEW_CHARS = 20, 100   # added where rates are taken
 MEMO = 400_000          # words whose entries a worker remembers
 THRESHOLD = 0.3
 
@@ -89,7 +90,7 @@ class Lexicon:
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     words = words_of(text)
-    n, size = max(1, len(words)), max(1, len(text))
+    n, size = len(words) + FEW_WORDS, len(text) + FEW_CHARS  # a rate in a few words says little
     values = lexicon(words)
     hits = [i for i, v in enumerate(values) if v < 0]
     repeats = len(REPEAT.findall(text))

@@ -7,8 +7,8 @@ from airlake.llm import toxicity
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels)
     out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     return docs, labels, model, out
@@ -22,13 +22,14 @@ def test_scores(scored):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(scored):
     """About a thousand held-out rows, 120 of them toxic."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    counts = {(r.toxic, r.predicted): r["count"] for r in toxicity.score(docs, model).join(labels, "doc_id").where(
-        "held_out").groupBy("toxic", "predicted").count().collect()}
+    _, labels, _, out = scored
+    counts = {}
+    for r in labels.collect():
+        if out[r.doc_id].held_out:
+            pair = r.toxic, out[r.doc_id].predicted
+            counts[pair] = counts.get(pair, 0) + 1
     assert counts[1, 1] / (counts[1, 1] + counts.get((1, 0), 0)) > 0.85, counts
     assert counts[0, 0] / (counts[0, 0] + counts.get((0, 1), 0)) > 0.99, counts
 
@@ -44,7 +45,8 @@ def test_held_out_labels_are_never_read(spark, scored):
 def test_edges(edge_docs, scored):
     _, labels, model, _ = scored
     rows = toxicity.score(edge_docs, model).collect()
-    assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
+    assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert not [(r.doc_id, r.score) for r in rows if r.predicted]
     assert toxicity.score(edge_docs.limit(0), model).count() == 0
     kept = toxicity.keep_clean(edge_docs, model)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
