@@ -3,9 +3,10 @@
 Base patterns give the seed entities. The words before an entity are a lexical
 pattern; the same words before another identifier-like run, one that no base
 pattern knows, tie that run to the pattern. Spark scores the graph of patterns
-and instances in rounds: a pattern is as good as the instances it precedes, an
-instance as good as the patterns it follows. Instances that high-confidence
-patterns carry become further spans, named ``ctx_<kind>``.
+and instances in rounds: a pattern is as good as the known instances it
+precedes, an instance as good as the patterns it follows. Instances that
+high-confidence patterns carry become further spans, named ``ctx_<kind>``, and
+support further patterns in the next round, until nothing changes.
 
 Texts stay in the scan: what is shuffled are pattern-instance edges, combined
 per pattern and instance, so that a phrase found in a third of the documents
@@ -17,14 +18,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-MIN_SEEDS = 5        # distinct seed instances behind a pattern
+MIN_SEEDS = 5        # distinct instances of a kind behind a pattern
 MIN_SCORE = 0.9      # of a pattern, and of an instance it adds
 CONTEXT_WORDS = 2
 MOST_BROADCAST = 100_000   # rows of discovered spans sent to all tasks
@@ -141,36 +141,48 @@ def extract(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def confident(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-              min_score: float = MIN_SCORE) -> DataFrame:
+def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """pattern, instance, kind of the instances that good patterns add, from
     ``edges(pattern, instance, kind)`` (kind: of the seed, null if unknown).
 
-    Round by round, a pattern's score for a kind is the mean score of its
-    distinct instances, and an unknown instance's score is ``1 - product of
-    (1 - score)`` over its patterns with enough seeds."""
+    A pattern's score for a kind is the mean score of its distinct instances
+    that have a kind: 1 for a seed, 0 for an instance of another kind, its own
+    score for an accepted one. Unknown instances do not count. An unknown
+    instance's score is ``1 - product of (1 - score)`` over its patterns with
+    enough instances of the kind; from ``min_score`` on it is accepted, with
+    its best kind, for good. Rounds go on until none is accepted."""
     nodes = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    # patterns without enough seeds of one kind can never become confident
-    seeded = (nodes.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-              .where(F.col("seeds") >= min_seeds))
-    totals = nodes.groupBy("pattern").agg(F.count("*").alias("instances"))
-    patterns = cut_lineage(seeded.join(totals, "pattern"))
-    unknown = cut_lineage(nodes.where("kind is null").select("pattern", "instance")
-                          .join(patterns.select("pattern", "kind"), "pattern"))
-    gained = unknown.select("pattern", "kind").distinct().withColumn("gained", F.lit(0.0))
-    for _ in range(rounds):
-        scored = patterns.join(gained, ["pattern", "kind"], "left").select(
-            "pattern", "kind",
-            ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("instances")).alias("score"))
-        # score of each unknown instance: one minus the product of the misses
+    unknown = cut_lineage(nodes.where("kind is null").select("pattern", "instance"))
+    # patterns without unknown instances have nothing to add
+    seeds = cut_lineage(nodes.where("kind is not null")
+                        .join(unknown.select("pattern").distinct(), "pattern", "left_semi")
+                        .groupBy("pattern", "kind").agg(F.count("*").alias("n")))
+    seeds = seeds.withColumn("sum", F.col("n").cast("double"))
+    sure = good = None
+    while True:
+        held = seeds
+        if sure is not None:
+            held = seeds.unionByName(unknown.join(sure, "instance").groupBy("pattern", "kind").agg(
+                F.count("*").alias("n"), F.sum("score").alias("sum")))
+        held = held.groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+        of_any = F.sum("n").over(Window.partitionBy("pattern"))  # one row per kind
+        scored = cut_lineage(held.select("pattern", "kind", "n", (F.col("sum") / of_any).alias("score"))
+                             .where(F.col("n") >= min_seeds).drop("n"))
+        now = scored.where(F.col("score") >= min_score).select("pattern", "kind")
+        good = now if good is None else cut_lineage(good.union(now).distinct())
+        # score of each unknown instance: one minus the product of the misses, no less than its best pattern's
         miss = F.exp(F.sum(F.log(F.greatest(1.0 - F.col("score"), F.lit(1e-12)))))
-        instances = cut_lineage(unknown.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg(
-            (1.0 - miss).alias("score"), F.max("score").alias("best")))
-        gained = cut_lineage(unknown.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(
-            F.sum(F.when(F.col("score") >= min_score, F.col("score")).otherwise(0.0)).alias("gained")))
-    final = scored.where(F.col("score") >= min_score).select("pattern", "kind")
-    sure = instances.where(F.col("score") >= min_score).select("instance", "kind")
-    return unknown.join(final, ["pattern", "kind"]).join(sure, ["instance", "kind"]).select(
+        open_ = unknown if sure is None else unknown.join(sure, "instance", "left_anti")
+        reached = (open_.join(scored, "pattern").groupBy("instance", "kind")
+                   .agg(F.greatest(1.0 - miss, F.max("score")).alias("score")).where(F.col("score") >= min_score))
+        new = cut_lineage(reached.groupBy("instance").agg(
+            F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best"))
+            .select("instance", (-F.col("best.kind")).alias("kind"), F.col("best.score").alias("score")))
+        if new.isEmpty():
+            break
+        sure = new if sure is None else cut_lineage(sure.union(new))
+    named = new if sure is None else sure
+    return unknown.join(good, "pattern").join(named.select("instance", "kind"), ["instance", "kind"]).select(
         "pattern", "instance", "kind")
 
 
@@ -178,7 +190,6 @@ def discovered(found: DataFrame, **limits) -> DataFrame:
     """row, doc_id and the further spans of every document that has any."""
     seen = found.select("row", "doc_id", F.explode("mentions").alias("m")).select("row", "doc_id", "m.*")
     sure = confident(seen.select("pattern", "instance", "kind"), **limits)
-    # the same run may follow several patterns or suit several kinds: the lowest kind names it
     open_ = seen.where("kind is null").drop("kind").join(sure, ["pattern", "instance"])
     spans = open_.groupBy("row", "doc_id", "start", "end").agg(F.min("kind").alias("kind"))
     return spans.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct(

@@ -67,6 +67,27 @@ def test_pii_patterns_find_unseen(make_docs):
     assert clean[n + 1] == "serial 123456789 of the part"
 
 
+def test_pii_many_unseen_behind_one_pattern(make_docs):
+    texts = [f"please call us at +1 (212) 555-{1000 + i} today" for i in range(12)]
+    texts += [f"please call us at 212-555-{2000 + i} today" for i in range(112)]
+    got = pii.digest(pii.find(make_docs(texts))).collect()
+    assert all((r.spans == "ctx_phone:18:30") == (r.doc_id >= 12) for r in got)
+    assert sum(r.n_context for r in got) == 112
+
+
+def test_pii_accepted_support_further_patterns(spark):
+    rows = [("a", f"+{i}", 3) for i in range(6)] + [("a", f"n{i}", None) for i in range(6)]
+    rows += [("b", f"n{i}", None) for i in range(6)] + [("b", f"m{i}", None) for i in range(20)]  # no seed of its own
+    rows += [("c", f"m{i}", None) for i in range(20)] + [("c", f"o{i}", None) for i in range(7)]
+    rows += [("d", f"o{i}", None) for i in range(7)] + [("d", "last", None)]
+    rows += [("e", f"+{i}", 3) for i in range(6)] + [("e", f"x@{i}", 0) for i in range(3)] + [("e", "mixed", None)]
+    rows += [("f", f"+{i}", 3) for i in range(4)] + [("f", "few", None)]
+    edges = spark.createDataFrame(rows, "pattern string, instance string, kind int")
+    got = {(r.pattern, r.instance): r.kind for r in pii.confident(edges).collect()}
+    assert set(got) == {(p, i) for p, i, k in rows if k is None and p in "abcd"} and set(got.values()) == {3}
+    assert pii.confident(edges.where("kind is null")).count() == 0
+
+
 def test_pii_redact_keeps_columns(edge_docs):
     out = pii.redact(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
