@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns give the seed entities. The words before an entity are a lexical
-pattern; the same words before another identifier-like run, one that no base
+Base patterns give the seed entities. The two words before an entity are a
+lexical pattern, and so are a label alone ("tel:") and the first word of a
+line; the same words before another identifier-like run, one that no base
 pattern knows, tie that run to the pattern. Spark scores the graph of patterns
 and instances in rounds: a pattern is as good as the known instances it
 precedes, an instance as good as the patterns it follows. Instances that
@@ -39,7 +40,10 @@ DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 #: identifier-like runs: handles with an @, and numbers of seven digits or more
 OTHER = re.compile(r"(?<![\w@.+-])(?:[\w.%+-]+@[\w.-]*\w|\(?[0-9][0-9()\x20./-]{5,}[0-9])(?![\w@])")
+MARKS = tuple(":#=")
 WORD_BEFORE = re.compile(r"[^\W_]+[:#=]*")
+LABEL = re.compile(r"([^\W_]+)[\x20\t]*([:#=]+)$")
+LINE_END = re.compile(r"[\r\n]")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -88,20 +92,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words before a position, lower-cased, digits as 0."""
-    before = text[max(0, start - 80):start].rstrip("\x20\t([\"'<")
+def contexts(text: str, start: int) -> list[str]:
+    """Patterns of a position, lower-cased, digits as 0: the two words before
+    it, and as back-off a label (a word with a mark) on its own, and a word
+    that is the first of its line (after ``^``)."""
+    at = max(0, start - 80)
+    before = text[at:start].rstrip("\x20\t([\"'<")
     words = WORD_BEFORE.findall(before)[-CONTEXT_WORDS:]
-    if len(words) < CONTEXT_WORDS:
-        return None
-    return DIGIT.sub("0", " ".join(words).lower())
+    if not words:
+        return []
+    out = [" ".join(words)] if len(words) == CONTEXT_WORDS else []
+    label = LABEL.search(before) if before.endswith(MARKS) else None
+    if label:
+        out.append(label[1] + label[2])
+    line = LINE_END.split(before)
+    first = WORD_BEFORE.findall(line[-1])
+    if len(first) == 1 and (len(line) > 1 or at == 0):
+        out.append("^" + first[0])
+    return [DIGIT.sub("0", p.lower()) for p in out]
 
 
 def mentions(text: str) -> tuple[list, list]:
     """Base spans, and for each identifier-like run (base ones included):
-    pattern, instance, kind number (None if no base pattern knows it), span."""
+    patterns, instance, kind number (None if no base pattern knows it), span."""
     spans = base_spans(text)
-    seen = [(context(text, s), text[s:e].lower(), k, s, e) for s, k, e in spans]
+    seen = [(contexts(text, s), text[s:e].lower(), k, s, e) for s, k, e in spans]
     if "@" in text or DIGIT.search(text):
         at = 0
         for m in OTHER.finditer(text):
@@ -111,12 +126,12 @@ def mentions(text: str) -> tuple[list, list]:
             while at < len(spans) and spans[at][2] <= s and at + 1 < len(spans):
                 at += 1
             if not any(x < e and s < y for x, _, y in spans[max(0, at - 4):at + 5]):
-                seen.append((context(text, s), m[0].lower(), None, s, e))
+                seen.append((contexts(text, s), m[0].lower(), None, s, e))
     return spans, [x for x in seen if x[0]]
 
 
 FOUND = ("row bigint, doc_id bigint, spans array<struct<start:int,rank:int,end:int>>, "
-         "mentions array<struct<pattern:string,instance:string,kind:int,start:int,end:int>>")
+         "mentions array<struct<patterns:array<string>,instance:string,kind:int,start:int,end:int>>")
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -126,14 +141,14 @@ def extract(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-    mention_type = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.int32()),
+    mention_type = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("kind", pa.int32()),
                                        ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             both = [mentions(t) for t in batch.column(2).to_pylist()]
             spans = [[dict(zip(("start", "rank", "end"), s)) for s in b] for b, _ in both]
-            seen = [[dict(zip(("pattern", "instance", "kind", "start", "end"), m)) for m in x] for _, x in both]
+            seen = [[dict(zip(("patterns", "instance", "kind", "start", "end"), m)) for m in x] for _, x in both]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(seen, mention_type)],
                 ["row", "doc_id", "spans", "mentions"])
@@ -189,6 +204,7 @@ def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = M
 def discovered(found: DataFrame, **limits) -> DataFrame:
     """row, doc_id and the further spans of every document that has any."""
     seen = found.select("row", "doc_id", F.explode("mentions").alias("m")).select("row", "doc_id", "m.*")
+    seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
     sure = confident(seen.select("pattern", "instance", "kind"), **limits)
     open_ = seen.where("kind is null").drop("kind").join(sure, ["pattern", "instance"])
     spans = open_.groupBy("row", "doc_id", "start", "end").agg(F.min("kind").alias("kind"))

@@ -88,6 +88,20 @@ def test_pii_accepted_support_further_patterns(spark):
     assert pii.confident(edges.where("kind is null")).count() == 0
 
 
+def test_pii_one_word_labels(make_docs):
+    names = ["Ann Lee", "Bob Ray", "Cy Poe", "Di Fox", "Ed Orr", "Flo Kay"]
+    texts = [f"Name: {n}\nTel: +1 (212) 555-{1000 + i}" for i, n in enumerate(names)]
+    texts += [f"Email: box{i}@mail.example.com" for i in range(6)]
+    texts += [f"Fax +1 (212) 555-{2000 + i}\nend" for i in range(6)]
+    n = len(texts)
+    texts += ["Name: Gus Hay\nTel: 212-555-7777", "Tel : 212-555-7778", "see Email: pat@intranet", "Email: pat@intranet",
+              "ok\nFax 212-555-7779", "the fax 212-555-7780", "x " * 100 + "fax 212-555-7781"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(make_docs(texts))).collect()}
+    assert [got[n + i] for i in range(7)] == [
+        "ctx_phone:19:31", "ctx_phone:6:18", "ctx_email:11:23", "ctx_email:7:19", "ctx_phone:7:19", "", ""]
+    assert not any("ctx" in got[i] for i in range(n))
+
+
 def test_pii_redact_keeps_columns(edge_docs):
     out = pii.redact(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
