@@ -27,6 +27,7 @@ class Kind(NamedTuple):
     group: int       # of the value
     least: int       # characters of the value
     hint: str        # a text without this has no match that counts
+    needs: tuple[str, ...] = ()   # the value holds all of these
 
 
 #: The base kinds of the contract, in its order. Runs that are
@@ -37,10 +38,8 @@ BASE = (
     Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
     Kind("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 )
-#: Further credentials: long runs that mix cases and digits.
-LIVE = Kind("live", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[a-z0-9+/_-]{0,200}[A-Z])"
-                    r"(?=[A-Z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", 0, 20,
-            r"[A-Za-z0-9+/_-]{20}")
+#: Further credentials: long runs, of any length, that mix cases and digits.
+LIVE = Kind("live", r"[A-Za-z0-9+/_-]{20,}+", 0, 20, r"[A-Za-z0-9+/_-]{20}", ("[0-9]", "[A-Z]", "[a-z]"))
 KINDS = (*BASE, LIVE)
 EXAMPLE_OWNERS = 3   # a value under so many owners is an example
 BLOCK = 512
@@ -60,14 +59,19 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
     matches."""
     pattern = F.lit(kind.pattern)
 
+    def counts(value: Column) -> Column:
+        enough = F.length(value) >= kind.least
+        for need in kind.needs:
+            enough = enough & value.rlike(need)
+        return enough
+
     def one(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["gap"])
         end = start + F.length(part["hit"])
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"),
                         F.lit(kind.name).alias("kind"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(part["value"]) >= kind.least,
-                                                F.concat(state["out"], F.array(span))).otherwise(state["out"])
-                        .alias("out"))
+        return F.struct(end.alias("at"), F.when(counts(part["value"]), F.concat(state["out"], F.array(span)))
+                        .otherwise(state["out"]).alias("out"))
 
     def fold(found: Column) -> Column:
         last = F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / BLOCK).cast("int")

@@ -146,3 +146,15 @@ def test_secret_ownership(make_docs):
     got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
     assert got[0].spans == "live:4:25" and got[0].n_owned == 1
     assert got[10].spans == "" and got[10].n_example == 1
+
+
+def test_secret_long_runs(make_docs):
+    part = "aB3dE5gH7jK9mN1pQ3sT"
+    sizes = [20, 200, 201, 342, 1600, 100_000]
+    texts = [f"key {(part * 5000)[:n]} end" for n in sizes]
+    late = "x" * 300 + "Y" * 300 + "7"
+    texts += [late, "x" * 300 + "Y" * 300, "x" * 300 + "7" * 300, "Y7" * 300]
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(make_docs(texts))).collect()}
+    assert [got[i].spans for i in range(len(sizes))] == [f"live:4:{4 + n}" for n in sizes]
+    assert got[6].spans == f"live:0:{len(late)}" and got[6].n_owned == 1
+    assert not any("live" in got[i].spans for i in (7, 8, 9))
