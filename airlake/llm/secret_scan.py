@@ -3,8 +3,7 @@
 Base patterns and generic credential candidates are found in whole texts with
 Spark's regular expressions. The hash of every candidate value is counted over
 the corpus by distinct repositories (documents) and owners (sources): a value
-under many owners is a widely copied example, one that a single owner holds
-looks live. Generic candidates that look live become spans of their own.
+under many owners is a widely copied example, one that fewer hold looks live. Generic candidates that look live become spans of their own.
 
 Everything is DataFrame expressions. Only short arrays of spans leave the scan,
 never the texts; counts are pre-aggregated by value, owner and repository, so
@@ -98,14 +97,14 @@ def _joined(spans: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """row, doc_id, source, base (all base spans) and more (generic ones that
-    touch no base span): one row per input row, without the text."""
+    no base span covers whole): one row per input row, without the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("source").cast("string").alias("source"),
                         F.concat(*[_spans(text, i, k) for i, k in enumerate(BASE)]).alias("base"),
                         _spans(text, len(BASE), LIVE).alias("more"))
     return cut_lineage(found.withColumn("more", F.filter("more", lambda m: ~F.exists(
-        "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
+        "base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -121,9 +120,9 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """doc_id, base (spans), live (further spans), n_owned, n_example: one row
-    per input row. ``live`` are generic candidates of a single owner; n_owned
-    and n_example count all candidates of one owner, and those that
-    ``example_owners`` or more owners hold.
+    per input row. ``live`` are generic candidates of fewer than
+    ``example_owners`` owners; n_owned and n_example count all candidates of one
+    owner, and those that ``example_owners`` or more owners hold.
 
     A null text counts as empty and has no spans; a null doc_id or source is
     kept; repeated rows give repeated results; an empty table gives no rows.
@@ -133,7 +132,8 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     held = found.select("row", F.explode(F.concat("base", "more")).alias("span"))
     counted = held.withColumn("value", F.sha2("span.value", 256)).join(ownership(found), "value")
     by_row = counted.groupBy("row").agg(
-        F.collect_list(F.when((F.col("span.kind") == LIVE.name) & (F.col("owners") == 1), F.col("span"))).alias("live"),
+        F.collect_list(F.when((F.col("span.kind") == LIVE.name) & (F.col("owners") < example_owners),
+                              F.col("span"))).alias("live"),
         F.count_if(F.col("owners") == 1).alias("n_owned"),
         F.count_if(F.col("owners") >= example_owners).alias("n_example"))
     none = F.array().cast(SPAN)

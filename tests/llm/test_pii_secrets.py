@@ -158,3 +158,15 @@ def test_secret_long_runs(make_docs):
     assert [got[i].spans for i in range(len(sizes))] == [f"live:4:{4 + n}" for n in sizes]
     assert got[6].spans == f"live:0:{len(late)}" and got[6].n_owned == 1
     assert not any("live" in got[i].spans for i in (7, 8, 9))
+
+
+def test_secret_classes_meet(make_docs):
+    key, token = "aB3dE5gH7jK9mN1pQ3sT5", "Qx/0123456789abcdef/Zy9Yw8"
+    rows = [(0, f"use {key} here", "me"), (1, f"copy {key}", "you"), (2, f"see {token} there", "me"),
+            (3, f"token={key}-x", "me")]
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(make_docs(rows))).collect()}
+    assert (got[0].spans, got[1].spans) == ("live:4:25", "live:5:26") and got[0].n_owned == got[0].n_example == 0
+    assert got[2].spans == f"live:4:{4 + len(token)},hex:7:23"
+    assert got[3].spans == "assign:0:29"
+    both = make_docs([*rows, (4, key, "they")])
+    assert secret_scan.digest(secret_scan.scan(both)).where("doc_id = 0").first().spans == ""
