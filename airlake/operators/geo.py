@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake.operators.common import broadcast_if_small
-from airlake.reference import MAX_STATIONS, RADIUS_M
+from airlake.reference import FEED_PARAMS, MAX_STATIONS, RADIUS_M
 
 EARTH_RADIUS_M = 6371000.0
 MIN_M_PER_DEG_LAT = 110574.0  # smallest metres per degree: the box never undershoots
@@ -55,3 +55,16 @@ def nearby_sensors(locations: DataFrame, centers: DataFrame, active_from: dt.dat
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_per_city)
             .select("city", "location_id", (F.col("distance_m") / 1000.0).alias("distance_km"),
                     "last_seen", "rank"))
+
+
+def active_sensors(stations: DataFrame, sensors: DataFrame, active_from: dt.datetime) -> DataFrame:
+    """Sensors of the ``nearby_sensors`` stations from the catalogue ``sensors``
+    (location_id, sensor_id, param, unit, last_seen): supported parameters
+    that were themselves seen since ``active_from``. Stations without such a
+    sensor give no row."""
+    since = F.lit(str(active_from)).cast(sensors.schema["last_seen"].dataType)
+    label = F.create_map(*[F.lit(x) for pair in FEED_PARAMS.items() for x in pair])
+    active = (sensors.where(F.col("param").isin(list(FEED_PARAMS)) & (F.col("last_seen") >= since))
+              .select("location_id", "sensor_id", label[F.col("param")].alias("pollutant"), "unit", "last_seen"))
+    return stations.select("city", "location_id", "rank").join(active, "location_id").select(
+        "city", "location_id", "rank", "sensor_id", "pollutant", "unit", "last_seen")

@@ -51,6 +51,8 @@ QUERIES = {
     "splice_sources": q_splice,
     "nearby_sensors": lambda s, d: rounded(G.nearby_sensors(
         X.locations(s, d), X.centers(s), X.ACTIVE_FROM)),
+    "nearby_active_sensors": lambda s, d: rounded(G.active_sensors(
+        G.nearby_sensors(X.locations(s, d), X.centers(s), X.ACTIVE_FROM), X.sensor_catalogue(s, d), X.ACTIVE_FROM)),
 }
 
 # --------------------------------------------------------------------------- oracle
@@ -129,6 +131,9 @@ c as (select ctr.city, l.location_id, l.last_seen,
 rk as (select *, row_number() over (partition by city order by last_seen desc, location_id) as rn
        from c where dist <= {S.d(25000.0)})"""
 
+SENSORS = f""",
+sensors as ({S.SENSOR_CATALOGUE})"""
+
 _CITY = S.city_of_user("user_id")
 ORACLE = {
     "curated_parse": f"""
@@ -168,4 +173,9 @@ g as (select city, sensor_id, date, {S.n_avail(_si)} as n_sub_indices,
         base=True),
     "nearby_sensors": _w(NEARBY, "select city, location_id, round(dist / 1000.0, 6) as distance_km,"
                                  " last_seen, cast(rn as integer) as rank from rk where rn <= 20"),
+    "nearby_active_sensors": _w(NEARBY + SENSORS, "select city, location_id, cast(rn as integer) as rank, sensor_id,"
+                                f" case param {' '.join(f'when {p!r} then {v!r}' for p, v in FEED_PARAMS.items())} end"
+                                " as pollutant, unit, s.last_seen from rk join sensors s using (location_id)"
+                                f" where rn <= 20 and param in ({', '.join(map(repr, FEED_PARAMS))})"
+                                " and s.last_seen >= timestamp '2021-01-01'"),
 }

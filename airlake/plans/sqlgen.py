@@ -167,6 +167,15 @@ LOCATIONS = f"""
     left join (select o_custkey, max(o_orderdate) as last_order from orders group by o_custkey) lo
       on lo.o_custkey = c_custkey"""
 
+SENSOR_CATALOGUE = """
+  select o_custkey as location_id, o_custkey * 8 + o_orderkey % 8 as sensor_id,
+    case o_orderkey % 8 when 0 then 'pm25' when 1 then 'pm10' when 2 then 'no2' when 3 then 'so2' when 4 then 'co'
+      when 5 then 'o3' when 6 then 'temperature' else 'relativehumidity' end as param,
+    case o_orderkey % 8 when 2 then 'ppb' when 3 then 'ppb' when 4 then 'ppm' when 6 then 'c' when 7 then '%'
+      else 'ug/m3' end as unit,
+    max(o_orderdate) + interval 20 year as last_seen
+  from orders group by o_custkey, o_orderkey % 8"""
+
 SPARSE_DAY = f"""
   select r_name as city, cast(l_shipdate + interval 20 year as date) as date,
     case when (year(l_shipdate) * 12 + month(l_shipdate)) % 29 not in ({', '.join(map(str, SPARSE_MONTHS))})

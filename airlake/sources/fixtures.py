@@ -53,6 +53,10 @@ SCHEMAS = {
 }
 
 
+SENSOR_PARAMS = ("pm25", "pm10", "no2", "so2", "co", "o3", "temperature", "relativehumidity")
+SENSOR_UNITS = ("ug/m3", "ug/m3", "ppb", "ppb", "ppm", "ug/m3", "c", "%")
+
+
 def ntz(value: dt.datetime) -> F.Column:
     """A TIMESTAMP_NTZ literal: compares with wall-clock columns whatever the
     session time zone (a Python datetime literal would be zone-aware)."""
@@ -235,6 +239,19 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sensor_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight sensors per location (customer): its orders by o_orderkey
+    modulo 8 give parameter, unit and last-seen time (shifted order date). Two
+    of the eight parameters are not supported."""
+    n = F.col("n")
+    return (table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", (F.col("o_orderkey") % 8).alias("n"))
+            .groupBy("o_custkey", "n").agg(F.max("o_orderdate").alias("last_order"))
+            .select(F.col("o_custkey").alias("location_id"), (F.col("o_custkey") * 8 + n).alias("sensor_id"),
+                    F.array(*map(F.lit, SENSOR_PARAMS))[n.cast("int")].alias("param"),
+                    F.array(*map(F.lit, SENSOR_UNITS))[n.cast("int")].alias("unit"),
+                    (F.col("last_order") + F.expr("INTERVAL 20 YEARS")).alias("last_seen")))
+
+
 def sparse_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by city, with no value in the planted months: (city, date, v)."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_shipdate")

@@ -232,3 +232,21 @@ def test_few_pollutant_columns(spark, n):
     if n:
         assert city_daily(sd).collect()[0].aqi is None
     assert [r.computed_aqi for r in compute_sub_indices(df, min_count=n).collect()] == [10.0 * 50 / 30] * n + [None] * (1 - n)
+
+
+def test_active_sensors_by_parameter_and_last_seen(spark):
+    from airlake.operators import geo
+
+    new, old = dt.datetime(2021, 5, 1), dt.datetime(2020, 12, 31, 23)
+    locations = spark.createDataFrame([(1, 10.0, 20.0, new), (2, 10.1, 20.0, new), (3, 10.0, 20.1, old)],
+                                      "location_id bigint, lat double, lon double, last_seen timestamp_ntz")
+    centers = spark.createDataFrame([("A", 10.0, 20.0)], "city string, lat double, lon double")
+    sensors = spark.createDataFrame(
+        [(1, 11, "pm25", "ug/m3", new), (1, 12, "temperature", "c", new), (1, 13, "no2", "ppb", old),
+         (1, 14, "co", "ppm", dt.datetime(2021, 1, 1)), (1, 15, "o3", "ug/m3", None),
+         (2, 21, "humidity", "%", new), (2, 22, "so2", "ppb", old), (3, 31, "pm10", "ug/m3", new)],
+        "location_id bigint, sensor_id bigint, param string, unit string, last_seen timestamp_ntz")
+    since = dt.datetime(2021, 1, 1)
+    got = geo.active_sensors(geo.nearby_sensors(locations, centers, since), sensors, since)
+    assert sorted((r.city, r.location_id, r.sensor_id, r.pollutant, r.unit) for r in got.collect()) == [
+        ("A", 1, 11, "PM2.5", "ug/m3"), ("A", 1, 14, "CO", "ppm")]
