@@ -13,9 +13,11 @@ equal segments are one class with a count. Of any string, half of its bytes at
 least lie on one side of the anchor, so equal strings agree in the ``HALF``
 bytes after their anchors (forward key) or in the ``HALF`` before (backward).
 
-Batches of documents become suffix arrays (classes in order of their suffixes)
-and are merge-scanned against every level of the family for keys held on both
-sides; levels of the same rank then merge into the next rank, so that a class
+Batches of documents become arrays of classes, dealt by the hash of the segment
+and sorted by prefix within each part. No step reads that order: keys (64-bit
+hashes of the anchored halves) held both by a batch and by a level are found by
+equality semi-joins, not by a merge scan, and arrays are merged by a sum over
+segment hashes. Levels of the same rank then merge into the next rank, so that a class
 is rewritten a logarithmic number of times. Classes of two or more entries are
 repeated whole. A class of one, whose keys were found elsewhere, is compared
 window by window with the classes that share a key, and matches are confirmed
