@@ -104,6 +104,16 @@ def _cuts(units: DataFrame, planned: DataFrame) -> DataFrame:
             .groupBy("source").agg(F.max("place").alias("cut")))
 
 
+def _mixed(sized: DataFrame) -> DataFrame:
+    """doc_id, source, size and least weight of the rows equal in the first
+    three whose weights differ, under names of their own: few as a rule."""
+    mixed = cut_lineage(sized.groupBy("doc_id", "source", "size")
+                        .agg(F.min("weight").alias("least"), F.max("weight").alias("most")).where("least < most")
+                        .select(F.col("doc_id").alias("unit_id"), F.col("source").alias("unit_source"),
+                                F.col("size").alias("unit_size"), "least"))
+    return _small(mixed)
+
+
 def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target, epochs, cut for ``sized``: doc_id, source,
     size, weight. Rows equal in doc_id, source and size are taken together."""
@@ -121,7 +131,7 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """One row per source: sent to all tasks while they are few."""
+    """A table that is small as a rule: sent to all tasks while its rows are few."""
     return F.broadcast(table) if table.count() <= SOURCES_TO_BROADCAST else table
 
 
@@ -132,9 +142,14 @@ def sized(docs: DataFrame) -> DataFrame:
             .select("doc_id", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")))
 
 
-def copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, planned: DataFrame, mixed: DataFrame) -> DataFrame:
     """Joins ``rows`` (doc_id, source, size, weight, ...) with the plan and
-    adds ``copies``: how often the mix takes the row."""
+    adds ``copies``: how often the mix takes the row. Rows that the plan sums
+    up as one are decided as one, by their least weight."""
+    rows = rows.join(mixed, rows.doc_id.eqNullSafe(mixed.unit_id) & rows.source.eqNullSafe(mixed.unit_source)
+                     & (rows["size"] == mixed.unit_size), "left")
+    rows = rows.withColumn("weight", F.coalesce("least", "weight")).drop(
+        "unit_id", "unit_source", "unit_size", "least")
     planned = _small(planned).withColumnRenamed("source", "plan_source")
     place = F.struct(exponential_key(F.col("doc_id"), F.col("weight")).alias("key"),
                      F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size"))
@@ -152,18 +167,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     size. A source without words has target 0. An empty table gives no rows.
     """
     rows = cut_lineage(sized(docs))
-    return copies(rows, plan(rows, weights, most)).select(
+    return copies(rows, plan(rows, weights, most), _mixed(rows)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed corpus: every row of ``docs``, with all its columns, as often
     as the mix takes it (not at all, or up to ``most`` times)."""
-    planned = plan(sized(docs), weights, most)
+    sizes = cut_lineage(sized(docs))
+    planned = plan(sizes, weights, most)
     row = docs.select(F.struct("*").alias("row"))
     rows = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"),
                       F.col("row.source").cast("string").alias("source"),
                       word_count(F.col("row.text")).alias("size"))
     rows = rows.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
-    taken = copies(rows, planned).where("copies > 0")
+    taken = copies(rows, planned, _mixed(sizes)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

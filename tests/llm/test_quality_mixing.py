@@ -110,3 +110,26 @@ def test_sampling_follows_weights(make_docs):
     rows = [(i, "good words " * 5, "a") for i in range(400)] + [(400 + i, "b*** w### " * 5, "a") for i in range(400)]
     got = {r.doc_id: r.taken for r in mix(make_docs([*rows, (900, "x " * 6000, "b")])).collect()}
     assert sum(got[i] for i in range(400)) > 1.2 * sum(got[i] for i in range(400, 800))
+
+
+def test_equal_rows_of_mixed_weights_are_one_unit(make_docs):
+    import duckdb
+
+    from airlake.llm.oracle import OP8
+
+    rows = [(None, ("good words " if i % 2 else "b*** w### ") * (1 + i % 5), "a") for i in range(300)]
+    rows += [(i, "good words " * 3, "a") for i in range(300)] + [(1000, "x " * 3000, "b")]
+    rows += [(7, "good words " * 3, "a"), (7, "b*** w### " * 3, "a")]
+    docs = make_docs(rows)
+    got = mix(docs).collect()
+    assert len({(r.doc_id, r.size, r.source_size, r.taken) for r in got}) == len(
+        {(r.doc_id, r.size, r.source_size) for r in got})
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    rounded = lambda rs: Counter((*r[:3], round(r[3], 6), r[4]) for r in rs)
+    assert rounded(map(tuple, got)) == rounded(con.execute(OP8).fetchall())
+    copies = Counter((r.doc_id, len(words_of(r.text))) for r in take(docs).collect())
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id, r.size] += r.taken // r.size
+    assert copies == +taken
