@@ -155,3 +155,34 @@ out as (
     list_reduce(coalesce(p, []), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}, {'l': given, 'r': ''}).l as folded_root
   from leaf join subroots s on s.grp = leaf.grp left join path using (rid))
 select *, folded_root = root as verified from out"""
+
+#: Every phrase of 1 to 5 words counted, every cut scored in 128-bit integers.
+OP12 = r"""
+with p as (
+  select row_number() over () as pid, lang, w from (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents))
+  where len(w) > 0),
+occ as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (
+    select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from p, range(1, 6) r(k) where len(w) >= k)),
+f as (select lang, phrase, any_value(k) as k, count(*) as c from occ group by lang, phrase),
+tot as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang),
+cand as (select lang, phrase, k, c as a, string_split(phrase, ' ') as w from f where k > 1 and c >= 100),
+sub as (
+  select lang, a, array_to_string(w[i:j], ' ') as phrase from (
+    select *, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k)) as i from cand)) where j - i + 1 < k),
+gone as (select distinct c.lang, c.phrase from cand c join sub s on s.lang = c.lang and s.phrase = c.phrase
+         where 100 * s.a >= 100 * c.a),
+cut as (
+  select lang, phrase, a, j, array_to_string(w[1:j], ' ') as head, array_to_string(w[j + 1:k], ' ') as rest
+  from (select *, unnest(range(1, k)) as j from cand anti join gone using (lang, phrase))),
+scored as (
+  select cut.lang, cut.phrase, a, j, h.c as l, t.c as r, n,
+    cast((cast(1000 as hugeint) * a * n) // (cast(h.c as hugeint) * t.c) as bigint) as score
+  from cut join f h on h.lang = cut.lang and h.phrase = head join f t on t.lang = cut.lang and t.phrase = rest
+  join tot on tot.lang = cut.lang),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from low qualify rank <= 2000"""

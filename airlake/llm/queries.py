@@ -80,6 +80,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlake.llm.phrases import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airlake.llm.merkle import lower_cased, manifest, verify
 
@@ -89,8 +95,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_dedup, op3_pii, op4_packing, op5_secret_scan,
     op6_suffix_dedup, op7_quality_rules, op8_source_mix, op9_toxicity, op10_embedding_dedup,
-    op13_merkle_manifest,
+    op12_phrase_mining, op13_merkle_manifest,
 )}
 
 ORACLE = {"op7_quality_rules": oracle.OP7, "op8_source_mix": oracle.OP8, "op10_embedding_dedup": oracle.OP10,
-          "op13_merkle_manifest": oracle.OP13}
+          "op12_phrase_mining": oracle.OP12, "op13_merkle_manifest": oracle.OP13}
