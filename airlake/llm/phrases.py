@@ -44,6 +44,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlake.llm.runs import BREAK, split_runs
 from airlake.llm.store import stored
 
 MIN_COUNT = 100
@@ -54,7 +55,6 @@ TIER_SHARES = (1 / 16, 1 / 4, 1.0)
 FILTER_BITS = 26
 BUFFER_BYTES = 8 << 20
 ROWS_OUT = 1 << 16
-BREAK = b"\xff"  # in no UTF-8 text
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
 
 
@@ -64,25 +64,9 @@ class Words:
 
     def __init__(self, lang: str, texts: list[bytes]):
         import numpy as np
-        import pyarrow as pa
         import xxhash
 
-        raw = np.frombuffer(BREAK.join(texts).translate(LOWER), np.uint8)
-        ends = raw == BREAK[0]
-        inside = ~(ends | (raw == 32))
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        starts = np.flatnonzero(first)
-        self.piece = np.cumsum(ends.view(np.int8), dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
-        offsets = np.zeros(len(starts) + 1, np.int32)
-        before = np.cumsum(inside, dtype=np.int32)
-        if len(starts):
-            offsets[:-1] = before[starts] - 1
-            offsets[-1] = before[-1]
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
-        words = words.dictionary_encode()
-        self.code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocabulary = words.dictionary
+        self.code, self.piece, self.vocabulary = split_runs(BREAK.join(texts).translate(LOWER))
         self.hash = np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary.to_pylist()], np.uint64)
         self.seed = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))
 

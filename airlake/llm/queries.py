@@ -80,6 +80,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlake.llm.lang_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airlake.llm.phrases import mine
 
@@ -95,7 +102,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_dedup, op3_pii, op4_packing, op5_secret_scan,
     op6_suffix_dedup, op7_quality_rules, op8_source_mix, op9_toxicity, op10_embedding_dedup,
-    op12_phrase_mining, op13_merkle_manifest,
+    op11_language_id, op12_phrase_mining, op13_merkle_manifest,
 )}
 
 ORACLE = {"op7_quality_rules": oracle.OP7, "op8_source_mix": oracle.OP8, "op10_embedding_dedup": oracle.OP10,
