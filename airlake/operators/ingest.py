@@ -19,10 +19,22 @@ instead and read once:
 
 The result equals a station-wide row window exactly, with parallelism of
 stations x hours instead of stations, one scan and one shuffle of the readings.
+
+Time-based rolling mean (``frame="8 hours"``)
+---------------------------------------------
+The frame of a reading at t holds the readings in (t - 8 h, t], so missing hours
+narrow it instead of widening it, and the number of rows that earlier chunks
+contribute is not fixed. Chunks are an eighth of the frame. The frame of a
+reading then covers its own chunk up to t, the seven chunks before it whole, and
+the end of the eighth one. A station's readings are dealt by (station, chunk):
+each also stands, one frame later, in the chunk where its frame end lies, and
+whole chunks contribute one sum to each of the seven that follow. No window
+spans more than one chunk, however many readings a station has.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -36,14 +48,21 @@ from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SE
 def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, min_rows: int = 6,
                       key: str = "station_id", ts: str = "ts", tiebreak: str = "event_id",
                       means: Sequence[str] = (), carry: Sequence[str] = (),
-                      chunk: str = "hour") -> DataFrame:
+                      chunk: str = "hour", frame: str = "rows") -> DataFrame:
     """Per (key, day): max over the day's readings of the ``rows``-reading
     trailing mean (NULL unless ``min_rows`` values are present). Row-based:
     missing hours widen the window, which crosses midnight. Daily means of
     ``means`` come out of the same aggregate; ``carry`` columns must be
     functions of ``key``. ``chunk``: a ``date_trunc`` unit of a day at most;
     results do not depend on it.
+
+    ``frame``: ``"rows"``, or a length of time such as ``"8 hours"`` for the
+    trailing mean over that time (see the module note), for which ``rows``,
+    ``tiebreak`` and ``chunk`` have no meaning: readings of one time stamp all
+    belong to each other's frame, readings without one to none.
     """
+    if frame != "rows":
+        return _rolling_daily_max_time(readings, cols, _micros(frame), min_rows, key, ts, means, carry)
     look = rows - 1
     used = list(dict.fromkeys([*cols, *means]))
     r = readings.select(*carry, key, ts, tiebreak, *used).withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
@@ -85,6 +104,64 @@ def rolling_daily_max(readings: DataFrame, cols: Sequence[str], rows: int = 8, m
         *[F.max(f"_max_{n}").alias(f"{n}_8h") for n in cols])
 
 
+_UNIT_MICROS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+CHUNKS_PER_FRAME = 8
+
+
+def _micros(frame: str) -> int:
+    """``"8 hours"`` -> microseconds."""
+    m = re.fullmatch(r"\s*(\d+)\s+(minute|hour|day)s?\s*", frame)
+    if not m or not int(m[1]):
+        raise ValueError(f"frame must be 'rows' or a length of time such as '8 hours', not {frame!r}")
+    return int(m[1]) * _UNIT_MICROS[m[2]]
+
+
+def wall_micros(ts: str) -> F.Column:
+    """Microseconds of a wall-clock time stamp since 1970, whatever the session zone."""
+    return F.expr(f"datediff(to_date({ts}), date'1970-01-01') * 86400000000L + hour({ts}) * 3600000000L"
+                  f" + minute({ts}) * 60000000L + cast(extract(second from {ts}) * 1000000 as bigint)")
+
+
+def _rolling_daily_max_time(readings: DataFrame, cols: Sequence[str], width: int, min_rows: int, key: str,
+                            ts: str, means: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    size = width // CHUNKS_PER_FRAME  # _micros gives multiples
+    used = list(dict.fromkeys([*cols, *means]))
+    r = readings.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        *carry, key, F.to_date(ts).alias("date"), wall_micros(ts).alias("_t"), *used)
+    in_chunk = F.floor(F.col("_t") / size)
+
+    # sums of whole chunks, handed to the chunks whose frames cover them
+    whole = r.groupBy(key, in_chunk.alias("_chunk")).agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in cols], *[F.count(c).alias(f"_n_{c}") for c in cols])
+    offsets = F.explode(F.sequence(F.lit(1), F.lit(CHUNKS_PER_FRAME - 1)))
+    whole = whole.withColumn("_offset", offsets).groupBy(key, (F.col("_chunk") + F.col("_offset")).alias("_chunk")).agg(
+        *[F.sum(f"_s_{c}").alias(f"_ws_{c}") for c in cols], *[F.sum(f"_n_{c}").alias(f"_wn_{c}") for c in cols])
+
+    # a reading in its own chunk, and again where the frames that begin after it end
+    twice = F.explode(F.array(F.lit(0), F.lit(width)))
+    x = (r.withColumn("_shift", twice).withColumn("_t", F.col("_t") + F.col("_shift"))
+         .withColumn("_own", F.col("_shift") == 0).withColumn("_chunk", in_chunk))
+    part = Window.partitionBy(key, "_chunk")
+    until = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+    own, old = (lambda c: F.when(F.col("_own"), F.col(c))), (lambda c: F.when(~F.col("_own"), F.col(c)))
+    x = x.select(*carry, key, "_chunk", "date", "_own", *used, *[
+        e for c in cols for e in (F.sum(own(c)).over(until).alias(f"_us_{c}"), F.count(own(c)).over(until).alias(f"_un_{c}"),
+                                  F.sum(old(c)).over(after).alias(f"_as_{c}"), F.count(old(c)).over(after).alias(f"_an_{c}"))])
+    x = x.where("_own").join(whole, [key, "_chunk"], "left")
+
+    def total(kind: str, c: str) -> F.Column:
+        return sum((F.coalesce(F.col(f"_{part}{kind}_{c}"), F.lit(0)) for part in "wua"), F.lit(0))
+
+    trailing = {c: F.when(total("n", c) >= min_rows, F.try_divide(total("s", c), total("n", c))) for c in cols}
+    days = x.groupBy(*carry, key, "_chunk", "date").agg(
+        *[F.sum(m).alias(f"_s_{m}") for m in means], *[F.count(m).alias(f"_n_{m}") for m in means],
+        *[F.max(trailing[c]).alias(f"_max_{c}") for c in cols])
+    return days.groupBy(*carry, key, "date").agg(
+        *[F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_n_{m}")).alias(m) for m in means],
+        *[F.max(f"_max_{n}").alias(f"{n}_8h") for n in cols])
+
+
 def fixed_places(c: F.Column, places: int | None) -> F.Column:
     """Optional rounding of a mean to ``places`` decimals as
     floor(x * 10^p + 0.5) / 10^p. A parallel sum is not bit-reproducible
@@ -100,13 +177,14 @@ def fixed_places(c: F.Column, places: int | None) -> F.Column:
 def station_daily(readings: DataFrame, pollutants: Sequence[str], rolling: Sequence[str] = ("o3", "co"),
                   rows: int = 8, min_rows: int = 6, dense: bool = True,
                   places: int | None = None, tiebreak: str = "event_id",
-                  chunk: str = "hour") -> DataFrame:
+                  chunk: str = "hour", frame: str = "rows") -> DataFrame:
     """Station-day table: daily means of every pollutant plus the daily max of
     the trailing ``rows``-reading mean for ``rolling`` pollutants; with
     ``dense``, every day between a station's first and last reading appears
-    (all-missing days included). ``places``: see ``fixed_places``."""
+    (all-missing days included). ``places``: see ``fixed_places``; ``frame``: see
+    ``rolling_daily_max``."""
     out = rolling_daily_max(readings, list(rolling), rows, min_rows, tiebreak=tiebreak,
-                            means=list(pollutants), carry=["city"], chunk=chunk)
+                            means=list(pollutants), carry=["city"], chunk=chunk, frame=frame)
     out = out.select("city", "station_id", "date", *[
         fixed_places(F.col(c), places).alias(c) for c in (*pollutants, *[f"{r}_8h" for r in rolling])])
     if dense:

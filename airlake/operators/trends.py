@@ -22,10 +22,18 @@ def monthly_trend(df: DataFrame, col: str = "aqi", cities: Sequence[str] | None
                  F.count("value").alias("n_days")))
 
 
-def monthly_rolling(monthly: DataFrame, rows: int = 12, min_rows: int = 6) -> DataFrame:
+def monthly_rolling(monthly: DataFrame, rows: int = 12, min_rows: int = 6, frame: str = "rows") -> DataFrame:
     """Trailing mean over the last ``rows`` monthly rows (row-based: missing
-    months widen the window), NULL unless ``min_rows`` are present."""
-    w = Window.partitionBy("city").orderBy("month").rowsBetween(-(rows - 1), 0)
+    months widen the window), NULL unless ``min_rows`` are present. With
+    ``frame="months"`` over the last ``rows`` calendar months instead: missing
+    months leave fewer values."""
+    by_city = Window.partitionBy("city")
+    if frame == "rows":
+        w = by_city.orderBy("month").rowsBetween(-(rows - 1), 0)
+    elif frame == "months":
+        w = by_city.orderBy(F.year("month") * 12 + F.month("month")).rangeBetween(-(rows - 1), 0)
+    else:
+        raise ValueError(f"frame must be 'rows' or 'months', not {frame!r}")
     return monthly.select(
         "city", "month", "mean",
         F.when(F.count("mean").over(w) >= min_rows, F.avg("mean").over(w)).alias("rolling_mean"))

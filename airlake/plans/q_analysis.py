@@ -30,6 +30,8 @@ def q_event_headline(spark, sf):
 QUERIES = {
     "monthly_trend": lambda s, d: rounded(T.monthly_trend(_bd(s, d), "aqi")),
     "monthly_rolling12": lambda s, d: rounded(T.monthly_rolling(T.monthly_trend(_bd(s, d), "aqi"))),
+    "monthly_rolling12_time": lambda s, d: rounded(T.monthly_rolling(
+        T.monthly_trend(X.sparse_day(s, d), "v"), frame="months")),
     "yearly_trend": lambda s, d: rounded(T.yearly_trend(_bd(s, d), "aqi")),
     "climatology": lambda s, d: rounded(T.monthly_climatology(_bd(s, d), "pm25")),
     "trend_headline": lambda s, d: rounded(T.trend_headline(T.yearly_trend(_bd(s, d), "aqi"))),
@@ -132,6 +134,12 @@ ORACLE = {
                            "select city, month, round(mean, 6) as mean, round(case when count(mean) over w >= 6"
                            " then avg(mean) over w end, 6) as rolling_mean from monthly"
                            " window w as (partition by city order by month rows between 11 preceding and current row)"),
+    "monthly_rolling12_time": f"""
+with sparse_day as ({S.SPARSE_DAY}),
+obs as (select city, date, v as value from sparse_day where v is not null){MONTHLY}
+select city, month, round(mean, 6) as mean,
+  round(case when count(mean) over w >= 6 then avg(mean) over w end, 6) as rolling_mean from monthly
+window w as (partition by city order by month range between interval 11 months preceding and current row)""",
     "yearly_trend": W(obs("aqi") + YEARLY,
                       "select city, year, round(mean, 6) as mean, round(median, 6) as median, n_days from yearly"),
     "climatology": W(obs("pm25") + CLIM,

@@ -19,8 +19,8 @@ READ_POLL = ("pm25", "pm10", "no2", "o3", "co")
 PLACES = 9  # fixed places for means (see ingest.fixed_places)
 
 
-def _station_daily(s, d):
-    return I.station_daily(X.readings(s, d), READ_POLL, places=PLACES)
+def _station_daily(s, d, frame="rows"):
+    return I.station_daily(X.readings(s, d), READ_POLL, places=PLACES, frame=frame)
 
 
 def _recent(s, d):
@@ -42,6 +42,7 @@ QUERIES = {
         "station_id", "ts", "pm25", "pm10", "o3")),
     "feed_parse": lambda s, d: rounded(R.feed_days(X.feed_structs(s, d), FEED_START)),
     "station_daily_8h": lambda s, d: rounded(_station_daily(s, d)),
+    "station_daily_8h_time": lambda s, d: rounded(_station_daily(s, d, "8 hours")),
     "city_daily": lambda s, d: rounded(I.city_daily(_station_daily(s, d), places=PLACES)),
     "unit_normalise": lambda s, d: rounded(I.normalise_units(X.sensor_days(s, d))),
     "pivot_sensor_days": lambda s, d: rounded(_recent(s, d)),
@@ -58,14 +59,16 @@ QUERIES = {
 # --------------------------------------------------------------------------- oracle
 _R9 = S._r9
 _RP = ", ".join(f"{_R9(f'avg({c})')} as {c}" for c in READ_POLL)
+_ROWS_FRAME = "order by ts, event_id\n                           rows between 7 preceding and current row"
+_TIME_FRAME = ("order by ts range between interval '7 hours 59 minutes 59.999999 seconds' preceding"
+               " and current row")
 STATION_DAILY = f""",
 readings as ({S.READINGS}),
 r as (select *, cast(ts as date) as date from readings),
 w as (select station_id, date,
         case when count(o3) over w8 >= 6 then avg(o3) over w8 end as r_o3,
         case when count(co) over w8 >= 6 then avg(co) over w8 end as r_co
-      from r window w8 as (partition by station_id order by ts, event_id
-                           rows between 7 preceding and current row)),
+      from r window w8 as (partition by station_id {_ROWS_FRAME})),
 roll as (select station_id, date, {_R9('max(r_o3)')} as o3_8h, {_R9('max(r_co)')} as co_8h from w group by 1, 2),
 means as (select city, station_id, date, {_RP} from r group by 1, 2, 3),
 bounds as (select city, station_id, min(date) as lo, max(date) as hi from means group by 1, 2),
@@ -152,6 +155,9 @@ select user_id as sensor_id, cast(ts as date) as date, event_type as param, 'ug/
   round(value, 6) as value from events where event_id % 9 <> 0 and cast(ts as date) >= date '{FEED_START}'""",
     "station_daily_8h": _w(STATION_DAILY, "select city, station_id, date, " + ", ".join(
         f"round({c}, 6) as {c}" for c in (*READ_POLL, "o3_8h", "co_8h")) + " from sday"),
+    "station_daily_8h_time": _w(STATION_DAILY.replace(_ROWS_FRAME, _TIME_FRAME),
+                                "select city, station_id, date, " + ", ".join(
+        f"round({c}, 6) as {c}" for c in (*READ_POLL, "o3_8h", "co_8h")) + " from sday"),
     "city_daily": _w(STATION_DAILY + f""",
 cd as (select city, date, {', '.join(f"{_R9(f'avg({c})')} as {c}" for c in (*READ_POLL, 'o3_8h', 'co_8h'))}
        from sday group by 1, 2),

@@ -58,6 +58,88 @@ def test_split_rolling_matches_station_wide_rolling(spark, chunk):
         assert np.allclose(a[~np.isnan(a)], b[~np.isnan(b)]), c
 
 
+def _brute_time_rolling(rows, width, least=6):
+    """(station, date) -> max over the day of the mean of (t - width, t], all readings of t included."""
+    out = {}
+    for _, st, t, _, *values in rows:
+        best = out.setdefault((st, t.date()), [None] * len(values))
+        near = [r for r in rows if r[1] == st and t - width < r[2] <= t]
+        for i in range(len(values)):
+            seen = [r[4 + i] for r in near if r[4 + i] is not None]
+            if len(seen) >= least:
+                best[i] = max(sum(seen) / len(seen), -1e9 if best[i] is None else best[i])
+    return out
+
+
+@pytest.mark.parametrize("frame,width", [("8 hours", dt.timedelta(hours=8)), ("90 minutes", dt.timedelta(minutes=90)),
+                                         ("2 days", dt.timedelta(days=2))])
+def test_time_frame_matches_brute_force(spark, frame, width):
+    rows = _random_readings(seed=11, n=450)
+    t0 = dt.datetime(2024, 6, 1)
+    # a station whose readings lie exactly one frame apart, one microsecond less, and at chunk edges
+    rows += [("C", 9, t0 + i * width / 2, 5000 + i, float(i), 1.0) for i in range(8)]
+    rows += [("C", 9, t0 + width - dt.timedelta(microseconds=1), 6000, 50.0, None)]
+    rows += [("C", 9, t0 + width, 6001 + i, 10.0, 2.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "city string, station_id long, ts timestamp_ntz, event_id long, "
+                                     "o3 double, co double").repartition(3)
+    got = rolling_daily_max(df, ["o3", "co"], min_rows=6, means=["o3"], frame=frame).collect()
+    want = _brute_time_rolling(rows, width)
+    assert {(r.station_id, r.date) for r in got} == set(want)
+    for r in got:
+        assert [r.o3_8h, r.co_8h] == pytest.approx(want[r.station_id, r.date]) or [r.o3_8h, r.co_8h] == want[r.station_id, r.date]
+    assert any(v != [None, None] for v in want.values())
+
+
+def test_time_frame_differs_from_rows_only_around_gaps(spark):
+    t0 = dt.datetime(2024, 3, 31)
+    full = [("C", 1, t0 + dt.timedelta(hours=h), h, float(h), 1.0) for h in range(48)]
+    schema = "city string, station_id long, ts timestamp_ntz, event_id long, o3 double, co double"
+    def days(rows, frame):
+        out = rolling_daily_max(spark.createDataFrame(rows, schema), ["o3"], frame=frame).collect()
+        return {r.date: r.o3_8h for r in out}
+    assert days(full, "rows") == pytest.approx(days(full, "8 hours"))
+    gap = [r for r in full if not 20 <= r[3] < 44]  # the four readings after the gap are too few
+    assert days(gap, "rows")[dt.date(2024, 4, 1)] == pytest.approx((16 + 17 + 18 + 19 + 44 + 45 + 46 + 47) / 8)
+    assert days(gap, "8 hours")[dt.date(2024, 4, 1)] is None
+
+
+def test_time_frame_does_not_depend_on_the_session_zone(spark):
+    rows = [("C", 1, dt.datetime(2024, 3, 10, h % 24, 30) + dt.timedelta(days=h // 24), h, float(h), 1.0) for h in range(40)]
+    df = spark.createDataFrame(rows, "city string, station_id long, ts timestamp_ntz, event_id long, o3 double, co double")
+    zone, out = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for z in ("UTC", "America/New_York"):  # 10 March 2024: clocks go forward there
+            spark.conf.set("spark.sql.session.timeZone", z)
+            out.append(sorted(tuple(r) for r in rolling_daily_max(df, ["o3"], frame="8 hours").collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert out[0] == out[1]
+
+
+def test_time_frame_has_no_window_by_station_alone(spark):
+    import re
+
+    df = spark.createDataFrame(_random_readings(n=30), "city string, station_id long, ts timestamp_ntz, event_id long, "
+                                                       "o3 double, co double")
+    plan = rolling_daily_max(df, ["o3"], frame="8 hours")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if re.match(r"[\s:+-]*Window ", line)]
+    assert windows and all(re.search(r"\], \[station_id#\d+L?, _chunk#\d+L?\]", w) for w in windows), windows
+    with pytest.raises(ValueError):
+        rolling_daily_max(df, ["o3"], frame="eight")
+
+
+def test_monthly_rolling_over_calendar_months(spark):
+    from airlake.operators.trends import monthly_rolling
+
+    months = [dt.date(2020 + m // 12, m % 12 + 1, 1) for m in range(40) if not 10 <= m < 17 and m != 30]
+    df = spark.createDataFrame([("A", m, float(i)) for i, m in enumerate(months)], "city string, month date, mean double")
+    value, index = {m: float(i) for i, m in enumerate(months)}, lambda m: m.year * 12 + m.month
+    for r in monthly_rolling(df, frame="months").collect():
+        near = [v for m, v in value.items() if index(r.month) - 12 < index(m) <= index(r.month)]
+        assert r.rolling_mean == (pytest.approx(sum(near) / len(near)) if len(near) >= 6 else None)
+    assert monthly_rolling(df).where("rolling_mean is null").count() == 5
+
+
 def test_dense_grid_and_city_mean(spark):
     rows = [("C", 1, dt.datetime(2024, 1, 1, h), h, 10.0, 10.0, 10.0, 1.0, 1.0) for h in range(8)]
     rows += [("C", 1, dt.datetime(2024, 1, 3, 0), 100, 30.0, 30.0, 30.0, 3.0, 3.0)]
