@@ -68,6 +68,11 @@ def q_stream_daily_mean(s, d):
     return rounded(ST.stream_daily_mean(s, src, schema, X.readings_from_events, STREAM_POLLUTANTS))
 
 
+def q_stream_closed_days(s, d):
+    return rounded(ST.stream_closed_days(s, f"{d}/events*.parquet", X.SCHEMAS["events"], X.readings_from_events,
+                                         STREAM_POLLUTANTS))
+
+
 def q_daily_series_status(s, d):
     return SE.daily_series(X.base_day(s, d), "aqi", 7)[1]
 
@@ -92,6 +97,7 @@ QUERIES = {
     "model_forecast": q_model_forecast,
     "forecast_verdict": q_forecast_verdict,
     "stream_daily_mean": q_stream_daily_mean,
+    "stream_closed_days": q_stream_closed_days,
 }
 
 # --------------------------------------------------------------------------- oracle
@@ -282,4 +288,10 @@ from (select city, max(case when model = 'model' then mae end) as model_mae,
     "stream_daily_mean": _w(STREAM, "select city, pollutant, cast(ts as date) as date, round(avg(value), 6) as mean,"
                                     " count(value) as n from lg where value is not null group by 1, 2, 3",
                             base=False),
+    # one micro-batch: the watermark ends two days behind the newest reading
+    "stream_closed_days": _w(STREAM, "select city, pollutant, cast(ts as date) as date, round(avg(value), 6) as mean,"
+                                     " count(value) as n from lg where value is not null group by 1, 2, 3"
+                                     " having cast(ts as date) + interval 1 day"
+                                     " <= (select max(ts) from lg where value is not null) - interval 2 days",
+                             base=False),
 }

@@ -118,3 +118,58 @@ def test_days_do_not_depend_on_session_zone(spark, zone):
             assert ok, f"{zone} {key}: {msg}"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _reading_schema():
+    return "city string, station_id long, ts timestamp_ntz, event_id long, o3 double"
+
+
+def _readings(spark, rows):
+    import datetime as dt
+    return spark.createDataFrame([("C", 1, dt.datetime(2024, 1, day, hour), i, float(v))
+                                  for i, (day, hour, v) in enumerate(rows)], _reading_schema())
+
+
+def test_append_emits_each_day_once_when_it_closes(spark, scratch):
+    """Days 2 and 3 are open after run 1. Run 2 adds to day 3, closes both and
+    brings a late row for day 1, which changes nothing; run 3 has no new file."""
+    files = _landing(spark, scratch,
+                     _readings(spark, [(1, 8, 10), (1, 9, 20), (2, 8, 5), (3, 20, 1), (4, 12, 7)]),
+                     _readings(spark, [(1, 10, 999), (3, 21, 3), (9, 0, 4)]))
+    landing, root = os.path.join(scratch, "landing"), os.path.join(scratch, "state")
+    os.makedirs(landing)
+
+    def run():
+        stream = spark.readStream.schema(_reading_schema()).parquet(landing)
+        out = ST.append_closed(ST.daily_means(stream, ["o3"], "2 days"), root)
+        return out, [(r.date.day, r.mean, r.n) for r in ST.closed(spark, out.table, ST.RESULT).orderBy("date").collect()]
+
+    shutil.copy(files[0], os.path.join(landing, "0.parquet"))
+    first, rows = run()
+    assert rows == [(1, 15.0, 2)]  # watermark: 2 January, 12:00
+    assert (first.input_rows, first.late_rows, first.open_groups) == (5, 0, 3)
+    before = {f for f in os.listdir(first.table) if f.endswith(".parquet")}
+
+    shutil.copy(files[1], os.path.join(landing, "1.parquet"))
+    second, rows = run()
+    assert rows == [(1, 15.0, 2), (2, 5.0, 1), (3, 2.0, 2), (4, 7.0, 1)]
+    assert (second.input_rows, second.late_rows, second.open_groups) == (3, 1, 1)  # the ninth stays open
+    assert before < {f for f in os.listdir(second.table) if f.endswith(".parquet")}  # nothing rewritten
+
+    third, again = run()
+    assert again == rows and third.input_rows == 0
+
+
+def test_append_equals_closed_days_of_the_batch(spark):
+    got = ST.stream_closed_days(spark, f"{SF_SMALL}/events*.parquet", X.SCHEMAS["events"], X.readings_from_events, POLL)
+    ev = X.table(spark, SF_SMALL, "events")
+    newest = ev.agg(F.max("ts")).first()[0]
+    import datetime as dt
+    want = [r for r in _batch(spark, ev) if dt.datetime.combine(r[2], dt.time()) + dt.timedelta(days=3) <= newest]
+    assert _rows(got) == want and want
+
+
+def test_append_without_a_file(spark, scratch):
+    os.makedirs(os.path.join(scratch, "none"))
+    got = ST.stream_closed_days(spark, os.path.join(scratch, "none"), X.SCHEMAS["events"], X.readings_from_events, POLL)
+    assert got.count() == 0
