@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
 
 from airlake.operators import geo as G
 from airlake.operators import ingest as I
+from airlake.operators import quality as Q
 from airlake.operators import splice as SP
 from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.reference import FEED_PARAMS, FEED_SET, PPB_FACTOR, SPLICE_SET, col_of
+from airlake.schema import CITY_DAY_SCHEMA
+from airlake.session import ensure_checkpoint_dir
 from airlake.sources import fixtures as X
 from airlake.sources import readers as R
+from airlake.sources.sinks import replace_cities, write_city_day
 
 READ_POLL = ("pm25", "pm10", "no2", "o3", "co")
 
@@ -34,10 +41,34 @@ def q_splice(s, d):
 
 
 FEED_START = dt.date(2024, 1, 10)
+RERUN = ("ASIA", "ATLANTIS", "EUROPE")  # one of them has no rows
+
+
+def q_city_table_rerun(s, d):
+    """Write all cities up to the base source's end, then rerun some of them
+    over all days: the coverage counted by that write beside the table as it is."""
+    path = f"{ensure_checkpoint_dir(s)}/airlake-curated-{uuid.uuid4().hex}"
+    write_city_day(X.base_day(s, d, until=X.BASE_END), path)
+    written = replace_cities(X.base_day(s, d), path, RERUN).select(
+        "city", F.col("n_rows").alias("n_written"), F.col("n_with_value").alias("n_written_with_value"),
+        F.col("last_date").alias("last_written"))
+    return rounded(Q.dataset_profile(s.read.schema(CITY_DAY_SCHEMA).parquet(path)).join(written, "city", "full"))
+
+
+def q_curated_split(s, d):
+    """Accepted and rejected rows of one pass, and its counts."""
+    split = R.split_by_date(X.curated_text(s, d))
+    rows = split.good.select("city", "date", F.lit(None).cast("string").alias("date_text"),
+                             F.lit(None).cast("string").alias("reason"), "pm25", "aqi").unionByName(
+        split.rejected.select("city", F.lit(None).cast("date").alias("date"), "date_text", "reason", "pm25", "aqi"))
+    return rounded(rows.select("*", F.lit(split.n_good).cast("long").alias("n_good"),
+                               F.lit(split.n_rejected).cast("long").alias("n_rejected")))
 
 QUERIES = {
     "curated_parse": lambda s, d: rounded(R.parse_city_day(X.curated_text(s, d)).select(
         "city", "date", "pm25", "aqi", "o3")),
+    "curated_split": q_curated_split,
+    "city_table_rerun": q_city_table_rerun,
     "hourly_parse": lambda s, d: rounded(R.parse_hourly(X.hourly_lines(s, d)).select(
         "station_id", "ts", "pm25", "pm10", "o3")),
     "feed_parse": lambda s, d: rounded(R.feed_days(X.feed_structs(s, d), FEED_START)),
@@ -144,6 +175,18 @@ select {_CITY} as city, case when event_id % 13 <> 0 and event_id % 17 <> 0 then
   round(case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end, 6) as pm25,
   round(case when event_id % 5 <> 0 then cast(event_id as double) end, 6) as aqi, cast(null as double) as o3
 from events""",
+    "curated_split": f"""
+with t as (
+  select {_CITY} as city, case when event_id % 13 = 0 then 'no date' when event_id % 17 = 0 then null
+      else strftime(ts, '%Y-%m-%d') end as txt,
+    case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end as pm25,
+    case when event_id % 5 <> 0 then cast(event_id as double) end as aqi,
+    event_id % 13 = 0 or event_id % 17 = 0 as bad, cast(ts as date) as day from events)
+select city, case when not bad then day end as date, case when bad then txt end as date_text,
+  case when bad and txt is null then 'missing date' when bad then 'unparseable date' end as reason,
+  round(pm25, 6) as pm25, round(aqi, 6) as aqi,
+  count(*) filter (where not bad) over () as n_good, count(*) filter (where bad) over () as n_rejected
+from t""",
     "hourly_parse": """
 select cast(user_id % 15 as varchar) as station_id, date_trunc('second', ts) as ts,
   round(case when user_id % 15 % 2 = 0 and event_id % 7 <> 0 then cast(event_id as double) end, 6) as pm25,
@@ -165,6 +208,17 @@ cda as (select *, {S.aqi_from(('PM2.5', 'PM10', 'NO2', 'O3', 'CO'), {'O3': 'o3_8
                      "select city, date, " + ", ".join(
                          f"round({c}, 6) as {c}" for c in (*READ_POLL, "o3_8h", "co_8h", "aqi"))
                      + f", {S.bucket('aqi')} as aqi_bucket from cda"),
+    "city_table_rerun": f"""
+with {S.base_ctes()},
+kept as (select * from base_day where city in ({', '.join(map(repr, RERUN))}) or date <= date '{X.BASE_END}'),
+prof as (
+  select city, count(*) as n_rows, min(date) as first_date, max(date) as last_date, count(aqi) as n_with_value,
+    round(count(aqi) * 100.0 / count(*), 6) as pct_with_value from kept group by city),
+rerun as (
+  select t.city, count(b.city) as n_written, count(b.aqi) as n_written_with_value, max(b.date) as last_written
+  from (select unnest([{', '.join(map(repr, RERUN))}]) as city) t left join base_day b on b.city = t.city group by t.city)
+select coalesce(prof.city, rerun.city) as city, n_rows, first_date, last_date, n_with_value, pct_with_value,
+  n_written, n_written_with_value, last_written from prof full join rerun on prof.city = rerun.city""",
     "unit_normalise": _w(NORM, "select city, sensor_id, date, param, unit, round(value, 6) as value,"
                                " pollutant, round(value_converted, 6) as value_converted from norm"),
     "pivot_sensor_days": _w(NORM + RECENT, "select city, date, " + ", ".join(

@@ -1,20 +1,26 @@
 """Scans (S1-S4, S6-S8, S10) with explicit conformance: typed parsing with
 ``try_*`` functions (ANSI-safe), NaN -> NULL, canonical names.
 
-Everything is lazy except the gates the data contract asks for (a bad date in
-the curated table is an error): those run one small aggregate.
+Everything is lazy except the gate the data contract asks for (a bad date in
+the curated table is an error): ``split_by_date`` reads the source once, and
+while it stages the parsed rows in the shared checkpoint folder it parts them
+from the rejected ones and counts both; later steps read the staged table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airlake.operators.quality import filter_cities
-from airlake.schema import CITY_DAY_RENAME, HOURLY_RENAME, conform, nan_to_null
+from airlake.schema import CITY_DAY_COLUMNS, CITY_DAY_RENAME, CITY_DAY_SCHEMA, HOURLY_RENAME, conform, nan_to_null
+from airlake.session import ensure_checkpoint_dir
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -28,23 +34,66 @@ def load_raw(spark: SparkSession, path: str, fmt: str = "csv", date_format: str
     """Curated city-day table (S1): canonical names, parsed date, numbers as
     doubles (bad text -> NULL, NaN -> NULL). Fails, with the count, if any
     date is missing or does not parse. Sorting is left to the output (``orderBy`` there)."""
-    raw = _read(spark, path, fmt)
-    typed = parse_city_day(raw, date_format)
-    n_bad = typed.agg(F.count_if(F.col("date").isNull()).alias("n")).first()["n"]
-    if n_bad:
-        raise ValueError(f"{n_bad} rows have an unparseable date.")
-    return typed
-
-
-def parse_city_day(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    return split_by_date(_read(spark, path, fmt), date_format).accepted()
+
+
+class DateSplit(NamedTuple):
+    """Parsed rows, parted by whether their date could be read."""
+    good: DataFrame       # the city-day schema
+    rejected: DataFrame   # date_text, reason, then the city-day schema without a date
+    n_good: int
+    n_rejected: int
+
+    def accepted(self) -> DataFrame:
+        """``good``, or an error with the count if any row was rejected."""
+        if self.n_rejected:
+            raise ValueError(f"{self.n_rejected} rows have an unparseable date.")
+        return self.good
+
+
+def split_by_date(raw: DataFrame, date_format: str = "yyyy-MM-dd", folder: str | None = None) -> DateSplit:
+    """Rows of text in the curated layout, parsed and parted in one pass: the
+    source is scanned once, by the map-only job that writes good and rejected
+    rows to separate folders of a table under ``folder`` (default: the shared
+    checkpoint folder) and counts both while it writes. An empty or blank date
+    is missing; rejected rows keep the text of their date."""
+    spark = raw.sparkSession
+    folder = (folder or f"{ensure_checkpoint_dir(spark)}/airlake-parsed-{uuid.uuid4().hex}").rstrip("/")
+    counts = Observation()
+    rows = date_checked(raw, date_format).observe(
+        counts, F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+    rows = rows.withColumn("accepted", F.col("reason").isNull())
+    rows.write.mode("overwrite").partitionBy("accepted").parquet(folder)
+    staged = spark.read.schema(rows.schema).parquet(folder)
+    good = staged.where("accepted").drop("accepted", "date_text", "reason")
+    rejected = staged.where("not accepted").drop("accepted", "date")
+    columns = [c for c in rejected.columns if c not in ("date_text", "reason")]
+    return DateSplit(good, rejected.select("date_text", "reason", *columns), counts.get["good"], counts.get["rejected"])
+
+
+def date_checked(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """``parse_city_day`` with ``date_text``, the text of the date, and
+    ``reason``: why there is no date (NULL where there is one)."""
+    missing = F.coalesce(F.trim("date_text") == "", F.lit(True))
+    reason = F.when(missing, "missing date").otherwise("unparseable date")
+    typed = parse_city_day(raw, date_format, with_text=True)
+    return typed.withColumn("reason", F.when(F.col("date").isNull(), reason))
+
+
+def parse_city_day(raw: DataFrame, date_format: str = "yyyy-MM-dd", with_text: bool = False) -> DataFrame:
     """Rows of text in the curated layout -> the city-day schema; dates that
-    are missing or do not parse become NULL."""
-    raw = raw.select([F.col(f"`{c}`").alias(CITY_DAY_RENAME.get(c, c)) for c in raw.columns])
-    typed = raw.withColumn("date", F.try_to_date(F.col("date").cast("string"), date_format))
+    are missing or do not parse become NULL. ``with_text`` adds their text."""
+    names = {c: CITY_DAY_RENAME.get(c, c) for c in raw.columns}
+    typed = raw.select([F.col(f"`{c}`").alias(n) for c, n in names.items() if n in CITY_DAY_COLUMNS])
+    text = F.col("date").cast("string") if "date" in typed.columns else F.lit(None).cast("string")
+    typed = typed.withColumn("date_text", text)
+    typed = typed.withColumn("date", F.try_to_date(F.col("date_text"), date_format))
     for c in typed.columns:
-        if c not in ("city", "date", "aqi_bucket"):
+        if c not in ("city", "date", "aqi_bucket", "date_text"):
             typed = typed.withColumn(c, F.col(c).cast("string").try_cast("double"))
-    return nan_to_null(conform(typed))
+    extra = ["date_text"] if with_text else []
+    return nan_to_null(conform(typed, (*CITY_DAY_COLUMNS, *extra), T.StructType([
+        *CITY_DAY_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in extra)])))
 
 
 def load_clean(spark: SparkSession, path: str, cities: Sequence[str], fmt: str = "csv") -> DataFrame:

@@ -4,21 +4,63 @@ Range-partitioned on (city, date) before the write: a hot city is spread
 over several tasks (a hash on city alone would put it in one), each task's
 rows come out sorted, and ``partitionBy('city')`` gives folder pruning on
 read.
+
+``replace_cities`` reruns part of the table: only the folders of the named
+cities are replaced (dynamic partition overwrite), and the coverage report
+(A21) is counted by the write itself with observed metrics, so nothing is read
+back. The metrics sit behind the range exchange, in the tasks that write: a
+task that is run again after a lost executor counts once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from airlake.operators.quality import dataset_profile
 
+COVERAGE = "city string, n_rows long, first_date date, last_date date, n_with_value long, pct_with_value double"
+
+
+def _ranged(df: DataFrame, partitions: int | None) -> DataFrame:
+    ranged = (df.repartitionByRange(partitions, "city", "date") if partitions
+              else df.repartitionByRange("city", "date"))  # spark.sql.shuffle.partitions, AQE-sized
+    return ranged.sortWithinPartitions("city", "date")
+
 
 def write_city_day(df: DataFrame, path: str, mode: str = "overwrite",
                    partitions: int | None = None) -> DataFrame:
     """Write, then return the coverage report of what was written (rows,
     date span and AQI coverage per city), read back from the written table."""
-    ranged = (df.repartitionByRange(partitions, "city", "date") if partitions
-              else df.repartitionByRange("city", "date"))  # spark.sql.shuffle.partitions, AQE-sized
-    (ranged.sortWithinPartitions("city", "date")
-     .write.mode(mode).partitionBy("city").parquet(path))
+    _ranged(df, partitions).write.mode(mode).partitionBy("city").parquet(path)
     return dataset_profile(df.sparkSession.read.parquet(path))
+
+
+def replace_cities(df: DataFrame, path: str, cities: Sequence[str], value_col: str = "aqi",
+                   partitions: int | None = None) -> DataFrame:
+    """Write the rows of ``cities`` in place of what the table at ``path`` holds
+    of these cities, and return their coverage (``COVERAGE``: one row per named
+    city). The other cities' folders are not touched; the table is made if
+    there is none. Rows of cities that are not named are not written. A named
+    city without rows reports 0 and keeps its folder: nothing says what to put
+    in its place.
+    """
+    cities = list(dict.fromkeys(cities))
+    spark = df.sparkSession
+    if not cities:
+        return spark.createDataFrame([], COVERAGE)
+    coverage = Observation()
+    metrics = []
+    for i, city in enumerate(cities):  # four sums per named city, kept by each task
+        of = F.col("city") == city
+        metrics += [F.count_if(of).alias(f"n{i}"), F.min(F.when(of, F.col("date"))).alias(f"first{i}"),
+                    F.max(F.when(of, F.col("date"))).alias(f"last{i}"),
+                    F.count_if(of & F.col(value_col).isNotNull()).alias(f"with{i}")]
+    rows = _ranged(df.where(F.col("city").isin(cities)), partitions).observe(coverage, *metrics)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+    got = coverage.get
+    report = [(city, got[f"n{i}"], got[f"first{i}"], got[f"last{i}"], got[f"with{i}"],
+               got[f"with{i}"] * 100.0 / got[f"n{i}"] if got[f"n{i}"] else None) for i, city in enumerate(cities)]
+    return spark.createDataFrame(report, COVERAGE)

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlake.operators.ingest import city_daily, rolling_daily_max, station_daily
+from airlake.sources import readers
 from airlake.sources.readers import load_raw, scan_hourly, first_readable
-from airlake.sources.sinks import write_city_day
+from airlake.sources.sinks import replace_cities, write_city_day
 from helpers import city_day
 
 
@@ -332,3 +333,59 @@ def test_active_sensors_by_parameter_and_last_seen(spark):
     got = geo.active_sensors(geo.nearby_sensors(locations, centers, since), sensors, since)
     assert sorted((r.city, r.location_id, r.sensor_id, r.pollutant, r.unit) for r in got.collect()) == [
         ("A", 1, 11, "PM2.5", "ug/m3"), ("A", 1, 14, "CO", "ppm")]
+
+
+def test_split_by_date_reads_the_source_once(spark, scratch):
+    import re
+
+    path = os.path.join(scratch, "in.csv")
+    with open(path, "w") as f:
+        f.write("City,Date,PM2.5,date_text\nX,2020-01-01,10,own\nX,,1,own\nY,2020-13-45,oops,own\nY,  ,2,own\nY,2020-01-03,NaN,own\n")
+    raw = spark.read.option("header", True).csv(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+    split = readers.split_by_date(raw.withColumn("City", seen("City")))
+    assert (split.n_good, split.n_rejected) == (2, 3)
+    assert sorted((r.city, r.date.day, r.pm25) for r in split.good.collect()) == [("X", 1, 10.0), ("Y", 3, None)]
+    assert sorted((r.city, r.date_text or "", r.reason, r.pm25) for r in split.rejected.collect()) == [
+        ("X", "", "missing date", 1.0), ("Y", "  ", "missing date", 2.0), ("Y", "2020-13-45", "unparseable date", None)]
+    assert reads.value == 5  # every row of the source was parsed once
+    with pytest.raises(ValueError, match="3 rows"):
+        split.accepted()
+    plan = readers.date_checked(raw)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan", plan)) == 1 and "Exchange" not in plan
+    assert split.good.columns == load_raw(spark, _csv(scratch, "City,Date\nX,2020-01-01\n")).columns
+
+
+def _csv(scratch, text):
+    path = os.path.join(scratch, "one.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_split_by_date_of_nothing(spark, scratch):
+    split = readers.split_by_date(spark.read.option("header", True).csv(_csv(scratch, "City,Date\n")))
+    assert (split.n_good, split.n_rejected, split.accepted().count(), split.rejected.count()) == (0, 0, 0, 0)
+
+
+def test_rerun_replaces_named_cities_only(spark, scratch):
+    out = os.path.join(scratch, "curated")
+    day = lambda city, n, aqi: dict(city=city, date=f"2024-01-{n:02d}", aqi=aqi)
+    write_city_day(city_day(spark, [day("A", 1, 1), day("A", 2, 2), day("B", 1, 3), day("C", 1, 4)]), out)
+    kept = {c: sorted(os.listdir(os.path.join(out, f"city={c}"))) for c in "BC"}
+    again = city_day(spark, [day("A", 2, 20), day("A", 3, None), day("A", 4, 40), day("B", 9, 99), day("D", 1, 5)])
+    report = {r.city: r for r in replace_cities(again, out, ["A", "D", "E"]).collect()}
+    assert [(r.n_rows, r.n_with_value, r.pct_with_value) for r in (report[c] for c in "ADE")] == [
+        (3, 2, pytest.approx(200 / 3)), (1, 1, 100.0), (0, 0, None)]
+    assert (report["A"].first_date, report["A"].last_date) == (dt.date(2024, 1, 2), dt.date(2024, 1, 4))
+    rows = {(r.city, r.date.day): r.aqi for r in spark.read.parquet(out).collect()}
+    assert rows == {("A", 2): 20, ("A", 3): None, ("A", 4): 40, ("B", 1): 3, ("C", 1): 4, ("D", 1): 5}
+    assert kept == {c: sorted(os.listdir(os.path.join(out, f"city={c}"))) for c in "BC"}
+    same = {r.city: r for r in replace_cities(again, out, ["A", "D", "E"]).collect()}
+    assert same == report and spark.read.parquet(out).count() == 6  # a rerun of the rerun changes nothing
+    assert replace_cities(again, out, []).count() == 0
