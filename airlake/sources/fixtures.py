@@ -279,25 +279,32 @@ def curated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id AS STRING) END AS AQI")
 
 
+LINES_PER_BLOCK = 301
+
+
 def hourly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as lines of station files: two column layouts, quoted fields,
-    a header repeated in the middle, bad numbers and time stamps."""
+    """Events as lines of station files: two column layouts, quoted fields
+    (every 23rd reading's note holds a line break, so it takes two lines, some
+    of them in different blocks of the file), a header repeated before the last
+    reading, bad numbers and time stamps."""
     e = table(spark, sf_dir, "events")
     lines = e.selectExpr(
-        "CAST(user_id % 15 AS STRING) AS file", "event_id AS place",
+        "CAST(user_id % 15 AS STRING) AS file", "event_id", "event_id % 23 = 0 AS broken",
         "CASE WHEN event_id % 19 = 0 THEN 'not a time' ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS t",
         "CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(event_id AS STRING) END AS a",
         "CAST(event_id % 100 AS STRING) AS b", "user_id % 15 % 2 = 0 AS even")
-    lines = lines.selectExpr("file", "place", "even",
-                             "CASE WHEN even THEN concat('\"', t, '\",', a, ',\"1,5\",', b)"
-                             " ELSE concat(b, ',', t) END AS line")
+    lines = lines.selectExpr("file", "event_id", "even",
+                             "CASE WHEN even AND broken THEN array(concat('\"', t, '\",', a, ',\"1,'), concat('5\",', b))"
+                             " WHEN even THEN array(concat('\"', t, '\",', a, ',\"1,5\",', b))"
+                             " ELSE array(concat(b, ',', t)) END AS parts")
+    lines = lines.selectExpr("file", "event_id", "even", "posexplode(parts) AS (part, line)")
     header = ("CASE WHEN even THEN 'From Date,\"PM2.5 (ug/m3)\",note,Ozone (ug/m3)'"
               " ELSE 'PM10 (ug/m3),From Date' END AS line")
-    stations = lines.groupBy("file", "even").agg(F.max("place").alias("last"))
+    stations = lines.groupBy("file", "even").agg(F.max("event_id").alias("last"))
     first = stations.selectExpr("file", "CAST(-1 AS BIGINT) AS place", header)
-    again = stations.selectExpr("file", "last AS place", header)
-    return (lines.select("file", "place", "line").unionByName(first).unionByName(again)
-            .withColumn("name", F.concat("file", F.lit(".csv"))))
+    again = stations.selectExpr("file", "2 * last - 1 AS place", header)
+    return (lines.selectExpr("file", "2 * event_id + part AS place", "line").unionByName(first).unionByName(again)
+            .withColumn("block", F.floor(F.col("place") / LINES_PER_BLOCK)).withColumn("name", F.concat("file", F.lit(".csv"))))
 
 
 def feed_structs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,34 +119,85 @@ def first_readable(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
 
+#: A quote left open over more lines than this is a stray mark, not a field with line breaks.
+MAX_RECORD_LINES = 1000
+
+
 def scan_hourly(spark: SparkSession, folder: str, ts_header: str = "From Date",
                 rename: dict[str, str] = HOURLY_RENAME) -> DataFrame:
     """Hourly station files (S3): one CSV per station, any subset of the known
-    columns. Read line-parallel as text with the file path; each file's header
-    is its first line that names the timestamp column, and is joined back by
-    path, so files with different columns need no per-file driver loop. Header
-    lines repeated further down are no readings. Quoted fields may hold commas.
-    Files without the timestamp column yield no rows; bad timestamps are
-    dropped; numbers are coerced (bad text -> NULL). Output: station_id (file
-    name without extension), ts, reading_id (a stable tie-break for duplicate
-    timestamps), pollutants.
+    columns. Read line-parallel as text with the file path and file block; each
+    file's header is its first record that names the timestamp column, and is
+    joined back by path, so files with different columns need no per-file driver
+    loop. Header records repeated further down are no readings. Quoted fields
+    may hold commas and line breaks (``whole_records``). Files without the
+    timestamp column yield no rows; bad timestamps are dropped; numbers are
+    coerced (bad text -> NULL). Output: station_id (file name without
+    extension), ts, reading_id (a stable tie-break for duplicate timestamps),
+    pollutants.
     """
     meta = F.col("_metadata")
     return parse_hourly(spark.read.text(folder).select(
         F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_name"].alias("name"),
+        meta["file_block_start"].alias("block"),
         F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place")), ts_header, rename)
 
 
+def whole_records(lines: DataFrame, max_lines: int = MAX_RECORD_LINES) -> DataFrame:
+    """Lines (line, file, name, block, place) -> records, the same columns:
+    lines are joined, with a line break, while a quote is open.
+
+    Files stay split. Whether a quote is open at a line follows from the quotes
+    of its block before it and of the blocks before that; each block tells its
+    number of quotes (odd or even) and how many records would begin in it in
+    either case, and a window over the blocks of a file (one row each) carries
+    this on. Lines that are records of their own, nearly all, are not grouped;
+    the others meet by (file, block, number) of the record they belong to. A
+    quote that stays open over more than ``max_lines`` lines joins nothing.
+    """
+    in_block = Window.partitionBy("file", "block").orderBy("place")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2
+    lines = lines.select("line", "file", "name", "block", "place", odd.alias("_odd"))
+    lines = lines.withColumn("_open", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2)
+
+    blocks = lines.groupBy("file", "block").agg(
+        (F.sum("_odd") % 2).alias("_flips"), F.count_if(F.col("_open") == 0).alias("_begin0"),
+        F.count_if(F.col("_open") == 1).alias("_begin1"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_carried", F.coalesce(F.sum("_flips").over(before), F.lit(0)) % 2)
+    begun = F.when(F.col("_carried") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
+    owner = F.when(begun > 0, F.struct(F.col("block").alias("block"), begun.alias("number")))
+    blocks = blocks.select("file", "block", "_carried", F.last(owner, ignorenulls=True).over(before).alias("_last"))
+
+    lines = lines.join(blocks, ["file", "block"])
+    lines = lines.withColumn("_open", (F.col("_open") + F.col("_carried")) % 2)
+    lines = lines.withColumn("_number", F.count_if(F.col("_open") == 0).over(
+        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    columns = ["line", "file", "name", "block", "place"]
+    alone = (F.col("_open") == 0) & (F.col("_odd") == 0)
+    own = F.struct(F.col("block").alias("block"), F.col("_number").alias("number"))
+    parts = lines.where(~alone).withColumn("_record", F.when(F.col("_number") > 0, own).otherwise(F.col("_last")))
+    sizes = parts.groupBy("file", "_record").agg(F.count(F.lit(1)).alias("_size"))
+    parts = parts.join(sizes, ["file", "_record"])
+    joined = parts.where(F.col("_size") <= max_lines).groupBy("file", "_record").agg(
+        F.sort_array(F.collect_list(F.struct("place", "line", "block", "name"))).alias("_parts"))
+    joined = joined.select(F.array_join("_parts.line", "\n").alias("line"), "file", F.col("_parts")[0]["name"].alias("name"),
+                           F.col("_parts")[0]["block"].alias("block"), F.col("_parts")[0]["place"].alias("place"))
+    return (lines.where(alone).select(columns).unionByName(joined)
+            .unionByName(parts.where(F.col("_size") > max_lines).select(columns)))
+
+
 def parse_hourly(lines: DataFrame, ts_header: str = "From Date",
                  rename: dict[str, str] = HOURLY_RENAME) -> DataFrame:
-    """The lines of station files (line, file, name, place: their order within
-    the file) -> readings; see ``scan_hourly``."""
-    lines = lines.withColumn("fields", csv_fields(F.col("line")))
+    """The lines of station files (line, file, name, block: part of a file,
+    place: their order within the file) -> readings; see ``scan_hourly``."""
+    records = whole_records(lines).withColumn("fields", csv_fields(F.col("line")))
     is_header = F.array_contains("fields", ts_header)
-    headers = lines.where(is_header).groupBy("file").agg(F.min_by("fields", "place").alias("hdr"))
+    headers = records.where(is_header).groupBy("file").agg(F.min_by("fields", "place").alias("hdr"))
     # one header row per file: left to the planner and to AQE, which sizes it
     # as it is and not as the whole folder
-    body = lines.where(~is_header).join(headers, "file")
+    body = records.where(~is_header).join(headers, "file")
 
     def field(name: str) -> F.Column:
         pos = F.array_position("hdr", name)
@@ -161,10 +212,14 @@ def parse_hourly(lines: DataFrame, ts_header: str = "From Date",
 
 
 def csv_fields(line: F.Column) -> F.Column:
-    """Fields of one CSV line: split at commas outside quotes, quotes taken off."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.regexp_replace(
-        F.regexp_replace(p, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
+    """Fields of one CSV record: split at commas outside quotes, quotes taken
+    off. Cut at the quotes first: every second part is outside, and only there
+    do commas become the mark (U+0001) that the record is split at."""
+    mark = "\x01"
+    parts = F.transform(F.split(F.translate(line, mark, " "), '"', -1),
+                        lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", mark)).otherwise(p))
+    return F.transform(F.split(F.array_join(parts, '"'), mark, -1), lambda p: F.regexp_replace(
+        F.regexp_replace(p, r'(?s)^\s*"(.*)"\s*$', "$1"), '""', '"'))
 
 
 def station_registry_csv(spark: SparkSession, path: str, cities: Sequence[str]) -> DataFrame:

@@ -389,3 +389,64 @@ def test_rerun_replaces_named_cities_only(spark, scratch):
     same = {r.city: r for r in replace_cities(again, out, ["A", "D", "E"]).collect()}
     assert same == report and spark.read.parquet(out).count() == 6  # a rerun of the rerun changes nothing
     assert replace_cities(again, out, []).count() == 0
+
+
+def _records(text):
+    """Records of a file, by the state of the quotes at each line's end."""
+    out, open_quote = [], False
+    for line in text.split("\n"):
+        if open_quote:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+        open_quote ^= line.count('"') % 2 == 1
+    return out
+
+
+def test_whole_records_across_blocks(spark):
+    """Any cut of the files into blocks gives the records of the whole file."""
+    rng = np.random.default_rng(3)
+    files = {}
+    for f in range(4):
+        words = ["a", "b,c", '"q"', '"x\ny"', '"p\n\nq ""r\n"', "", "7"]
+        files[f"f{f}"] = "\n".join(",".join(rng.choice(words, 4)) for _ in range(60))
+    want = sorted((f, r) for f, text in files.items() for r in _records(text))
+    for size in (1, 3, 7, 1000):
+        rows = [(line, f, f + ".csv", i // size, i) for f, text in files.items() for i, line in enumerate(text.split("\n"))]
+        df = spark.createDataFrame(rows, "line string, file string, name string, block long, place long").repartition(5)
+        got = readers.whole_records(df).collect()
+        assert sorted((r.file, r.line) for r in got) == want
+        assert len({(r.file, r.place) for r in got}) == len(got)
+
+
+def test_stray_quote_joins_nothing(spark):
+    lines = ['t,v', '1,"a\nb"'.split("\n")[0], 'b"', '2,5" pipe'] + [f"{i},x" for i in range(3, 40)]
+    df = spark.createDataFrame([(x, "f", "f.csv", i // 5, i) for i, x in enumerate(lines)],
+                               "line string, file string, name string, block long, place long")
+    got = {r.line for r in readers.whole_records(df, max_lines=10).collect()}
+    assert got == {"t,v", '1,"a\nb"', '2,5" pipe', *lines[4:]}
+
+
+def test_csv_fields(spark):
+    lines = ['a,"b,c", "d ""e"" f" ,', '"x\ny,z",2', "", '"1,5"', "a\x01b,c"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r.f for r in df.select(readers.csv_fields(F.col("line")).alias("f")).collect()]
+    assert got == [["a", "b,c", 'd "e" f', ""], ["x\ny,z", "2"], [""], ["1,5"], ["a b", "c"]]
+
+
+def test_scan_hourly_with_line_breaks_and_small_blocks(spark, scratch):
+    folder = os.path.join(scratch, "hourly")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "ST1.csv"), "w") as f:
+        f.write('"a ""note""\nover lines",From Date,PM2.5 (ug/m3)\n')
+        for i in range(200):
+            note = f'"first, {i}\nsecond ""line""\n"' if i % 3 == 0 else "plain"
+            f.write(f"{note},2020-01-{i // 24 + 1:02d} {i % 24:02d}:00:00,{i}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        df = scan_hourly(spark, folder)
+        assert spark.read.text(folder).rdd.getNumPartitions() > 5
+        assert sorted((r.ts.day * 24 + r.ts.hour - 24, r.pm25) for r in df.collect()) == [(i, float(i)) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
