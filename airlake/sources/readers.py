@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from airlake.operators.quality import filter_cities
 from airlake.schema import CITY_DAY_COLUMNS, CITY_DAY_RENAME, CITY_DAY_SCHEMA, HOURLY_RENAME, conform, nan_to_null
-from airlake.session import ensure_checkpoint_dir
+from airlake.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -154,26 +154,29 @@ def whole_records(lines: DataFrame, max_lines: int = MAX_RECORD_LINES) -> DataFr
     this on. Lines that are records of their own, nearly all, are not grouped;
     the others meet by (file, block, number) of the record they belong to. A
     quote that stays open over more than ``max_lines`` lines joins nothing.
+    The numbered lines are checkpointed: the files are read once.
     """
     in_block = Window.partitionBy("file", "block").orderBy("place")
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    until = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     odd = (F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2
     lines = lines.select("line", "file", "name", "block", "place", odd.alias("_odd"))
     lines = lines.withColumn("_open", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2)
+    begun = lambda state: F.count_if(F.col("_open") == state).over(until)
+    lines = cut_lineage(lines.withColumn("_begun0", begun(0)).withColumn("_begun1", begun(1)))  # read often below
 
     blocks = lines.groupBy("file", "block").agg(
         (F.sum("_odd") % 2).alias("_flips"), F.count_if(F.col("_open") == 0).alias("_begin0"),
         F.count_if(F.col("_open") == 1).alias("_begin1"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_carried", F.coalesce(F.sum("_flips").over(before), F.lit(0)) % 2)
-    begun = F.when(F.col("_carried") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
-    owner = F.when(begun > 0, F.struct(F.col("block").alias("block"), begun.alias("number")))
+    number = F.when(F.col("_carried") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
+    owner = F.when(number > 0, F.struct(F.col("block").alias("block"), number.alias("number")))
     blocks = blocks.select("file", "block", "_carried", F.last(owner, ignorenulls=True).over(before).alias("_last"))
 
     lines = lines.join(blocks, ["file", "block"])
+    lines = lines.withColumn("_number", F.when(F.col("_carried") == 0, F.col("_begun0")).otherwise(F.col("_begun1")))
     lines = lines.withColumn("_open", (F.col("_open") + F.col("_carried")) % 2)
-    lines = lines.withColumn("_number", F.count_if(F.col("_open") == 0).over(
-        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     columns = ["line", "file", "name", "block", "place"]
     alone = (F.col("_open") == 0) & (F.col("_odd") == 0)
     own = F.struct(F.col("block").alias("block"), F.col("_number").alias("number"))
