@@ -5,6 +5,11 @@ cells its bounding box touches (a handful per centre), locations get their
 own cell, the join is a hash join on (cell_lat, cell_lon), and the exact
 haversine distance filters the candidates. No nested-loop join, and the
 work is linear in locations.
+
+Cells wrap around: their number along a parallel is fixed, and a longitude's
+cell is taken modulo that number, so a radius across the 180th meridian finds
+the cells on its other side. Where a radius comes within a degree of a pole, a
+box has no bounded width in longitude, and the centre covers whole parallels.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlake.operators.common import broadcast_if_small
+from airlake.operators.common import broadcast_limit, estimated_bytes
 from airlake.reference import FEED_PARAMS, MAX_STATIONS, RADIUS_M
 
 EARTH_RADIUS_M = 6371000.0
@@ -33,22 +38,29 @@ def nearby_sensors(locations: DataFrame, centers: DataFrame, active_from: dt.dat
     """Locations within ``radius_m`` of each city centre and seen since
     ``active_from``; newest ``max_per_city`` per city (ties by id)."""
     dlat = radius_m / MIN_M_PER_DEG_LAT
+    around = round(360 / cell_deg)
+    if abs(around * cell_deg - 360) > 1e-9:
+        raise ValueError("cell_deg must divide 360 degrees")
     lat, lon = F.col("lat"), F.col("lon")
-    dlon = F.lit(dlat) / F.cos(F.radians(F.least(F.abs(lat) + F.lit(dlat), F.lit(89.0))))
+    reach = F.abs(lat) + F.lit(dlat)
+    dlon = F.when(reach < 89, F.lit(dlat) / F.cos(F.radians(reach))).otherwise(F.lit(180.0))
     cell = F.lit(cell_deg)
-    # centres -> covering cells: (#centres x a few cells) rows; broadcast when
-    # the centre table is under the broadcast threshold
+    # centres -> covering cells: (#centres x a few cells, a circle of them at the poles) rows
+    low = F.floor((lon - dlon) / cell)
     cc = centers.select(
         "city", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"),
         F.explode(F.sequence(F.floor((lat - dlat) / cell), F.floor((lat + dlat) / cell))).alias("cell_lat"),
-        F.floor((lon - dlon) / cell).alias("_lo"), F.floor((lon + dlon) / cell).alias("_hi"),
-    ).select("city", "c_lat", "c_lon", "cell_lat",
-             F.explode(F.sequence("_lo", "_hi")).alias("cell_lon"))
+        low.alias("_lo"), F.least(F.floor((lon + dlon) / cell), low + (around - 1)).alias("_hi"),
+    ).select("city", "c_lat", "c_lon", "cell_lat", F.explode(F.sequence("_lo", "_hi")).alias("_cell"))
+    cc = cc.select("city", "c_lat", "c_lon", "cell_lat", F.pmod("_cell", F.lit(around)).alias("cell_lon"))
     since = F.lit(str(active_from)).cast(locations.schema["last_seen"].dataType)
     locs = (locations.where(F.col("last_seen") >= since)
-            .select("location_id", "lat", "lon", "last_seen",
-                    F.floor(lat / cell).alias("cell_lat"), F.floor(lon / cell).alias("cell_lon")))
-    j = locs.join(broadcast_if_small(cc, probe=centers), ["cell_lat", "cell_lon"])
+            .select("location_id", "lat", "lon", "last_seen", F.floor(lat / cell).alias("cell_lat"),
+                    F.pmod(F.floor(lon / cell), F.lit(around)).alias("cell_lon")))
+    # broadcast only if the cells, at most a circle of them in each row of cells, are under the threshold
+    most_cells = (int(2 * dlat / cell_deg) + 2) * around
+    small = estimated_bytes(centers) * most_cells <= broadcast_limit(centers.sparkSession)
+    j = locs.join(F.broadcast(cc) if small else cc.hint("merge"), ["cell_lat", "cell_lon"])
     j = j.withColumn("distance_m", haversine_m(F.col("c_lat"), F.col("c_lon"), lat, lon))
     j = j.where(F.col("distance_m") <= F.lit(float(radius_m)))
     w = Window.partitionBy("city").orderBy(F.desc("last_seen"), F.col("location_id"))

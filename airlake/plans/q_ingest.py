@@ -83,6 +83,8 @@ QUERIES = {
     "splice_sources": q_splice,
     "nearby_sensors": lambda s, d: rounded(G.nearby_sensors(
         X.locations(s, d), X.centers(s), X.ACTIVE_FROM)),
+    "nearby_sensors_wrapped": lambda s, d: rounded(G.nearby_sensors(
+        X.edge_locations(s, d), X.edge_centers(s), X.ACTIVE_FROM)),
     "nearby_active_sensors": lambda s, d: rounded(G.active_sensors(
         G.nearby_sensors(X.locations(s, d), X.centers(s), X.ACTIVE_FROM), X.sensor_catalogue(s, d), X.ACTIVE_FROM)),
 }
@@ -233,6 +235,9 @@ g as (select city, sensor_id, date, {S.n_avail(_si)} as n_sub_indices,
         base=True),
     "nearby_sensors": _w(NEARBY, "select city, location_id, round(dist / 1000.0, 6) as distance_km,"
                                  " last_seen, cast(rn as integer) as rank from rk where rn <= 20"),
+    "nearby_sensors_wrapped": _w(NEARBY.replace(S.LOCATIONS, S.EDGE_LOCATIONS).replace(S.CENTERS_SQL, S.EDGE_CENTERS_SQL),
+                                 "select city, location_id, round(dist / 1000.0, 6) as distance_km,"
+                                 " last_seen, cast(rn as integer) as rank from rk where rn <= 20"),
     "nearby_active_sensors": _w(NEARBY + SENSORS, "select city, location_id, cast(rn as integer) as rank, sensor_id,"
                                 f" case param {' '.join(f'when {p!r} then {v!r}' for p, v in FEED_PARAMS.items())} end"
                                 " as pollutant, unit, s.last_seen from rk join sensors s using (location_id)"

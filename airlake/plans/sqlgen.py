@@ -9,7 +9,7 @@ from airlake.reference import (
     AQI_BUCKETS, AQI_TOP_BUCKET, BREAKPOINTS, MIN_SUB_INDICES, MONTH_NAMES, SEASON_MONTHS,
     SEASON_ORDER, STATION_SET, col_of,
 )
-from airlake.sources.fixtures import CENTERS, CITY_NAMES, SPARSE_MONTHS
+from airlake.sources.fixtures import CENTERS, CITY_NAMES, EDGE_CENTERS, SPARSE_MONTHS
 
 
 def d(x: float) -> str:
@@ -167,6 +167,18 @@ LOCATIONS = f"""
     left join (select o_custkey, max(o_orderdate) as last_order from orders group by o_custkey) lo
       on lo.o_custkey = c_custkey"""
 
+EDGE_CENTERS_SQL = "select * from (values " + ", ".join(
+    f"('{c}', {d(la)}, {d(lo)})" for c, la, lo in EDGE_CENTERS) + ") t(city, lat, lon)"
+
+EDGE_LOCATIONS = f"""
+  select k as location_id,
+    case when k % 2 = 0 then {d(-16.5)} + (k % 101 - 50) / {d(100)} else {d(89.8)} + (k % 21) / {d(100)} end as lat,
+    case when k % 2 = 1 then cast(k * 37 % 360 - 180 as double)
+      when k * 7 % 101 > 55 then {d(-180.05)} + (k * 7 % 101 - 50) / {d(100)}
+      else {d(179.95)} + (k * 7 % 101 - 50) / {d(100)} end as lon,
+    last + interval 20 year as last_seen
+  from (select o_custkey as k, max(o_orderdate) as last from orders group by o_custkey)"""
+
 SENSOR_CATALOGUE = """
   select o_custkey as location_id, o_custkey * 8 + o_orderkey % 8 as sensor_id,
     case o_orderkey % 8 when 0 then 'pm25' when 1 then 'pm10' when 2 then 'no2' when 3 then 'so2' when 4 then 'co'

@@ -220,6 +220,28 @@ def centers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CENTERS), "city string, lat double, lon double")
 
 
+#: Invented centres whose radius crosses the 180th meridian and a pole.
+EDGE_CENTERS = (("DATELINE", -16.5, 179.95), ("NORTH", 89.9, 10.0))
+
+
+def edge_centers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(EDGE_CENTERS), "city string, lat double, lon double")
+
+
+def edge_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One location per customer by the 180th meridian (longitudes on both
+    sides, -180 to 180) or, every second one, by the North Pole (all
+    longitudes), with the latest (shifted) order date as last-seen time."""
+    return (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("last"))
+            .selectExpr(
+                "k AS location_id",
+                "CASE WHEN k % 2 = 0 THEN -16.5D + (k % 101 - 50) / 100D ELSE 89.8D + (k % 21) / 100D END AS lat",
+                "CASE WHEN k % 2 = 1 THEN CAST(k * 37 % 360 - 180 AS DOUBLE)"
+                " WHEN k * 7 % 101 > 55 THEN -180.05D + (k * 7 % 101 - 50) / 100D"
+                " ELSE 179.95D + (k * 7 % 101 - 50) / 100D END AS lon",
+                "last + INTERVAL 20 YEARS AS last_seen"))
+
+
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sensor location per customer around its region's centre, with the
     latest (shifted) order date as last-seen time (NULL without orders)."""
