@@ -51,7 +51,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Shares of a language's word occurrences, rare first words first, up to which a tier reaches.
-TIER_SHARES = (1 / 16, 1 / 4, 1.0)
+TIER_SHARES = (1 / 8, 1.0)
 FILTER_BITS = 26
 BUFFER_BYTES = 8 << 20
 ROWS_OUT = 1 << 16
