@@ -143,12 +143,13 @@ def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS)
     import numpy as np
 
     learned = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    words = stored(count_words(learned))
-    grams = stored(count_grams(words).withColumn("kind", F.length("gram")))
+    words = stored(count_words(learned).withColumn("kind", F.lit(0)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = words.select("lang", "word", "c").repartition(parts, "lang", "word")
+    grams = stored(count_grams(dealt).withColumn("kind", F.length("gram")))
     total = lambda rows: rows.groupBy("lang", "kind").agg(F.sum("c").alias("total"))
-    kinds = words.withColumn("kind", F.lit(0))
-    known = kinds.where((F.length("word") <= LONGEST_WORD) & (F.col("c") >= LEAST_COUNT))
-    chosen = [most_frequent(known, "word", total(kinds), max_words).toArrow(),
+    known = words.where((F.length("word") <= LONGEST_WORD) & (F.col("c") >= LEAST_COUNT))
+    chosen = [most_frequent(known, "word", total(words), max_words).toArrow(),
               most_frequent(grams, "gram", total(grams), max_grams).toArrow()]
     languages = sorted({lang for table in chosen for lang in table.column(0).to_pylist()}, key=str.encode)
     column = {lang: i for i, lang in enumerate(languages)}
