@@ -275,12 +275,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with all its columns, without the rows predicted toxic. The
-    decision is taken in the scan; nothing is shuffled."""
+    decision is taken in the scan; nothing is shuffled.
+
+    Without a classifier (no labels, or labels of one class only) nothing tells
+    rows apart and all are kept, whatever the share of toxic labels. A null text
+    is judged as an empty one; repeated rows are kept or dropped alike; an empty
+    table stays empty.
+    """
     from pyspark.ml.functions import array_to_vector
 
     rows = docs.select(F.struct("*").alias("all"))
     if model.trees is None:
-        return docs.where(F.lit(model.base < threshold))
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.strong, model.weak))
 
     @F.pandas_udf("array<double>")

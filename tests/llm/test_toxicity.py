@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from airlake.llm import toxicity
 
@@ -74,3 +75,10 @@ def test_copies_of_one_document_make_no_lexicon(spark):
     rows += [("lexicon", 0, " ".join(filler[i:i + 9])) for i in range(100)]
     strong, weak = toxicity.lexicon(spark.createDataFrame(rows, "part string, toxic int, text string"))
     assert "grumbold$" in strong and not {"sentence$", "tenfold$", "length$"} & (set(strong) | set(weak))
+
+
+def test_one_class_labels_drop_nothing(documents):
+    for toxic in (0, 1):
+        labels = documents.select("doc_id", F.lit(toxic).alias("toxic"))
+        assert toxicity.keep_clean(documents, toxicity.fit(documents, labels)).count() == documents.count()
+    assert toxicity.keep_clean(documents, toxicity.fit(documents, labels.limit(0))).count() == documents.count()
