@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from airlake.functions.aqi import aqi_bucket, aqi_from_concentrations, n_available
 from airlake.functions.units import convert_units
+from airlake.functions.zones import day_hours, local_clock
 from airlake.reference import FEED_PARAMS, FEED_SET, MIN_SUB_INDICES, STATION_SET, col_of
 
 
@@ -239,3 +240,22 @@ def index_guard(wide: DataFrame, keys: Sequence[str], aqi_set: Sequence[str] = F
     missing below ``min_count`` (P10, P12 guard)."""
     return wide.select(*keys, n_available([col_of(p) for p in aqi_set]).alias("n_sub_indices"),
                        aqi_from_concentrations(aqi_set, min_count=min_count).alias("aqi"))
+
+
+def zone_daily(readings: DataFrame, zone: str | F.Column, col: str = "value", places: int | None = None) -> DataFrame:
+    """Daily mean per city by the local day of ``zone``. ``readings``: city, utc
+    (clock time in UTC), the value column and what ``zone`` names. ``hours`` are
+    the hours of the day that hold a value, ``day_hours`` those that it has (23
+    or 25 where clocks change); an hour that clocks repeat counts twice, its
+    offset from UTC tells one from the other. Sums per hour come before the
+    day's; both are combined before they are shuffled."""
+    r = readings.where(F.col(col).isNotNull() & F.col("utc").isNotNull()).select(
+        "city", zone.alias("zone") if isinstance(zone, F.Column) else F.lit(zone).alias("zone"), "utc", F.col(col).alias("v"))
+    r = r.withColumn("_local", local_clock(F.col("utc"), F.col("zone")))
+    hours = r.groupBy("city", "zone", F.date_trunc("hour", "_local").alias("_hour"),
+                      F.timestamp_diff("MINUTE", "utc", "_local").alias("_offset")).agg(
+        F.sum("v").alias("_sum"), F.count("v").alias("_n"))
+    out = hours.groupBy("city", "zone", F.to_date("_hour").alias("date")).agg(
+        (F.sum("_sum") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("hours"))
+    return out.select("city", "zone", "date", fixed_places(F.col("mean"), places).alias("mean"), "n", "hours",
+                      day_hours(F.col("date"), F.col("zone")).alias("day_hours"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from airlake.functions.zones import utc_clock, utc_of_local
 from airlake.operators import geo as G
 from airlake.operators import ingest as I
 from airlake.operators import quality as Q
@@ -64,7 +65,53 @@ def q_curated_split(s, d):
     return rounded(rows.select("*", F.lit(split.n_good).cast("long").alias("n_good"),
                                F.lit(split.n_rejected).cast("long").alias("n_rejected")))
 
+
+
+REPORT_ZONE = "Europe/Berlin"
+PICKED = ("ASIA", "EUROPE", "ATLANTIS")
+
+
+def q_feed_zone_days(s, d):
+    feed = X.feed_instants(s, d).select("city", "value", utc_clock(F.col("period.datetimeFrom.utc")).alias("utc"))
+    return rounded(I.zone_daily(feed, X.zone_of(F.col("city")), places=PLACES))
+
+
+def q_station_zone_days(s, d):
+    """Stations keep their own clocks; days are those of one zone."""
+    files = X.local_readings(s, d).withColumn("utc", utc_of_local(F.col("ts"), X.zone_of(F.col("city"))))
+    return rounded(I.zone_daily(files, REPORT_ZONE, col="pm25", places=PLACES))
+
+
+def q_recent_clean(s, d):
+    """A recent table is read from the first of four paths that can be read:
+    one is missing, one holds no such format, one has other columns."""
+    folder = f"{ensure_checkpoint_dir(s)}/airlake-recent-{uuid.uuid4().hex}"
+    good = X.curated_text(s, d).where(F.try_to_date("Date", "yyyy-MM-dd").isNotNull())
+    good.write.parquet(f"{folder}/good")
+    X.region_names(s, d).write.csv(f"{folder}/text", header=True)
+    X.region_names(s, d).write.parquet(f"{folder}/other")
+    path = R.first_readable(s, [f"{folder}/{p}" for p in ("missing", "text", "other", "good")], "parquet", ("City", "Date"))
+    recent = Q.filter_cities(R.load_recent(s, path, "parquet"), PICKED, strict=True)
+    return rounded(recent.select("city", "date", "pm25", "aqi"))
+
+
+def q_station_registry(s, d):
+    """Registry file of the picked cities, attached to the readings."""
+    path = f"{ensure_checkpoint_dir(s)}/airlake-registry-{uuid.uuid4().hex}"
+    X.registry_text(s, d).write.csv(path, header=True)
+    readings = X.station_readings(s, d).select("station_id", "date", "pm10")
+    return rounded(R.attach_city(readings, R.station_registry_csv(s, path, PICKED)).groupBy("city", "date").agg(
+        F.count(F.lit(1)).alias("n_readings"), F.count_distinct("station_id").alias("n_stations"), F.max("pm10").alias("max_pm10")))
+
+
 QUERIES = {
+    "feed_parse_zones": lambda s, d: rounded(R.feed_days(X.feed_instants(s, d), FEED_START, X.zone_of(F.col("city")))),
+    "feed_zone_days": q_feed_zone_days,
+    "station_zone_days": q_station_zone_days,
+    "recent_clean": q_recent_clean,
+    "one_city": lambda s, d: rounded(Q.require_city(R.parse_city_day(X.curated_text(s, d)), "ASIA").select(
+        "city", "date", "pm25", "aqi")),
+    "station_registry": q_station_registry,
     "curated_parse": lambda s, d: rounded(R.parse_city_day(X.curated_text(s, d)).select(
         "city", "date", "pm25", "aqi", "o3")),
     "curated_split": q_curated_split,
@@ -171,7 +218,62 @@ SENSORS = f""",
 sensors as ({S.SENSOR_CATALOGUE})"""
 
 _CITY = S.city_of_user("user_id")
+_ZONE = "(case city " + " ".join(f"when {c!r} then {z!r}" for c, z in X.CITY_ZONES.items()) + " end)"
+SPREAD = f"""
+e as (select event_id, user_id, event_type, value, {_CITY} as city, {_ZONE.replace('case city', 'case ' + _CITY)} as own,
+        ts + to_days(cast(event_id * 7 % {X.SPREAD_DAYS} as integer)) as ts from events)"""
+
+
+def in_zone(utc: str, zone: str) -> str:
+    return f"(({utc} at time zone 'UTC') at time zone {zone})"
+
+
+def from_zone(local: str, zone: str) -> str:
+    """The first instant that shows this clock time (this engine gives the second)."""
+    utc = f"(({local} at time zone {zone}) at time zone 'UTC')"
+    earlier = f"({utc} - interval 1 hour)"
+    return f"(case when {in_zone(earlier, zone)} = {local} then {earlier} else {utc} end)"
+
+
+def zone_days(src: str) -> str:
+    """From ``src(city, zone, utc, v)``."""
+    midnight = lambda day: from_zone(f"cast({day} as timestamp)", "zone")
+    return f"""
+l as (select *, {in_zone('utc', 'zone')} as loc from {src} where v is not null and utc is not null),
+days as (select city, zone, cast(loc as date) as date, {_R9('avg(v)')} as mean, count(*) as n,
+    count(distinct (date_trunc('hour', loc), loc - utc)) as hours from l group by 1, 2, 3)
+select city, zone, date, round(mean, 6) as mean, n, hours,
+  round(date_diff('minute', {midnight('date')}, {midnight('(date + 1)')}) / 60.0, 6) as day_hours from days"""
+
+
+_PICK = ", ".join(map(repr, PICKED))
+CURATED = f"""
+c as (select {_CITY} as city, case when event_id % 13 <> 0 and event_id % 17 <> 0 then cast(ts as date) end as date,
+    round(case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end, 6) as pm25,
+    round(case when event_id % 5 <> 0 then cast(event_id as double) end, 6) as aqi from events)"""
 ORACLE = {
+    "feed_parse_zones": f"""
+with {SPREAD},
+f as (select *, cast({in_zone("date_trunc('second', ts)", 'own')} as date) as day from e where event_id % 9 <> 0)
+select user_id as sensor_id, day as date, event_type as param, 'ug/m3' as unit, round(value, 6) as value
+from f where day >= date '{FEED_START}'""",
+    "feed_zone_days": f"""
+with {SPREAD},
+f as (select city, own as zone, date_trunc('second', ts) as utc, value as v from e where event_id % 9 <> 0),
+{zone_days('f')}""",
+    "station_zone_days": f"""
+with {SPREAD},
+f as (select city, '{REPORT_ZONE}' as zone, {from_zone('ts', 'own')} as utc,
+    case when event_type <> 'view' then value end as v from e),
+{zone_days('f')}""",
+    "recent_clean": f"with {CURATED} select * from c where date is not null and city in ({_PICK})",
+    "one_city": f"with {CURATED} select * from c where city = 'ASIA'",
+    "station_registry": f"""
+select r_name as city, cast(cast(l_shipdate as date) + interval 240 month as date) as date, count(*) as n_readings,
+  count(distinct l_suppkey) as n_stations,
+  round(max(case when l_linenumber <> 6 then l_extendedprice / 251 end), 6) as max_pm10
+from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+  join region on n_regionkey = r_regionkey where r_name in ({_PICK}) group by 1, 2""",
     "curated_parse": f"""
 select {_CITY} as city, case when event_id % 13 <> 0 and event_id % 17 <> 0 then cast(ts as date) end as date,
   round(case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end, 6) as pm25,

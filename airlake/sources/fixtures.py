@@ -34,6 +34,11 @@ CENTERS = (
     ("EUROPE", 48.5, 9.25),
     ("MIDDLE EAST", 24.25, 45.5),
 )
+#: Invented zones of the cities: two whole-hour ones without changes of the
+#: clocks, one with a half hour, two with changes.
+CITY_ZONES = {"AFRICA": "Africa/Nairobi", "AMERICA": "America/New_York", "ASIA": "Asia/Kolkata",
+              "EUROPE": "Europe/Berlin", "MIDDLE EAST": "Asia/Dubai"}
+SPREAD_DAYS = 397  # instants are spread over more than a year
 SPARSE_MONTHS = (3, 4, 5, 6, 17)
 
 
@@ -336,3 +341,38 @@ def feed_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id AS sensor_id", "named_struct('name', event_type, 'units', 'ug/m3') AS parameter",
         "named_struct('datetimeFrom', named_struct('utc', CASE WHEN event_id % 9 = 0 THEN NULL"
         " ELSE concat(date_format(ts, 'yyyy-MM-dd'), 'T00:00:00Z') END)) AS period", "value")
+
+
+def zone_of(city: F.Column) -> F.Column:
+    return F.create_map(*[F.lit(x) for pair in CITY_ZONES.items() for x in pair])[city]
+
+
+_SPREAD_TS = f"ts + make_dt_interval(CAST(event_id * 7 % {SPREAD_DAYS} AS INT))"
+
+
+def feed_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the layout of the sensor feed, with times of the day spread
+    over more than a year: text with Z, with an offset, without one, or none."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "value", f"{_SPREAD_TS} AS ts")
+    clock = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    return e.selectExpr(
+        f"{_city_of_user_sql('user_id')} AS city", "user_id AS sensor_id",
+        "named_struct('name', event_type, 'units', 'ug/m3') AS parameter",
+        "named_struct('datetimeFrom', named_struct('utc', CASE WHEN event_id % 9 = 0 THEN NULL"
+        f" WHEN event_id % 4 = 0 THEN concat({clock.format('ts + INTERVAL 330 MINUTES')}, '+05:30')"
+        f" WHEN event_id % 4 = 1 THEN {clock.format('ts')} ELSE concat({clock.format('ts')}, 'Z') END)) AS period",
+        "value")
+
+
+def local_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as readings of stations whose clocks show their city's time:
+    (city, ts, pm25), spread over more than a year."""
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_city_of_user_sql('user_id')} AS city", f"{_SPREAD_TS} AS ts",
+        "CASE WHEN event_type = 'view' THEN NULL ELSE value END AS pm25")
+
+
+def registry_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as rows of a station registry file."""
+    return _with_region(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", spark,
+                        sf_dir).select(F.col("s_suppkey").alias("StationId"), F.col("city").alias("City"))

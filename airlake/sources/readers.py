@@ -14,10 +14,13 @@ import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airlake.functions.zones import local_day, utc_clock
 from airlake.operators.quality import filter_cities
 from airlake.schema import CITY_DAY_COLUMNS, CITY_DAY_RENAME, CITY_DAY_SCHEMA, HOURLY_RENAME, conform, nan_to_null
 from airlake.session import cut_lineage, ensure_checkpoint_dir
@@ -108,15 +111,24 @@ def load_recent(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return load_raw(spark, path, fmt)
 
 
-def first_readable(spark: SparkSession, paths: Sequence[str]) -> str:
-    """First path that exists (S10): a metadata check, no data read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def first_readable(spark: SparkSession, paths: Sequence[str], fmt: str = "csv", needs: Sequence[str] = ()) -> str:
+    """First path, in the order given, that can be read (S10): it is listed,
+    its first row is decoded in ``fmt``, and it has the columns ``needs``.
+    What is missing, unreadable, damaged or of another layout is passed over;
+    the reasons are told when none is left."""
+    reasons = []
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
+        try:
+            probe = _read(spark, p, fmt)
+            probe.head(1)
+        except (PySparkException, Py4JError) as e:
+            reasons.append(f"{p}: {str(e).strip().splitlines()[0]}")
+            continue
+        lacking = [c for c in needs if c not in probe.columns]
+        if not lacking:
             return p
-    raise FileNotFoundError(f"none of {list(paths)} exists")
+        reasons.append(f"{p}: lacks {lacking}")
+    raise FileNotFoundError("no readable path: " + "; ".join(reasons))
 
 
 #: A quote left open over more lines than this is a stray mark, not a field with line breaks.
@@ -238,11 +250,14 @@ def attach_city(readings: DataFrame, registry: DataFrame) -> DataFrame:
     return readings.join(registry, "station_id")
 
 
-def feed_days(raw: DataFrame, start: dt.date) -> DataFrame:
-    """Sensor-day feed rows (S8) with nested API fields: day = first ten
-    characters of the UTC start time, kept from ``start`` on. Input columns:
-    sensor_id, parameter {name, units}, period {datetimeFrom {utc}}, value."""
-    day = F.to_date(F.substring(F.col("period.datetimeFrom.utc"), 1, 10))
+def feed_days(raw: DataFrame, start: dt.date, zone: str | F.Column | None = None) -> DataFrame:
+    """Sensor-day feed rows (S8) with nested API fields, kept from ``start``
+    on. Input columns: sensor_id, parameter {name, units}, period
+    {datetimeFrom {utc}}, value. The day is the first ten characters of the UTC
+    start time or, with ``zone`` (a name, or a column of ``raw``), the day of
+    that instant there; a start time that cannot be read has no day."""
+    began = F.col("period.datetimeFrom.utc")
+    day = F.to_date(F.substring(began, 1, 10)) if zone is None else local_day(utc_clock(began), zone)
     return raw.select(
         "sensor_id", day.alias("date"), F.col("parameter.name").alias("param"),
         F.col("parameter.units").alias("unit"), F.col("value").cast("double").alias("value"),
