@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlake.operators import forecast as FC
+from airlake.operators import rolling_origin as RO
 from airlake.operators import series as SE
 from airlake.plans import forecast_sql as FS
 from airlake.plans import sqlgen as S
@@ -14,6 +15,7 @@ from airlake.sources import fixtures as X
 from airlake.streaming import daily_mean as ST
 
 HORIZON = 30
+ORIGIN_STEP, MIN_TRAIN = 240, 730  # days between origins, days before the first
 STREAM_POLLUTANTS = ("pm25", "pm10", "no2", "o3", "co")
 
 
@@ -96,6 +98,8 @@ QUERIES = {
     "model_backtest": q_model_backtest,
     "model_forecast": q_model_forecast,
     "forecast_verdict": q_forecast_verdict,
+    "interval_coverage": lambda s, d: rounded(RO.interval_coverage(
+        RO.interval_trials(_daily(s, d), HORIZON, ORIGIN_STEP, MIN_TRAIN))),
     "stream_daily_mean": q_stream_daily_mean,
     "stream_closed_days": q_stream_closed_days,
 }
@@ -285,6 +289,20 @@ from (select city, max(case when model = 'model' then mae end) as model_mae,
     max(case when model = 'seasonal_naive' then mae end) as seasonal_naive_mae,
     least(max(case when model = 'persistence' then mae end), max(case when model = 'seasonal_naive' then mae end))
       as best from scored group by city)"""),
+    # the days before each origin are a series of their own, fitted anew
+    "interval_coverage": _w(DAILY + f""",
+sizes as (select city, count(*) - {HORIZON} as cut from ds group by city),
+cuts as (select city, unnest(generate_series({MIN_TRAIN} + (cut - {MIN_TRAIN}) % {ORIGIN_STEP}, cut, {ORIGIN_STEP})) as cut
+  from sizes where cut >= {MIN_TRAIN}),
+before as (select ds.city || '@' || cut as city, pos, date, value from ds join cuts on ds.city = cuts.city and pos < cut),
+""" + FS.forecast("before", HORIZON), """,
+tried as (select split_part(fc.city, '@', 1) as city, fc.city as trial, forecast, lower, upper, (upper - lower) / 2 as half,
+    value as actual from fc join ds on split_part(fc.city, '@', 1) = ds.city and fc.date = ds.date)
+select city, count(distinct trial) as n_origins, count(*) as n_forecasts,
+  round(avg(case when actual between lower and upper then 1.0 else 0.0 end) * 100.0, 6) as pct_covered,
+  round(avg(half * 2), 6) as mean_width, round(avg(abs(actual - forecast)), 6) as mae,
+  round(quantile_cont(abs(actual - forecast) / nullif(half, 0), 0.95), 6) as width_factor
+from tried group by city"""),
     "stream_daily_mean": _w(STREAM, "select city, pollutant, cast(ts as date) as date, round(avg(value), 6) as mean,"
                                     " count(value) as n from lg where value is not null group by 1, 2, 3",
                             base=False),
