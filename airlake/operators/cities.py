@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from airlake.functions.calendar import season_of_date
 from airlake.operators.common import observed
+from airlake.operators.quantiles import quantile, sketch
 
 
 def city_summary(df: DataFrame, cities: Sequence[str] | None = None, col: str = "aqi",
-                 bad_threshold: float = 200.0, order: bool = True) -> DataFrame:
+                 bad_threshold: float = 200.0, order: bool = True, sketch_k: int | None = None) -> DataFrame:
     """Per city: n_days, mean, median, p95 (exact, linear), % days above the
-    threshold; worst first. No matching city gives an empty frame."""
+    threshold; worst first. No matching city gives an empty frame. With
+    ``sketch_k`` median and p95 come from a sketch of bounded size."""
     v = F.col("value")
+    at = lambda p: F.percentile(v, p) if sketch_k is None else quantile(sketch(v, sketch_k), F.count(v), p)
     out = observed(df, col, cities).groupBy("city").agg(
-        F.count(v).alias("n_days"), F.avg(v).alias("mean"), F.median(v).alias("median"),
-        F.percentile(v, 0.95).alias("p95"),
+        F.count(v).alias("n_days"), F.avg(v).alias("mean"), at(0.5).alias("median"),
+        at(0.95).alias("p95"),
         (F.avg((v > F.lit(float(bad_threshold))).cast("double")) * 100.0).alias("pct_bad"))
     return out.orderBy(F.desc("mean"), "city") if order else out
 

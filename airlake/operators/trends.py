@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from airlake.functions.calendar import month_name
 from airlake.operators.common import observed
+from airlake.operators.quantiles import quantile, sketch
 
 
-def monthly_trend(df: DataFrame, col: str = "aqi", cities: Sequence[str] | None = None) -> DataFrame:
-    """(city, month start) -> mean, median, n_days; months without data omitted."""
+def monthly_trend(df: DataFrame, col: str = "aqi", cities: Sequence[str] | None = None,
+                  sketch_k: int | None = None) -> DataFrame:
+    """(city, month start) -> mean, median, n_days; months without data omitted.
+    For frames with many rows per day (raw readings) ``sketch_k`` takes the
+    median from a sketch of bounded size (``quantiles``); exact by default."""
+    v = F.col("value")
+    median = F.median(v) if sketch_k is None else quantile(sketch(v, sketch_k), F.count(v), 0.5)
     return (observed(df, col, cities).groupBy("city", F.trunc("date", "MM").alias("month"))
-            .agg(F.avg("value").alias("mean"), F.median("value").alias("median"),
+            .agg(F.avg("value").alias("mean"), median.alias("median"),
                  F.count("value").alias("n_days")))
 
 

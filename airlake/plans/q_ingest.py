@@ -11,12 +11,13 @@ from airlake.functions.zones import utc_clock, utc_of_local
 from airlake.operators import geo as G
 from airlake.operators import ingest as I
 from airlake.operators import quality as Q
+from airlake.operators import quantiles as QU
 from airlake.operators import splice as SP
 from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.reference import FEED_PARAMS, FEED_SET, PPB_FACTOR, SPLICE_SET, col_of
 from airlake.schema import CITY_DAY_SCHEMA
-from airlake.session import ensure_checkpoint_dir
+from airlake.session import cut_lineage, ensure_checkpoint_dir
 from airlake.sources import fixtures as X
 from airlake.sources import readers as R
 from airlake.sources.sinks import replace_cities, write_city_day
@@ -104,7 +105,22 @@ def q_station_registry(s, d):
         F.count(F.lit(1)).alias("n_readings"), F.count_distinct("station_id").alias("n_stations"), F.max("pm10").alias("max_pm10")))
 
 
+PROBS = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def q_city_quantiles(s, d):
+    """Quantiles of all readings of a city: sketches by station, merged by
+    city, held against the true ranks."""
+    readings = X.station_readings(s, d).select("station_id", "pm10")
+    registry = X.station_registry(s, d)
+    parts = cut_lineage(QU.sketches(readings, ["station_id"], "pm10"))
+    found = QU.quantiles(QU.merged(parts.join(registry, "station_id"), ["city"]), ["city"], PROBS)
+    errors = QU.rank_errors(readings.join(registry, "station_id"), found, ["city"], "pm10", PROBS)
+    return errors.select("city", "name", "p", "n", (F.col("rank_error") <= QU.RANK_ERROR).alias("within_bound"))
+
+
 QUERIES = {
+    "city_quantiles": q_city_quantiles,
     "feed_parse_zones": lambda s, d: rounded(R.feed_days(X.feed_instants(s, d), FEED_START, X.zone_of(F.col("city")))),
     "feed_zone_days": q_feed_zone_days,
     "station_zone_days": q_station_zone_days,
@@ -252,6 +268,12 @@ c as (select {_CITY} as city, case when event_id % 13 <> 0 and event_id % 17 <>
     round(case when event_id % 7 <> 0 and event_id % 11 <> 0 then value end, 6) as pm25,
     round(case when event_id % 5 <> 0 then cast(event_id as double) end, 6) as aqi from events)"""
 ORACLE = {
+    "city_quantiles": """
+select r_name as city, name, p, count(*) as n, true as within_bound
+from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+  join region on n_regionkey = r_regionkey,
+  (values """ + ", ".join(f"('{n}', {S.d(p)})" for n, p in PROBS.items()) + """) q(name, p)
+where l_linenumber <> 6 and l_extendedprice is not null group by 1, 2, 3""",
     "feed_parse_zones": f"""
 with {SPREAD},
 f as (select *, cast({in_zone("date_trunc('second', ts)", 'own')} as date) as day from e where event_id % 9 <> 0)
