@@ -42,10 +42,19 @@ def _classes(vectors: DataFrame) -> DataFrame:
             .withColumn("class", F.monotonically_increasing_id()))
 
 
+def _scaled(v):
+    """Each row divided by the power of two at its largest component: exact,
+    and squares of very large and very small vectors stay in range."""
+    import numpy as np
+
+    _, exponent = np.frexp(np.abs(v).max(1, keepdims=True))
+    return np.ldexp(v, -exponent)
+
+
 def _unit(v):
     import numpy as np
 
-    scaled = v / np.abs(v).max(1, keepdims=True)  # keeps squares of any vector in range
+    scaled = _scaled(v)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
@@ -138,6 +147,7 @@ def compare(x, y, axes, threshold: float, step: int = DIM_STEP):
     i, j = rows[i], cols[j]
     for k in range(0, len(i), 1 << 16):  # the exact check, on what is left
         a, b = x[i[k:k + (1 << 16)]], y[j[k:k + (1 << 16)]]
+        a, b = _scaled(a), _scaled(b)
         cosine = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
         out[i[k:k + (1 << 16)], j[k:k + (1 << 16)]] = cosine >= threshold
     return out

@@ -41,8 +41,13 @@ def quality_weight(text: Column, words: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(4.0) * symbols / F.greatest(words, F.lit(1)))
 
 
-def exponential_key(doc_id: Column, weight: Column) -> Column:
-    digits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 13), 16, 10)
+def salt(doc_id: Column, text: Column) -> Column:
+    """What tells rows without a doc_id apart: the hash of their text."""
+    return F.when(doc_id.isNull(), F.md5(F.coalesce(text, F.lit("")))).otherwise("")
+
+
+def exponential_key(doc_id: Column, salt: Column, weight: Column) -> Column:
+    digits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), salt))), 1, 13), 16, 10)
     u = (digits.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -85,8 +90,8 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
 
 
 def _cuts(units: DataFrame, planned: DataFrame) -> DataFrame:
-    """source, cut: the last (key, id, size) that the fractional epoch takes."""
-    place = F.struct("key", "id", "size").alias("place")
+    """source, cut: the last (key, id, salt, size) that the fractional epoch takes."""
+    place = F.struct("key", "id", "salt", "size").alias("place")
     dealt = cut_lineage(units.select("source", place, (F.col("size") * F.col("rows")).alias("mass"))
                         .repartitionByRange("source", "place").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("source", "part").agg(F.sum("mass").alias("sum"))
@@ -106,8 +111,9 @@ def _cuts(units: DataFrame, planned: DataFrame) -> DataFrame:
 
 def _mixed(sized: DataFrame) -> DataFrame:
     """doc_id, source, size and least weight of the rows equal in the first
-    three whose weights differ, under names of their own: few as a rule."""
-    mixed = cut_lineage(sized.groupBy("doc_id", "source", "size")
+    three whose weights differ, under names of their own: few as a rule. Rows
+    without a doc_id that are equal have one text, so one weight."""
+    mixed = cut_lineage(sized.where("doc_id is not null").groupBy("doc_id", "source", "size")
                         .agg(F.min("weight").alias("least"), F.max("weight").alias("most")).where("least < most")
                         .select(F.col("doc_id").alias("unit_id"), F.col("source").alias("unit_source"),
                                 F.col("size").alias("unit_size"), "least"))
@@ -115,12 +121,13 @@ def _mixed(sized: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size, target, epochs, cut for ``sized``: doc_id, source,
-    size, weight. Rows equal in doc_id, source and size are taken together."""
+    """source, source_size, target, epochs, cut for ``sized``: doc_id, salt,
+    source, size, weight. Rows equal in doc_id (without one: in the hash of
+    their text), source and size are taken together."""
     units = cut_lineage(
-        sized.groupBy("doc_id", "source", "size").agg(F.min("weight").alias("weight"), F.count("*").alias("rows"))
-        .select("source", "size", "rows", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
-                exponential_key(F.col("doc_id"), F.col("weight")).alias("key")))
+        sized.groupBy("doc_id", "salt", "source", "size").agg(F.min("weight").alias("weight"), F.count("*").alias("rows"))
+        .select("source", "size", "rows", "salt", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
+                exponential_key(F.col("doc_id"), F.col("salt"), F.col("weight")).alias("key")))
     goals = targets(units, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     planned = cut_lineage(goals.withColumn("epochs", epochs.cast("long")).withColumn(
@@ -136,34 +143,34 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, weight of every document."""
+    """doc_id, salt, source, size, weight of every document."""
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         "text", word_count(F.col("text")).alias("size"))
-            .select("doc_id", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")))
+            .select("doc_id", salt(F.col("doc_id"), F.col("text")).alias("salt"), "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")))
 
 
 def copies(rows: DataFrame, planned: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Joins ``rows`` (doc_id, source, size, weight, ...) with the plan and
+    """Joins ``rows`` (doc_id, salt, source, size, weight, ...) with the plan and
     adds ``copies``: how often the mix takes the row. Rows that the plan sums
     up as one are decided as one, by their least weight."""
-    rows = rows.join(mixed, rows.doc_id.eqNullSafe(mixed.unit_id) & rows.source.eqNullSafe(mixed.unit_source)
+    rows = rows.join(mixed, (rows.doc_id == mixed.unit_id) & rows.source.eqNullSafe(mixed.unit_source)
                      & (rows["size"] == mixed.unit_size), "left")
     rows = rows.withColumn("weight", F.coalesce("least", "weight")).drop(
         "unit_id", "unit_source", "unit_size", "least")
     planned = _small(planned).withColumnRenamed("source", "plan_source")
-    place = F.struct(exponential_key(F.col("doc_id"), F.col("weight")).alias("key"),
-                     F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size"))
+    place = F.struct(exponential_key(F.col("doc_id"), F.col("salt"), F.col("weight")).alias("key"),
+                     F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("salt"), F.col("size"))
     joined = rows.join(planned, rows.source.eqNullSafe(planned.plan_source))
     extra = F.when(F.col("cut").isNotNull() & (place <= F.col("cut")), 1).otherwise(0)
-    return joined.withColumn("copies", F.col("epochs") + extra).drop("plan_source", "cut", "epochs")
+    return joined.withColumn("copies", F.col("epochs") + extra).drop("plan_source", "cut", "epochs", "salt")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per input row.
 
     A null text has size 0; a null source is a source of its own, after all
-    others; a null doc_id is hashed as the word "null". Rows equal in doc_id,
-    source and size are taken together. Ties in the key go by doc_id, then
+    others; rows without a doc_id are told apart by the hash of their text. Rows
+    equal in doc_id (without one: in text), source and size are taken together. Ties in the key go by doc_id, then
     size. A source without words has target 0. An empty table gives no rows.
     """
     rows = cut_lineage(sized(docs))
@@ -173,13 +180,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
 
 def take(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed corpus: every row of ``docs``, with all its columns, as often
-    as the mix takes it (not at all, or up to ``most`` times)."""
+    as the mix takes it (not at all, or up to ``most`` times). Nulls, repeated
+    rows and ties as in ``mix``; an empty table stays empty."""
     sizes = cut_lineage(sized(docs))
     planned = plan(sizes, weights, most)
     row = docs.select(F.struct("*").alias("row"))
     rows = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"),
                       F.col("row.source").cast("string").alias("source"),
                       word_count(F.col("row.text")).alias("size"))
-    rows = rows.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
+    rows = (rows.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
+            .withColumn("salt", salt(F.col("doc_id"), F.col("row.text"))))
     taken = copies(rows, planned, _mixed(sizes)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -37,9 +37,10 @@ from b"""
 
 OP8 = rf"""
 with d as (
-  select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as t,
+    case when doc_id is null then md5(coalesce(text, '')) else '' end as salt from documents),
 z as (
-  select rid, doc_id, source, cast(len(regexp_extract_all(t, '{WORD}')) as bigint) as size,
+  select rid, doc_id, salt, source, cast(len(regexp_extract_all(t, '{WORD}')) as bigint) as size,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as symbols from d),
 y as (
   select *, cast(1 as double) / (cast(1 as double) + cast(4 as double) * symbols / greatest(size, 1)) as weight from z),
@@ -59,24 +60,25 @@ t as (
 p as (
   select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t),
 u as (
-  select doc_id, source, size, count(*) as n,
-    -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint)
+  select doc_id, salt, source, size, count(*) as n,
+    -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null' || salt)), 1, 13) as bigint)
       + cast(0.5 as double)) / cast(4503599627370496 as double)) / min(weight) as k
-  from y group by doc_id, source, size),
+  from y group by doc_id, salt, source, size),
 r as (
-  select u.doc_id, u.source, u.size, p.source_size, p.target, p.epochs,
-    case when 2 * sum(u.size * u.n) over (partition by u.source order by k, u.doc_id nulls first, u.size) - u.size * u.n
+  select u.doc_id, u.salt, u.source, u.size, p.source_size, p.target, p.epochs,
+    case when 2 * sum(u.size * u.n) over (partition by u.source order by k, u.doc_id nulls first, u.salt, u.size) - u.size * u.n
       <= 2 * (p.target - p.epochs * p.source_size) then 1 else 0 end as extra
   from u join p on u.source is not distinct from p.source)
 select y.doc_id, y.size, r.source_size, r.target, cast(y.size * (r.epochs + r.extra) as bigint) as taken
-from y join r on y.doc_id is not distinct from r.doc_id and y.source is not distinct from r.source
+from y join r on y.doc_id is not distinct from r.doc_id and y.salt = r.salt and y.source is not distinct from r.source
   and y.size = r.size"""
 
 OP10 = """
 with recursive v as (
   select row_number() over () as rid, vec_id, label, cast(embedding as double[]) as x from embeddings),
 usable as (
-  select * from v where label is not null and len(x) > 0
+  select rid, vec_id, label, list_transform(x, lambda y: y / list_max(list_transform(x, lambda z: abs(z)))) as x
+  from v where label is not null and len(x) > 0
     and len(list_filter(x, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(x, lambda y: y <> 0)) > 0),
 link as (
   select a.rid as a, b.rid as b from usable a join usable b

@@ -69,3 +69,18 @@ def test_pruning_keeps_every_pair():
     ux, uy = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
     for threshold in (0.5, 0.9, 0.98):
         assert (embeddings.compare(x, y, axes, threshold, 4) == (ux @ uy.T >= threshold)).all()
+
+
+def test_very_large_and_very_small_vectors(spark):
+    import duckdb
+
+    from airlake.llm.oracle import OP10
+
+    rows = [(1, [1e160, 2e160], 0), (2, [2e160, 4e160], 0), (3, [1e-170, 2e-170], 0), (4, [5e-324, 1e-323], 0),
+            (5, [1.7e308, 1.7e308], 0), (6, [1.0, 1.0], 0), (7, [-1e160, -2e160], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert got == {r[0]: (r[1], r[2]) for r in con.execute(OP10).fetchall()}

@@ -122,8 +122,8 @@ def test_equal_rows_of_mixed_weights_are_one_unit(make_docs):
     rows += [(7, "good words " * 3, "a"), (7, "b*** w### " * 3, "a")]
     docs = make_docs(rows)
     got = mix(docs).collect()
-    assert len({(r.doc_id, r.size, r.source_size, r.taken) for r in got}) == len(
-        {(r.doc_id, r.size, r.source_size) for r in got})
+    assert len({(r.doc_id, r.size, r.source_size, r.taken) for r in got if r.doc_id is not None}) == len(
+        {(r.doc_id, r.size, r.source_size) for r in got if r.doc_id is not None})
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
     rounded = lambda rs: Counter((*r[:3], round(r[3], 6), r[4]) for r in rs)
@@ -133,3 +133,28 @@ def test_equal_rows_of_mixed_weights_are_one_unit(make_docs):
     for r in got:
         taken[r.doc_id, r.size] += r.taken // r.size
     assert copies == +taken
+
+
+def test_rows_without_doc_id_meet_their_target(make_docs):
+    import duckdb
+
+    from airlake.llm.oracle import OP8
+
+    # each source half without ids, all of one size: one unit would be half a source
+    rows = [(None if i % 2 else i, f"w{i} " * 10, "abc"[i % 3]) for i in range(3000)]
+    docs = make_docs(rows)
+    got = mix(docs).collect()
+    taken, goal = Counter(), {}
+    for r in take(docs).collect():
+        taken[r.source] += len(words_of(r.text))
+    for i, source in enumerate("abc"):
+        goal[source] = 30_000 * (i + 1) / 6
+        assert abs(taken[source] - goal[source]) <= 0.01 * goal[source]
+    assert sum(r.taken for r in got) == sum(taken.values())
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    rounded = lambda rs: Counter((*r[:3], round(r[3], 6), r[4]) for r in rs)
+    assert rounded(map(tuple, got)) == rounded(con.execute(OP8).fetchall())
+    # equal rows without ids stay together
+    same = mix(make_docs([(None, "one text here", "a")] * 40 + [(1, "x " * 400, "b")])).collect()
+    assert len({r.taken for r in same if r.doc_id is None}) == 1
