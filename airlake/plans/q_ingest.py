@@ -17,7 +17,7 @@ from airlake.plans import sqlgen as S
 from airlake.plans.base import rounded
 from airlake.reference import FEED_PARAMS, FEED_SET, PPB_FACTOR, SPLICE_SET, col_of
 from airlake.schema import CITY_DAY_SCHEMA
-from airlake.session import cut_lineage, ensure_checkpoint_dir
+from airlake.session import ensure_checkpoint_dir
 from airlake.sources import fixtures as X
 from airlake.sources import readers as R
 from airlake.sources.sinks import replace_cities, write_city_day
@@ -113,7 +113,7 @@ def q_city_quantiles(s, d):
     city, held against the true ranks."""
     readings = X.station_readings(s, d).select("station_id", "pm10")
     registry = X.station_registry(s, d)
-    parts = cut_lineage(QU.sketches(readings, ["station_id"], "pm10"))
+    parts = QU.sketches(readings, ["station_id"], "pm10")
     found = QU.quantiles(QU.merged(parts.join(registry, "station_id"), ["city"]), ["city"], PROBS)
     errors = QU.rank_errors(readings.join(registry, "station_id"), found, ["city"], "pm10", PROBS)
     return errors.select("city", "name", "p", "n", (F.col("rank_error") <= QU.RANK_ERROR).alias("within_bound"))

@@ -9,10 +9,10 @@ from conftest import SF_MID
 FACTS = ("lineitem", "orders", "events")
 # keys that run jobs while they are built: checkpoints of a shared table (lines
 # numbered once for several readers), tables written and read back, a drained
-# stream, a probe of the region dimension
+# stream, a probe of the region dimension or of one city's rows
 EAGER = {"model_backtest", "model_forecast", "forecast_verdict", "forecast_status", "event_headline",
          "stream_daily_mean", "stream_closed_days", "region_filter", "hourly_parse", "curated_split",
-         "city_table_rerun"}
+         "city_table_rerun", "recent_clean", "station_registry", "one_city", "interval_coverage"}
 QUERIES = registry.all_queries()
 KEYS = sorted(QUERIES)
 
