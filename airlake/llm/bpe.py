@@ -1,10 +1,12 @@
-"""Token ids of whole texts through a chunk cache, exact by construction.
+"""Token ids of whole texts, and numbers of tokens through a chunk cache.
 
 The byte-level pre-tokenizer always splits before a single space that stands
 between two non-space characters, so a text may be cut there into chunks and
-each chunk (with its space) encoded alone by the tokenizer library. Chunks
-repeat, so their results are cached. Where white space is adjacent to other
-white space the text is not cut, and the library sees the whole run.
+each chunk (with its space) encoded alone. Chunks repeat, so their lengths are
+cached (``Counter``), but for long ones, which are encoded where they stand.
+Where white space is adjacent to other white space the text is not cut, and the
+encoder sees the whole run. Ids are made from whole texts (``Encoder``): looking
+chunks up and joining their ids takes longer than merging them again.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 
@@ -21,6 +23,7 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 CACHE_ENTRIES = 800_000
 TEXTS_AT_ONCE = 128
 PIECES_AT_ONCE = 2048
+LONGEST_CHUNK = 64   # characters of a chunk that may be cached, counted or broadcast
 DIVIDER = "<|endoftext|>"
 UNSURE = re.compile("[\u0530-\U0010ffff]|<\\|")
 #: Fixed value: how byte-level tokenizers split a text into pre-tokens.
@@ -85,8 +88,34 @@ class Merger:
         other = iter(self._encoded([p for p, x in zip(pieces, sure) if not x]))
         return [next(quick) if x else next(other) for x in sure]
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text of any length: runs of chunks that both libraries read
+        alike are merged in one call each, all other runs encoded in one."""
+        if self.fast is None:
+            return self._library(text)
+        if not UNSURE.search(text):
+            return self._quick(text)
+        runs, space = [], ""
+        for unsure, run in groupby(chunks(text), lambda c: UNSURE.search(c) is not None):
+            runs.append((unsure, space + " ".join(run)))
+            space = " "
+        other = iter(self._encoded([r for unsure, r in runs if unsure]))
+        return b"".join(next(other) if unsure else self._quick(r) for unsure, r in runs)
+
+    def _library(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _quick(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        except ValueError:  # a run of a million blanks is beyond the stack of its pattern matcher
+            return self._library(text)
+
     def _merged(self, pieces: list[str]) -> list[bytes]:
-        ids = [self.fast.encode_ordinary(p) for p in pieces]
+        try:
+            ids = [self.fast.encode_ordinary(p) for p in pieces]
+        except ValueError:
+            return [self._quick(p) for p in pieces]
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         return [data[a:z] for a, z in zip([0, *ends], ends)]
@@ -101,7 +130,7 @@ class Merger:
                 data, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
                 out += [data[x:z] for x, z in zip(starts, [*(4 * ends).tolist(), len(data)])]
             else:  # a piece holds the token's own string
-                out += [np.asarray(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in part]
+                out += map(self._library, part)
         return out
 
 
@@ -131,21 +160,27 @@ def _ranked(path: str):
 class ChunkCache(dict):
     """Values of chunks. Unknown ones are learnt for many texts at once; when
     half of ``entries`` are new, the older half is dropped, but what is asked
-    for again in time is kept. ``fixed`` is a first tier that never changes."""
+    for again in time is kept. ``fixed`` is a first tier that never changes.
+    Chunks over ``LONGEST_CHUNK`` characters stay until the next call only, so
+    the cache is bounded in bytes too."""
 
     def __init__(self, learn, entries: int, fixed: dict | None = None):
         super().__init__()
         self.learn_all, self.half, self.older, self.fixed = learn, max(1, entries // 2), {}, fixed or {}
+        self.long = {}
 
     def __missing__(self, chunk):
-        return self.fixed[chunk]
+        return self.long[chunk] if len(chunk) > LONGEST_CHUNK else self.fixed[chunk]
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.fixed).difference(self)
+        long = [c for c in new if len(c) > LONGEST_CHUNK]
+        self.long = dict(zip(long, self.learn_all(long)))
+        new.difference_update(long)
         if len(self) + len(new) > self.half:
             self.older = dict(self)
             self.clear()
-            new = chunks.difference(self.fixed)
+            new = {c for c in chunks.difference(self.fixed) if len(c) <= LONGEST_CHUNK}
         for c in [c for c in new if c in self.older]:
             self[c] = self.older[c]
             new.discard(c)
@@ -181,21 +216,21 @@ class Counter(_Texts):
         return [first + sum(rest) for first, rest in self.values(texts)]
 
 
-class Encoder(_Texts):
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        super().__init__(Merger(path), entries)
+    def __init__(self, path: str):
+        self.merge = Merger(path)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        return (first + b"".join(rest) for first, rest in self.values(texts))
+        return map(self.merge.whole, texts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder, kept while the worker lives."""
+    """The worker's encoder (a tokenizer and its vocabulary), kept while the worker lives."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -6,7 +6,11 @@ context size that holds them. Each tier, from the longest, is packed into
 windows of its size; the gap of a window is filled from shorter tiers (whole
 rests that fit best first, then one rest is cut to the exact gap). Windows are
 dealt to step groups of one context size and ``STEP_TOKENS`` tokens, so that
-all steps weigh the same.
+steps weigh the same, but for the last group of each context size in a task.
+
+Ids come from ``bpe.Encoder``: texts, or runs of a text between single spaces,
+in scripts up to Cyrillic are merged by tiktoken from the tokenizer file's own
+vocabulary, everything else by the tokenizers library (ids are the same).
 
 Each task packs its own rows in bounded rounds and carries unfinished windows
 on, so there is no shuffle and no state between tasks, and a repeated task

@@ -119,3 +119,29 @@ def test_rounds_keep_windows_full(monkeypatch):
     for (s, c) in size:
         steps[next(r[8] for r in p.rows if r[5] == s)] += c
     assert max(steps.values()) == packing.STEP_TOKENS
+
+
+MIXED_TEXTS = ["", " ", "a b", " a  b ", "plain words “quoted” and – dashes, then words", "中文 字 abc 中 def  中文\n\n中 x",
+               "a <|endoftext|> b <| c |>", "<|endoftext|>", "ends in 中 ", "中 ", " 中", "x" * 5000 + " " + "中" * 3000,
+               "a" + " " * 300_000 + "b", "\n \n" * 200_000 + "x 中", "don't 12ab\r\n\tx"]
+
+
+def test_whole_texts_are_encoded_as_by_the_library(tok):
+    encode = bpe.Encoder(PATH)
+    want = [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in MIXED_TEXTS]
+    assert list(encode(MIXED_TEXTS)) == want
+    encode.merge.fast = None
+    assert list(encode(MIXED_TEXTS)) == want
+    count = bpe.Counter(PATH, {"b": 1})
+    assert count(MIXED_TEXTS) == [len(x) // 4 for x in want]
+
+
+def test_long_chunks_are_neither_cached_nor_counted(spark, tok):
+    from airlake.llm.tokens import frequent_chunks
+
+    long = ["a " + "é" * 100_000 + str(i) + " b b" for i in range(40)]
+    count = bpe.Counter(PATH, {})
+    assert count(long) == [len(tok.encode(t).ids) for t in long]
+    assert count(["a b"]) == [2] and max(map(len, [*count.rest, *count.rest.long])) <= bpe.LONGEST_CHUNK
+    texts = spark.createDataFrame([(t,) for t in long], "text string")
+    assert set(frequent_chunks(texts)) == {"b"}
