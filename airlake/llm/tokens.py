@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact broadcast table: lengths of the corpus' most frequent
-pre-token chunks (at most ``TABLE_ENTRIES``). Tier two is a bounded cache in
+pre-token chunks (at most ``TABLE_ENTRIES`` of up to 64 characters). Tier two is a bounded cache in
 each worker, filled by the tokenizer library. No pre-token is ever shuffled:
 the table is made from one bounded summary per task, merged in a tree. The
 table decides speed only; counts are the library's for any table.
@@ -45,7 +45,7 @@ def _count_task(batches: Iterator) -> Iterator:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                counts.update(bpe.chunks(text)[1:])
+                counts.update(c for c in bpe.chunks(text)[1:] if len(c) <= bpe.LONGEST_CHUNK)
                 if len(counts) > 16 * TASK_ENTRIES:
                     counts = Counter(_top(counts, 4 * TASK_ENTRIES))
     yield _summary(counts, TASK_ENTRIES)
