@@ -22,12 +22,12 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from airlake.llm.bpe import BoundedCache
 from airlake.session import cut_lineage
 
 MAX_ROWS = 20_000
@@ -39,7 +39,9 @@ STRONG_ODDS = 3.0
 STEMS = (4, 5, 6, 7, 8)  # letters of a stem
 BIN_ROWS = 30           # calibration rows behind one step
 FEW_WORDS, FEW_CHARS = 20, 100   # added where rates are taken
-MEMO = 400_000          # words whose entries a worker remembers
+MEMO = 400_000          # tokens a worker remembers
+LONGEST = 64            # characters of a token that is remembered
+GROUP_CHARS = 1 << 19   # texts counted together
 THRESHOLD = 0.3
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi vous votre "
@@ -52,6 +54,7 @@ REPEAT = re.compile(r"(\w)\1{2,}")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 MIXED = re.compile(r"[a-z][0-9@$!*][a-z]", re.I)
 CAPITALS = re.compile(r"[A-Z]")
+STOP = re.compile(r"[.!*#$%&]")
 FEATURES = ("strong", "strong_count", "weak", "near_you", "you", "capitals", "shouts", "exclamations",
             "punctuation", "mixed", "hidden", "repeats", "words")
 
@@ -72,38 +75,105 @@ def entries_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
 
 
-class Lexicon:
-    """Looks words up: below 0 for a strong word, the weight of a weak one, or 0."""
+class Features:
+    """Features of many texts at once, by a lexicon of strong and weak entries.
+
+    All that a feature counts lies within a token, so every distinct token is
+    looked at once and known by the number of its row of counts (0: a row of
+    zeros, as most have); sums over a text's rows are its counts. ``MEMO`` tokens
+    of up to ``LONGEST`` characters are remembered.
+    """
 
     def __init__(self, strong: dict[str, float], weak: dict[str, float]):
-        self.strong, self.weak, self.memo = strong, weak, BoundedCache(self._value, MEMO)
+        self.strong, self.weak = strong, weak
+        self.heads = {e[:4] for e in [*strong, *weak]}  # every entry of a word begins as the word does
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows = {(0,) * 10: 0}
 
     def _value(self, word: str) -> float:
+        """Below 0 for a strong word, the weight of a weak one, or 0."""
+        if (word + "$")[:4] not in self.heads:
+            return 0.0
         found = entries_of(word)
         if any(e in self.strong for e in found):
             return -1.0
         return max((self.weak.get(e, 0.0) for e in found), default=0.0)
 
-    def __call__(self, words: list[str]) -> list[float]:
-        return list(map(self.memo.__getitem__, words))
-
-
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    words = words_of(text)
-    n, size = len(words) + FEW_WORDS, len(text) + FEW_CHARS  # a rate in a few words says little
-    values = lexicon(words)
-    hits = [i for i, v in enumerate(values) if v < 0]
-    repeats = len(REPEAT.findall(text))
-    odd = [i for i, w in enumerate(words) if not w.isalpha() or repeats and REPEAT.search(w)]
-    hidden = [i for i in odd if values[i] >= 0 and lexicon.memo[plain(words[i])] < 0]
-    you = sum(map(SECOND_PERSON.__contains__, words))
-    near = sum(any(w in SECOND_PERSON for w in words[max(0, i - 3):i + 4]) for i in hits + hidden)
-    found = len(hits) + len(hidden)
-    return [100.0 * found / n, float(found), 100.0 * sum(v for v in values if v > 0) / n,
-            near / max(1, found), 100.0 * you / n, len(CAPITALS.findall(text)) / size,
-            100.0 * len(SHOUT.findall(text)) / n, 100.0 * text.count("!") / n,
-            sum(map(text.count, ".,;:?!*#$%&")) / size, 100.0 * len(MIXED.findall(text)) / n,
-            100.0 * len(hidden) / n, 100.0 * repeats / n, float(min(len(words), 5000))]
+    def _row(self, token: str) -> int:
+        small, word = token.islower(), token
+        letters = token.isalpha()
+        if not (small and letters):
+            word = token.lower().strip(EDGE)
+        value, repeated, you = self._value(word), REPEAT.search(word), word in SECOND_PERSON
+        if small and letters and not (value or repeated or you):
+            return 0
+        odd = repeated or not word.isalpha()  # patterns are asked only where they may match
+        hidden = bool(odd and value >= 0 and self._value(plain(word)) < 0)
+        capitals = 0 if small else len(CAPITALS.findall(token))
+        shouts = len(SHOUT.findall(token)) if capitals > 2 else 0
+        marks = 0 if letters else token.count("!")
+        stops = 0 if letters else len(STOP.findall(token))
+        mixed = len(MIXED.findall(token)) if odd else 0
+        repeats = len(REPEAT.findall(token)) if odd or "___" in token else 0
+        # weights in steps of 2**-20 add up exactly, in any order
+        row = value < 0, hidden, round(max(0.0, value) * 2**20), you, capitals, shouts, marks, stops, mixed, repeats
+        return self.rows.setdefault(row, len(self.rows))
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        """The row of each token."""
+        if len(self.known) > MEMO or len(self.rows) > MEMO:
+            self._forget()
+        new = set(tokens).difference(self.known)
+        self.known.update((t, self._row(t)) for t in new)
+        out = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        for t in new:
+            if len(t) > LONGEST:
+                del self.known[t]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        """The features of each text; texts of a group are counted together."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                out += self._counted(group)
+                group, size = [], 0
+        return out + self._counted(group)
+
+    def _counted(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        tokens, ends = [], []
+        for text in texts:
+            tokens += TOKEN.findall(text)
+            ends.append(len(tokens))
+        numbers = self._numbers(tokens)
+        ends = np.array(ends)
+        starts = np.concatenate(([0], ends[:-1]))
+        places = np.flatnonzero(numbers)  # tokens that count for something, and their texts
+        of = np.searchsorted(ends, places, side="right")
+        rows = np.array(list(self.rows), np.float64)[numbers[places]]
+        strong, hidden, weak, you, capitals, shouts, marks, stops, mixed, repeats = (
+            np.bincount(of, weights=rows[:, k], minlength=len(texts)) for k in range(10))
+        # found words with a second person up to three words before or behind them in their text
+        yous, hit = places[rows[:, 3] > 0], rows[:, 0] + rows[:, 1] > 0
+        low = np.maximum(starts[of[hit]], places[hit] - 3)
+        high = np.minimum(ends[of[hit]], places[hit] + 4)
+        close = np.searchsorted(yous, high) > np.searchsorted(yous, low)
+        near = np.bincount(of[hit][close], minlength=len(texts))
+        count, found = ends - starts, strong + hidden
+        n = count + FEW_WORDS  # a rate in a few words says little
+        size = np.array([len(t) for t in texts]) + FEW_CHARS
+        between = np.array([sum(map(t.count, ",;:?")) for t in texts])
+        return np.column_stack([
+            100.0 * found / n, found, 100.0 * weak / 2**20 / n, near / np.maximum(1, found), 100.0 * you / n, capitals / size,
+            100.0 * shouts / n, 100.0 * marks / n, (stops + between) / size, 100.0 * mixed / n, 100.0 * hidden / n,
+            100.0 * repeats / n, np.minimum(count, 5000)]).tolist()
 
 
 class Model(NamedTuple):
@@ -208,9 +278,9 @@ def _featured(rows: DataFrame, keep: str, kind: str, strong: dict, weak: dict) -
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = Lexicon(*shared.value)
+        features = Features(*shared.value)
         for batch in batches:
-            got = [features(t, known) for t in batch.column(1).to_pylist()]
+            got = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], [keep, "x"])
 
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, x array<double>").withColumn(
@@ -291,9 +361,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     @F.pandas_udf("array<double>")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Lexicon(*shared.value)
+        features = Features(*shared.value)
         for texts in batches:
-            yield texts.map(lambda t: features(t or "", known))
+            yield pd.Series(features(texts.fillna("").tolist()), dtype=object)
 
     raw = _raw(model.trees, rows.withColumn("features", array_to_vector(extracted("all.text"))))
     scored = model.calibration.transform(raw.select("all", "raw"))

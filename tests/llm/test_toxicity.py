@@ -61,11 +61,55 @@ def test_no_labels(edge_docs, scored):
 
 
 def test_obfuscation_and_proximity():
-    known = toxicity.Lexicon({"idiot$": 5.0, "veju": 5.0}, {"dumb$": 2.0})
-    names = dict(zip(toxicity.FEATURES, toxicity.features("you are an 1d10t and an i-d-i-o-t", known)))
+    known = toxicity.Features({"idiot$": 5.0, "veju": 5.0}, {"dumb$": 2.0})
+    names = dict(zip(toxicity.FEATURES, known(["you are an 1d10t and an i-d-i-o-t"])[0]))
     assert names["strong_count"] == 2 and names["hidden"] > 0 and names["near_you"] == 0.5
     assert toxicity.plain("iiidi0ttt") == "idiot"
-    assert known(["vejuais", "vej", "dumb", "idiots"]) == [-1.0, 0.0, 2.0, 0.0]
+    assert list(map(known._value, ["vejuais", "vej", "dumb", "idiots", ""])) == [-1.0, 0.0, 2.0, 0.0, 0.0]
+
+
+def slow_features(text, strong, weak):
+    """The features of one text, by patterns over its whole."""
+    def value(w):
+        found = toxicity.entries_of(w)
+        return -1 if set(found) & set(strong) else max((weak.get(e, 0) for e in found), default=0)
+
+    words = toxicity.words_of(text)
+    n, size = len(words) + toxicity.FEW_WORDS, len(text) + toxicity.FEW_CHARS
+    hits = [i for i, w in enumerate(words) if value(w) < 0]
+    hidden = [i for i, w in enumerate(words) if i not in hits and (not w.isalpha() or toxicity.REPEAT.search(w))
+              and value(toxicity.plain(w)) < 0]
+    you = [w in toxicity.SECOND_PERSON for w in words]
+    found = len(hits + hidden)
+    near = sum(any(you[max(0, i - 3):i + 4]) for i in hits + hidden)
+    return [100 * found / n, found, 100 * sum(max(0, value(w)) for w in words) / n, near / max(1, found),
+            100 * sum(you) / n, sum("A" <= c <= "Z" for c in text) / size,
+            100 * len(toxicity.SHOUT.findall(text)) / n, 100 * text.count("!") / n,
+            sum(c in ".,;:?!*#$%&" for c in text) / size, 100 * len(toxicity.MIXED.findall(text)) / n,
+            100 * len(hidden) / n, 100 * len(toxicity.REPEAT.findall(text)) / n, min(len(words), 5000)]
+
+
+def test_features_by_token_equal_those_of_whole_texts(monkeypatch):
+    strong, weak = {"idiot$": 5.0, "stup": 4.0}, {"dumb$": 2.5, "hate$": 1.25}
+    parts = ["you", "YOU", "idiot", "IDIOT!!!", "st*pid", "5tup1d", "stuuupid", "dumb", "hate", "a", "b@b", "x9y9z", "...",
+             "the", "They", "AAA", "no-one", "w" * 90, "w" * 90 + "!", "eé", "(", ";", "\n", "\u00a0", "12,345.6", "u"]
+    state, texts = 7, ["", " ", "idiot", "you", "... idiot", "x" * 3000 + " you idiot"]
+    for i in range(300):
+        words = []
+        for _ in range(i % 23):
+            state = (state * 1103515245 + 12345) % 2**31
+            words.append(parts[(state >> 8) % len(parts)])
+        texts.append((" ", "", ",")[i % 3 and i % 7 % 3].join(words))
+    want = [slow_features(t, strong, weak) for t in texts]
+    for memo, group in ((400_000, 1 << 19), (5, 40)):
+        monkeypatch.setattr(toxicity, "MEMO", memo)
+        monkeypatch.setattr(toxicity, "GROUP_CHARS", group)
+        features = toxicity.Features(strong, weak)
+        got = features(texts)
+        assert len(got) == len(want) and max(map(len, features.known), default=0) <= toxicity.LONGEST
+        for g, w in zip(got, want):
+            assert g == pytest.approx(w, abs=1e-9)
+    assert toxicity.Features({}, {})([]) == []
 
 
 def test_copies_of_one_document_make_no_lexicon(spark):
