@@ -3,7 +3,9 @@
 Base patterns and generic credential candidates are found in whole texts with
 Spark's regular expressions. The hash of every candidate value is counted over
 the corpus by distinct repositories (documents) and owners (sources): a value
-under many owners is a widely copied example, one that fewer hold looks live. Generic candidates that look live become spans of their own.
+under many owners, or in very many repositories of a few, is a widely copied
+example; one that fewer hold looks live. Generic candidates that look live
+become spans of their own.
 
 Everything is DataFrame expressions. Only short arrays of spans leave the scan,
 never the texts; counts are pre-aggregated by value, owner and repository, so
@@ -40,7 +42,8 @@ BASE = (
 #: Further credentials: long runs, of any length, that mix cases and digits.
 LIVE = Kind("live", r"[A-Za-z0-9+/_-]{20,}+", 0, 20, r"[A-Za-z0-9+/_-]{20}", ("[0-9]", "[A-Z]", "[a-z]"))
 KINDS = (*BASE, LIVE)
-EXAMPLE_OWNERS = 3   # a value under so many owners is an example
+EXAMPLE_OWNERS = 3          # a value under so many owners is an example,
+EXAMPLE_REPOSITORIES = 50   # as is one in so many repositories of fewer owners
 BLOCK = 512
 
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string,value:string>>"
@@ -118,11 +121,13 @@ def ownership(found: DataFrame) -> DataFrame:
             .groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners")))
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS,
+         example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, base (spans), live (further spans), n_owned, n_example: one row
-    per input row. ``live`` are generic candidates of fewer than
-    ``example_owners`` owners; n_owned and n_example count all candidates of one
-    owner, and those that ``example_owners`` or more owners hold.
+    per input row. Examples are candidates that ``example_owners`` owners or
+    ``example_repositories`` repositories hold, or more. ``live`` are the generic
+    candidates that are none; n_example counts all candidates that are, n_owned
+    those that are none and have one owner.
 
     A null text counts as empty and has no spans; a null doc_id or source is
     kept; repeated rows give repeated results; an empty table gives no rows.
@@ -130,12 +135,13 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """
     found = candidates(docs)
     held = found.select("row", F.explode(F.concat("base", "more")).alias("span"))
-    counted = held.withColumn("value", F.sha2("span.value", 256)).join(ownership(found), "value")
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    counted = held.withColumn("value", F.sha2("span.value", 256)).join(
+        ownership(found).select("value", "owners", example.alias("example")), "value")
     by_row = counted.groupBy("row").agg(
-        F.collect_list(F.when((F.col("span.kind") == LIVE.name) & (F.col("owners") < example_owners),
-                              F.col("span"))).alias("live"),
-        F.count_if(F.col("owners") == 1).alias("n_owned"),
-        F.count_if(F.col("owners") >= example_owners).alias("n_example"))
+        F.collect_list(F.when((F.col("span.kind") == LIVE.name) & ~F.col("example"), F.col("span"))).alias("live"),
+        F.count_if(~F.col("example") & (F.col("owners") == 1)).alias("n_owned"),
+        F.count_if("example").alias("n_example"))
     none = F.array().cast(SPAN)
     return found.join(by_row, "row", "left").select(
         "doc_id", "base", F.coalesce("live", none).alias("live"), F.coalesce("n_owned", F.lit(0)).alias("n_owned"),

@@ -170,3 +170,12 @@ def test_secret_classes_meet(make_docs):
     assert got[3].spans == "assign:0:29"
     both = make_docs([*rows, (4, key, "they")])
     assert secret_scan.digest(secret_scan.scan(both)).where("doc_id = 0").first().spans == ""
+
+
+def test_values_in_very_many_repositories_are_examples(spark):
+    copied, live, again = "Qm4Zr8Tk2Lp6Vx0Ns3Wd7", "Hy5Bc9Jf1Gk3Mn7Pq2Rt4", "Uw6Xa8Ye0Zi2Do4Fu6Lk8"
+    rows = [(i, f"key {copied}", "me") for i in range(50)] + [(100 + i, f"key {live}", "me") for i in range(49)]
+    rows += [(200, f"key {again}", "me")] * 60   # one document, repeated
+    got = secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    seen = {(r.doc_id // 100, r.spans, r.n_owned, r.n_example) for r in got.collect()}
+    assert seen == {(0, "", 0, 1), (1, "live:4:25", 1, 0), (2, "live:4:25", 1, 0)}
