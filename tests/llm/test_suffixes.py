@@ -1,10 +1,15 @@
+import os
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from airlake.llm import suffixes
+from airlake.llm.store import FILE_CLEANUP, shuffles_removed
 from airlake.llm.suffixes import LENGTH, anchors, remove_repeats
+from airlake.session import ensure_checkpoint_dir
 
 
 def expected(texts):
@@ -85,3 +90,51 @@ def test_levels_merge_geometrically(make_docs):
     assert ranks == [[0], [1], [0, 1], [2], [0, 2], [1, 2]]
     assert {bytes(r.seg): r.n for r in family.classes().collect()} == {
         bytes(r.seg): r["count"] for r in found.groupBy("seg").count().collect()}
+
+
+def test_steps_leave_only_what_is_read(spark, make_docs):
+    shared = re.sub("^file:(//)?", "", ensure_checkpoint_dir(spark))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for top in blocks.localDirsString() for d, _, names in os.walk(top) for f in names
+                if re.match(r"shuffle_.*\.data$", f)}
+    texts = planted()
+    docs = make_docs(texts).persist()  # what others keep stays
+    docs.count()
+    tables, before = set(os.listdir(shared)), shuffles()
+    out = remove_repeats(docs)
+    assert len([t for t in set(os.listdir(shared)) - tables if t.startswith("airlake-")]) == 2  # spans and parts
+    end = time.time() + 20
+    while (left := shuffles() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    want = Counter(w[:3] for w in expected(texts))
+    for _ in range(2):  # a result can be computed again
+        assert Counter((r.n_bytes, r.n_removed, r.n_spans) for r in out.collect()) == want
+    assert docs.storageLevel.useMemory and docs.count() == len(texts)
+    docs.unpersist()
+
+
+def test_shuffle_setting_is_restored(spark):
+    before = spark.conf.get(FILE_CLEANUP, None)
+    with pytest.raises(ValueError), shuffles_removed(spark):
+        assert spark.conf.get(FILE_CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(FILE_CLEANUP, None) == before
+
+
+def test_a_merge_writes_one_level(make_docs, monkeypatch):
+    found = suffixes.stored(suffixes.entries(make_docs(planted())))
+    family, written = suffixes.SuffixFamily(), []
+    monkeypatch.setattr(family, "_sorted", lambda classes: written.append(1) or suffixes.SuffixFamily._sorted(classes))
+    counts = []
+    for b in range(4):
+        family.add(found.where(f"pmod(row, 4) = {b}"))
+        counts.append(len(written))
+    assert counts == [1, 3, 4, 6]  # the batch, and one level for all that merge into it
+    assert sorted(family.levels) == [2]
+    assert {bytes(r.seg): r.n for r in family.classes().collect()} == {
+        bytes(r.seg): r["count"] for r in found.groupBy("seg").count().collect()}
+    family.discard()
+    assert not any(os.path.exists(re.sub("^file:(//)?", "", t.path)) for t in (*family.levels.values(), *family.found))
