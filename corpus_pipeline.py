@@ -12,24 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from airlake.llm import mixing, packing, pii, simhash, toxicity
 from airlake.llm.queries import TOKENIZER, table
 from airlake.llm.store import stored
-from airlake.session import ship_package
+from airlake.session import bound_batches, ship_package
+
+
+def _ready(spark: SparkSession) -> None:
+    """Before a stage that reads texts in Python: all stages share the workers
+    of an executor, which keep the memory of the largest batch they saw."""
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    ship_package(spark)
+    _ready(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id."""
-    ship_package(spark)
+    _ready(spark)
     return simhash.keep_one(docs, shingle=4, distance=4)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
-    ship_package(spark)
+    _ready(spark)
     return pii.redact(docs)
 
 
@@ -40,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as pieces of training sequences."""
-    ship_package(spark)
+    _ready(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

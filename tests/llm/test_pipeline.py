@@ -3,10 +3,12 @@
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from airlake.llm import bpe, mixing, pii, simhash, toxicity
 from airlake.llm.store import stored
+from airlake.session import BATCH_BYTES, BATCH_LIMIT
 from llm.test_quality_mixing import words_of
 from llm.test_simhash import components_of, fingerprint
 
@@ -84,3 +86,32 @@ def test_keep_one_of_repeated_rows(spark, edge_docs):
     kept = simhash.keep_one(edge_docs).collect()
     groups = {r.component_id for r in simhash.near_duplicates(edge_docs).collect()}
     assert len(kept) == len(groups) and kept[0].asDict().keys() == set(edge_docs.columns)
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    """Stages that read texts in Python get them in batches bounded in bytes; a limit the session names stays."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    long = spark.range(0, 3000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        for name in ("toxicity", "simhash_dedup", "pii", "packing"):
+            spark.conf.unset(BATCH_LIMIT)
+            dict(P.STAGES)[name](spark, start, SF)
+            got = long.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+            assert sum(r.n for r in got) == 3000
+            assert max(r.bytes for r in got) < BATCH_BYTES + 100_000, name
+        spark.conf.set(BATCH_LIMIT, "1000000")
+        dict(P.STAGES)["pii"](spark, start, SF)
+        assert spark.conf.get(BATCH_LIMIT) == "1000000"
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_LIMIT)
+        else:
+            spark.conf.set(BATCH_LIMIT, before)
