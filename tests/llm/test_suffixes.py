@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from airlake.llm import suffixes
+from airlake.llm.queries import op6_suffix_dedup
 from airlake.llm.store import FILE_CLEANUP, shuffles_removed
 from airlake.llm.suffixes import LENGTH, anchors, remove_repeats
 from airlake.session import ensure_checkpoint_dir
@@ -52,6 +53,29 @@ def test_planted_repeats(make_docs, monkeypatch, block):
         assert (*got[i][:3], bytes(got[i][3])) == want, (i, got[i][:3], want[:3])
 
 
+def test_passages_of_over_50_words(make_docs, tmp_path):
+    """All that share a passage of LENGTH bytes are caught, by n_removed; shorter passages stay, however many words."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 10))))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long_, short, texts = set(), set(), []
+    for n in (51, 52, 55, 60, 65, 70, 80, 120) * 3:
+        passage = prose(n)
+        size = len(passage)
+        if LENGTH - 20 < size < LENGTH:  # equal neighbours could make it long enough
+            continue
+        for _ in range(2):
+            (long_ if size >= LENGTH else short).add(len(texts))
+            texts.append(f"{prose(rng.integers(1, 200))} {passage} {prose(rng.integers(1, 200))}")
+        texts.append(prose(rng.integers(100, 400)))
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op6_suffix_dedup(make_docs([]).sparkSession, str(tmp_path)).collect()}
+    assert len(long_) >= 20 and len(short) >= 10 and len(got) == len(texts)
+    assert {i for i, r in got.items() if r.n_removed} == long_
+    assert all(r.n_removed >= LENGTH and r.n_spans == 1 for i, r in got.items() if i in long_)
+    assert all(r.n_bytes == len(texts[i]) for i, r in got.items())  # the input's size, whatever goes
+
+
 def test_documents(documents):
     rows = documents.select("doc_id", "text").collect()
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(documents).collect())
